@@ -33,3 +33,13 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: tokens, and digests of the ids and of what they decode to."""
+    from docugauge.llm import bpe
+
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+QUERIES["op7_byte_bpe"] = op7_byte_bpe
