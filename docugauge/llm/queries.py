@@ -43,3 +43,17 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_byte_bpe"] = op7_byte_bpe
+
+
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents' ids as binary records with their index, and returns per document what the files hold."""
+    from docugauge.llm import records
+    from docugauge.llm.frames import shared_path
+
+    path = shared_path(spark, "records")
+    records.write(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{path}/data")
+    records.write_index(records.read(spark, f"{path}/data"), f"{path}/index")
+    return spark.read.parquet(f"{path}/index").select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES["op5_token_records"] = op5_token_records
