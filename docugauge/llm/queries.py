@@ -57,3 +57,45 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_token_records"] = op5_token_records
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as archives, writes them anew with revisits for equal payloads, and returns what those hold."""
+    from docugauge.llm import warc
+    from docugauge.llm.frames import shared_path
+
+    path = shared_path(spark, "warc")
+    warc.write_responses(table(spark, sf_dir, "pages"), f"{path}/crawl")
+    warc.deduplicate(spark, f"{path}/crawl", f"{path}/unique", min_bytes=0)
+    return warc.read(spark, f"{path}/unique").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op1_warc_revisits"] = op1_warc_revisits
+
+ORACLE_SQL["op1_warc_revisits"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS last FROM pages)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * (k // 4) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p
+"""
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every vector whose id is divisible by 50, against all others."""
+    from docugauge.llm import topk
+
+    vecs = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vecs, vecs.where("vec_id % 50 = 0"), 5, scale=256)
+
+
+QUERIES["op6_exact_topk"] = op6_exact_topk
+
+ORACLE_SQL["op6_exact_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+      FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
