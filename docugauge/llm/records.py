@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docugauge.llm import scan
 from docugauge.llm.frames import row_order
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
-#: Records of a file at most, and texts between spaces that a worker remembers.
-FILE_RECORDS, MOST_UNITS = 100_000, 400_000
+#: Records of a file at most, and parts of texts that a worker remembers.
+FILE_RECORDS, MOST_PARTS = 100_000, 1_200_000
 
 
 def masked(data: bytes) -> bytes:
@@ -65,45 +66,85 @@ def parse(data: memoryview, at: int) -> tuple[int | None, np.ndarray, int]:
     return None if body[0] & 1 else int.from_bytes(body[1:9], "little", signed=True), ids, end + 5
 
 
+def _classes() -> np.ndarray:
+    """Of bytes: 1 ASCII letter, 2 digit, 3 ASCII mark but apostrophe, 4 space, 5 line feed, 6 first byte of a character that is surely not white space, 0 other."""
+    kind = np.zeros(256, dtype=np.uint8)
+    kind[0x21:0x7F] = 3
+    kind[0x30:0x3A] = 2
+    kind[0x41:0x5B] = kind[0x61:0x7B] = 1
+    kind[0x27], kind[0x20], kind[0x0A] = 0, 4, 5
+    kind[0xC3:0xE1] = kind[0xE4:0xF5] = 6
+    return kind
+
+
+_KIND = _classes()
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    A token never holds a space that isn't at its start unless white space follows, so a text may be
-    cut before each space that something else than white space follows, and the parts encoded alone.
-    Parts that came before are looked up.
+    Its own pattern never joins some neighbours, whatever surrounds them: ASCII letters, digits and marks
+    of different kinds (apostrophes apart), a space that no white space follows and what is before it,
+    and a lone line feed and its neighbours. Texts are cut there, the library encodes each different part
+    once, whole, and the parts' ids are put together. Parts that came before are looked up.
     """
 
     def __init__(self, path: str) -> None:
-        import re
-
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.wide = self.library.get_vocab_size() > 1 << 16
-        self.units: dict[str, bytes] = {}
-        self.odd = re.compile(r" (?=\s|$)")
-        self.cut = re.compile(r"(?= \S)")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, little-endian, in 4 or 2 bytes each."""
-        if len(self.units) > MOST_UNITS:
-            self.units.clear()
-        cut = [self._parts(t) for t in texts]
-        known = self.units
-        new = list({u for parts in cut for u in parts if u not in known})
-        kind = "<u4" if self.wide else "<u2"
-        for at in range(0, len(new), 1 << 16):
-            some = new[at : at + (1 << 16)]
-            for unit, got in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                known[unit] = np.array(got.ids, dtype=kind).tobytes()
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
-
-    def _parts(self, text: str) -> list[str]:
-        if self.odd.search(text):
-            return self.cut.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + u for u in rest]] if first else [" " + u for u in rest]
+        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.parts: dict[bytes, bytes] = {}
+
+    def encode(self, part: scan.Slice) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, and where each text's begin and end."""
+        if not len(part.data):
+            return np.zeros(0, self.kind), np.zeros(part.rows + 1, dtype=np.int64)
+        cut = self._cuts(part.data)
+        cut[part.ends[:-1][part.ends[:-1] < len(part.data)]] = True
+        begin = np.flatnonzero(cut)
+        where = np.append(begin, len(part.data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(where), pa.py_buffer(part.data)]).dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.kind.itemsize
+        flat, at = np.frombuffer(b"".join(ids), dtype=self.kind), np.cumsum(sizes) - sizes
+        index = coded.indices.to_numpy()
+        size = sizes[index]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        out = flat[np.repeat(at[index] - ends[:-1], size) + np.arange(ends[-1])]
+        return out, ends[np.searchsorted(begin, part.ends)]
+
+    def _cuts(self, data: np.ndarray) -> np.ndarray:
+        kind = np.zeros(len(data) + 2, dtype=np.uint8)
+        kind[1:-1] = _KIND[data]
+        before, here, after = kind[:-2], kind[1:-1], kind[2:]
+        solid = (after == 1) | (after == 2) | (after == 3) | (after == 6)
+        solid[:-1] |= data[1:] == 0x27
+        known = (here >= 1) & (here <= 3)
+        cut = known & (before >= 1) & (before <= 3) & (before != here)
+        cut |= (here == 4) & solid
+        line = (here == 5) & solid & (((before >= 1) & (before <= 3)))
+        cut |= line
+        cut[1:] |= line[:-1]
+        return cut
+
+    def _ids(self, units: list[bytes]) -> list[bytes]:
+        known = self.parts
+        if len(known) > MOST_PARTS:
+            known.clear()
+        new = [u for u in units if u not in known]
+        for at in range(0, len(new), 1 << 15):
+            some = new[at : at + (1 << 15)]
+            found = self.library.encode_batch_fast([u.decode() for u in some], add_special_tokens=False)
+            ids = [x.ids for x in found]
+            size = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))) * self.kind.itemsize
+            flat, begin = np.array([i for x in ids for i in x], dtype=self.kind).tobytes(), 0
+            for unit, end in zip(some, size.tolist()):
+                known[unit] = flat[begin:end]
+                begin = end
+        return list(map(known.__getitem__, units))
 
 
 @lru_cache(maxsize=2)
@@ -119,11 +160,12 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, doc_id: s
         own = encoder(where)
         last = end.to_bytes(4 if own.wide else 2, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = own.encode([t or "" for t in part.column(1).to_pylist()])
-                frames = [record(i, x + last, own.wide) for i, x in zip(part.column(0).to_pylist(), ids)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in frames], pa.binary())], names=["frame"])
+            for part in scan.slices(batch.column(1), 2 * scan.SLICE):
+                ids, ends = own.encode(part)
+                data, ends = ids.tobytes(), (ends * own.kind.itemsize).tolist()
+                names = batch.column(0).slice(part.first, part.rows).to_pylist()
+                frames = [record(i, data[a:b] + last, own.wide)[:-1] for i, a, b in zip(names, ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
     order, digest = row_order(doc_id).alias("o"), F.xxhash64(text).alias("h")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), order, digest)
