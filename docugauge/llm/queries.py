@@ -144,3 +144,13 @@ words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FR
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+
+def op8_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: tokens, tokens that training documents hold, the base score and the lattice score."""
+    from docugauge.llm import lm_score
+
+    return lm_score.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op8_lattice_score"] = op8_lattice_score
