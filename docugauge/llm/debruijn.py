@@ -37,7 +37,7 @@ from docugauge.llm import scan
 from docugauge.llm.frames import discard, fresh, row_order, stored
 
 #: Words of an edge, words of a minimizer, words that a task compares at once, words of a compared piece.
-K, MINIMIZER, CHUNK, PIECE = 20, 6, 2 << 20, 256
+K, MINIMIZER, CHUNK, PIECE = 20, 6, 1 << 19, 256
 _PLACE = 24  # bits of a place in a block of minimizers
 
 _ROW = [("h", pa.int64()), ("o", pa.int64()), ("seq", pa.int32()), ("start", pa.int32()), ("lead", pa.int32()), ("prints", pa.binary())]
@@ -88,8 +88,9 @@ def _paths(seed: int, k: int, m: int):
         repeat = (o[row] > o[row[source]]) | (start > start[source])
         yield from _runs(o, seq, row, start, source, repeat)
         keep = np.flatnonzero(~repeat)
-        place = minimizers(scan.window_hashes(words ^ np.uint64(seed), m, "word2"), k - m + 1)
-        yield from _rows(o, seq, row[keep], start[keep], at[keep], place[at[keep]], scan.window_hashes(words ^ np.uint64(seed), m, "word2"), edges[at[keep]])
+        del order, sorted_, new, source, repeat
+        short = scan.window_hashes(words ^ np.uint64(seed), m, "word2")
+        yield from _rows(o, seq, row[keep], start[keep], at[keep], minimizers(short, k - m + 1)[at[keep]], short, edges[at[keep]])
 
     def _runs(o, seq, row, start, source, repeat) -> Iterator[pa.RecordBatch]:
         i = np.flatnonzero(repeat)
@@ -113,16 +114,18 @@ def _paths(seed: int, k: int, m: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.take(pa.array(np.argsort(np.asarray(batch.column(0)), kind="stable")))
-            o, seq = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            held: list[tuple] = []
-            for part in scan.slices(batch.column(2)):
-                words = scan.Words(part, scan.WHITE)
-                own = slice(part.first, part.first + part.rows)
-                held.append((o[own], seq[own], words.count, words.hashes()))
-                if sum(len(x[3]) for x in held) >= CHUNK:
-                    yield from chunk(*map(np.concatenate, zip(*held)))
-                    held = []
+            order, held = np.argsort(np.asarray(batch.column(0)), kind="stable"), []
+            for at in range(0, batch.num_rows, 512):
+                some = batch.take(pa.array(order[at : at + 512]))
+                o, seq = np.asarray(some.column(0)), np.asarray(some.column(1))
+                for part in scan.slices(some.column(2), scan.SLICE // 4):
+                    words = scan.Words(part, scan.WHITE)
+                    own = slice(part.first, part.first + part.rows)
+                    held.append((o[own], seq[own], words.count, words.hashes()))
+                    del words
+                    if sum(len(x[3]) for x in held) >= CHUNK:
+                        yield from chunk(*map(np.concatenate, zip(*held)))
+                        held = []
             if held:
                 yield from chunk(*map(np.concatenate, zip(*held)))
 
@@ -249,7 +252,7 @@ def _finish(width: int, text_at: int, names: list[str], k: int, keep_text: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in scan.slices(batch.column(text_at)):
+            for part in scan.slices(batch.column(text_at), scan.SLICE // 4):
                 own = batch.slice(part.first, part.rows)
                 words = scan.Words(part, scan.WHITE)
                 kept = np.ones(len(words), dtype=bool)
