@@ -37,7 +37,7 @@ from docugauge.llm.frames import row_order
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
 #: Records of a file at most, and parts of texts that a worker remembers.
-FILE_RECORDS, MOST_PARTS = 100_000, 1_200_000
+FILE_RECORDS, MOST_PARTS = 20_000, 600_000
 
 
 def masked(data: bytes) -> bytes:
@@ -67,7 +67,7 @@ def parse(data: memoryview, at: int) -> tuple[int | None, np.ndarray, int]:
 
 
 def _classes() -> np.ndarray:
-    """Of bytes: 1 ASCII letter, 2 digit, 3 ASCII mark but apostrophe, 4 space, 5 line feed, 6 first byte of a character that is surely not white space, 0 other."""
+    """Of bytes: 1 letter (of ASCII here, of Latin-1 in _cuts), 2 digit, 3 ASCII mark but apostrophe, 4 space, 5 line feed, 6 first byte of a character that is surely not white space, 0 other."""
     kind = np.zeros(256, dtype=np.uint8)
     kind[0x21:0x7F] = 3
     kind[0x30:0x3A] = 2
@@ -83,7 +83,7 @@ _KIND = _classes()
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    Its own pattern never joins some neighbours, whatever surrounds them: ASCII letters, digits and marks
+    Its own pattern never joins some neighbours, whatever surrounds them: Latin letters, digits and marks
     of different kinds (apostrophes apart), a space that no white space follows and what is before it,
     and a lone line feed and its neighbours. Texts are cut there, the library encodes each different part
     once, whole, and the parts' ids are put together. Parts that came before are looked up.
@@ -119,6 +119,9 @@ class Encoder:
     def _cuts(self, data: np.ndarray) -> np.ndarray:
         kind = np.zeros(len(data) + 2, dtype=np.uint8)
         kind[1:-1] = _KIND[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)  # the letters of Latin-1, but not its two signs
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        kind[lead + 1] = kind[lead + 2] = 1
         before, here, after = kind[:-2], kind[1:-1], kind[2:]
         solid = (after == 1) | (after == 2) | (after == 3) | (after == 6)
         solid[:-1] |= data[1:] == 0x27

@@ -21,7 +21,7 @@ def test_parts_like_whole_texts(library):
     rng = random.Random(3)
     texts = ["", " ", "  ", "a  b", " a", "a ", "a \nb", "a\n b", "a\n  b\t c", "x  y  z", "don't  stop  ", "<|endoftext|> a", "日本 語\r\n é", "\x85 a \x85"]
     texts += ["".join(rng.choice("ab'1é日 \n\t 　.,") for _ in range(rng.randrange(40))) for _ in range(2000)]
-    texts += ["".join(rng.choice(["'s", "'", " ", "a", "Z", "9", ".", "\n", "é", "\u00a0", "\u2003", "\u3000", "\r", "\t", "ß", "日"]) for _ in range(rng.randrange(30))) for _ in range(4000)]
+    texts += ["".join(rng.choice(["'s", "'", " ", "a", "Z", "9", ".", "\n", "é", "×", "÷", "à", "\u00a0", "\u2003", "\u3000", "\r", "\t", "ß", "日"]) for _ in range(rng.randrange(30))) for _ in range(4000)]
     own = records.Encoder(P.path(records.TOKENIZER))
     for part in scan.slices(pa.array(texts), 5000):
         ids, ends = own.encode(part)
