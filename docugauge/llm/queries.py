@@ -168,3 +168,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_language_id"] = op9_language_id
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: paragraphs, those predicted to be licences, those that a template confirms, and the confirmed families."""
+    from docugauge.llm import license_scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = license_scan.scanned(docs, license_scan.fitted(docs))
+    sure = F.filter("licences", lambda x: x["confirmed"])
+    return out.select(
+        "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_paragraphs"), F.size("licences").cast("long").alias("n_predicted"), F.size(sure).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"), F.coalesce(F.array_max(F.transform("licences", lambda x: x["probability"])), F.lit(0.0)).alias("probability"),
+    )
+
+
+QUERIES["op2_license_scan"] = op2_license_scan
