@@ -31,6 +31,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from docugauge.llm import scan
+from docugauge.llm.frames import small_batches
+
 RANKS, PATTERN = "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
 #: Transitions and encoded matches that a worker holds before it begins anew.
 MOST_TRANSITIONS, MOST_MATCHES = 1_000_000, 500_000
@@ -249,6 +252,7 @@ def digests(docs: DataFrame, *, ranks: str | None = None, text: str = "text", na
 
 
 def _mapped(docs: DataFrame, column: str, fields: list[T.StructField], ranks: str | None, of, types: list[pa.DataType]) -> DataFrame:
+    small_batches(docs.sparkSession)
     at, width, path = docs.columns.index(column), len(docs.columns), ranks or public_tokenizers.path(RANKS)
     schema = T.StructType([*docs.schema.fields, *fields])
     names = schema.names
@@ -260,4 +264,4 @@ def _mapped(docs: DataFrame, column: str, fields: list[T.StructField], ranks: st
             made = [of(own, empty if x is None else x) for x in (v.as_py() for v in batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array([m[i] for m in made], t) for i, t in enumerate(types))], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(scan.tidy(run), schema)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docugauge.llm import scan
-from docugauge.llm.frames import discard, fresh, row_order, stored
+from docugauge.llm.frames import discard, fresh, row_order, small_batches, stored
 
 #: Words of an edge, words of a minimizer, words that a task compares at once, words of a compared piece.
 K, MINIMIZER, CHUNK, PIECE = 20, 6, 1 << 19, 256
@@ -287,6 +287,7 @@ def deduplicated(docs: DataFrame, *, k: int = K, minimizer: int = MINIMIZER, doc
     A text that loses words is its other words joined by one space; other texts stay as they are.
     keep_text False: the texts aren't returned. prints: bits of a print that are used, for tests.
     """
+    small_batches(docs.sparkSession)
     columns = [c for c in docs.columns if keep_text or c != text]
     o, seq, marks, asked, n_words, n_removed, left, proofs = fresh(docs, "o", "seq", "marks", "asked", "n_words", "n_removed", "kept_sha256", "proofs")
     keyed = _keyed(docs, doc_id, text, o, seq)
@@ -294,16 +295,16 @@ def deduplicated(docs: DataFrame, *, k: int = K, minimizer: int = MINIMIZER, doc
     own = docs.schema
     schema = T.StructType([*own.fields, T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType()), T.StructField(left, T.StringType()), T.StructField(proofs, _PROOF)])
     for attempt in range(20):
-        paths = rows.mapInArrow(_paths(attempt * 0x9E3779B97F4A7C15 & (1 << 64) - 1, k, minimizer), "h long, o long, seq int, start int, lead int, prints binary")
+        paths = rows.mapInArrow(scan.tidy(_paths(attempt * 0x9E3779B97F4A7C15 & (1 << 64) - 1, k, minimizer)), "h long, o long, seq int, start int, lead int, prints binary")
         if prints != 0xFFFFFFFF and not attempt:
             paths = paths.withColumn("prints", F.when(F.col("lead") >= 0, F.expr(f"substring(repeat(x'{prints:08x}', cast(octet_length(prints) / 4 as int)), 1, octet_length(prints))")).otherwise(F.col("prints")))
-        runs = paths.repartition("h").sortWithinPartitions("h").mapInArrow(_meet, _RUN_SQL)
+        runs = paths.repartition("h").sortWithinPartitions("h").mapInArrow(scan.tidy(_meet), _RUN_SQL)
         held = stored(runs.groupBy("o", "seq").agg(F.collect_list(F.struct("start", "edges", "so", "sseq", "sstart")).alias("marks")), "runs")
         wanted = held.select("marks").mapInArrow(_asked(k), "o long, seq int, a int, b int").distinct()
         wanted = wanted.groupBy("o", "seq").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
         both = stored(held.join(wanted, ["o", "seq"], "full").select(F.col("o").alias(o), F.col("seq").alias(seq), F.col("marks").alias(marks), F.col("asked").alias(asked)), "spans")
         full = keyed.join(both, [o, seq], "left").select(*[F.col(f"`{c}`") for c in docs.columns], o, seq, marks, asked)
-        out = full.mapInArrow(_finish(len(docs.columns), docs.columns.index(text), schema.names, k, keep_text), schema)
+        out = full.mapInArrow(scan.tidy(_finish(len(docs.columns), docs.columns.index(text), schema.names, k, keep_text)), schema)
         out = stored(out.select(*[F.col(f"`{c}`") for c in columns], n_words, n_removed, left, proofs), "kept")
         seen = out.select(F.explode(proofs).alias("p")).groupBy("p.o", "p.seq", "p.a", "p.b").agg(F.min("p.d").alias("x"), F.max("p.d").alias("y"))
         false = seen.where("x <> y").isEmpty()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docugauge.llm import lattice, scan
-from docugauge.llm.frames import stored
+from docugauge.llm.frames import small_batches, stored
 
 MODEL = "piece_bpe_32k.model"
 #: Tokens in the broadcast, words that a task counts at once, and words whose probabilities a worker remembers.
@@ -140,9 +140,10 @@ def _rows(*columns) -> pa.RecordBatch:
 
 def scored(docs: DataFrame, *, model: str | None = None, doc_id: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 both)."""
+    small_batches(docs.sparkSession)
     spark, path = docs.sparkSession, model or public_tokenizers.path(MODEL)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out(doc_id).alias("held_out"))
-    lexicon = stored(own.where("NOT held_out").select("text").mapInArrow(_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lexicon")
+    lexicon = stored(own.where("NOT held_out").select("text").mapInArrow(scan.tidy(_counts), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lexicon")
     n, v = lexicon.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     sizes = lexicon.groupBy("c").count().toArrow().sort_by([("c", "descending")])
     many = np.cumsum(sizes["count"].to_numpy()) <= head
@@ -152,7 +153,7 @@ def scored(docs: DataFrame, *, model: str | None = None, doc_id: str = "doc_id",
     shared = spark.sparkContext.broadcast((top["h"].to_numpy().view(np.uint64)[order], top["c"].to_numpy()[order]) if top.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     numbered = own.withColumn("u", F.monotonically_increasing_id())
     # A row's id travels with one of its parts; all parts of a row are made by one task, from one read.
-    parts = numbered.select("u", F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(_scorer(path, shared, n, v), _SCHEMA)
+    parts = numbered.select("u", F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(scan.tidy(_scorer(path, shared, n, v)), _SCHEMA)
     rest = lexicon.where(F.col("c") < least).select("h", "c", F.lit(0).alias("kind"))
     met = parts.join(rest, ["h", "kind"], "left")
     c, tail = F.coalesce(F.col("c"), F.lit(0)), F.col("kind") == 0

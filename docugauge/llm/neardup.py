@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docugauge.llm import scan, superminhash
 from docugauge.llm.components import components
-from docugauge.llm.frames import discard, fresh, row_order, stored
+from docugauge.llm.frames import discard, fresh, row_order, small_batches, stored
 
 PLACES, BANDS = 128, 32
 _LOWEST = -(2**63)
@@ -81,8 +81,9 @@ def _exploded(k: int, lower: bool):
 
 def groups(docs: DataFrame, *, k: int, percent: int, lower: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: o (its id, null as the smallest long), th (xxhash64 of its text), n (set size), g (a number of its group, null without a set), root (the least o of its group)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(row_order(doc_id).alias("o"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    members = stored(rows.mapInArrow(_sketches(k, lower), "o long, th long, n long, d1 long, d2 long, bands array<long>"), "sketches")
+    members = stored(rows.mapInArrow(scan.tidy(_sketches(k, lower)), "o long, th long, n long, d1 long, d2 long, bands array<long>"), "sketches")
     first = F.min(F.struct("o", "th")).alias("first")
     nodes = members.where("n > 0").groupBy("d1", "d2").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = stored(nodes.select("d1", "d2", "first.o", "first.th", "n", "bands").withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -126,7 +127,7 @@ def _near_in_size(a: str, b: str, percent: int):
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_checked(k, lower, percent), "a long, b long")
+    return both.mapInArrow(scan.tidy(_checked(k, lower, percent)), "a long, b long")
 
 
 def _prefix_pairs(nodes: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
@@ -135,7 +136,7 @@ def _prefix_pairs(nodes: DataFrame, k: int, percent: int, lower: bool) -> DataFr
     Linked sets of sizes x and y share at least s = percent * (x + y) / (100 + percent) shingles. In any
     one order of all shingles, the first that both hold is at places i and j with i <= x - s and j <= y - s.
     """
-    held = stored(nodes.mapInArrow(_exploded(k, lower), "node long, c long, n long, e long"), "shingles")
+    held = stored(nodes.mapInArrow(scan.tidy(_exploded(k, lower)), "node long, c long, n long, e long"), "shingles")
     often = stored(held.groupBy("e").agg(F.count("*").alias("f")).where("f > 1"), "often")
     # Shingles of one node alone come first in the order; they are only counted.
     shared = held.join(often, "e").groupBy("node", "c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("s"))

@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docugauge.llm import scan
-from docugauge.llm.frames import row_order
+from docugauge.llm.frames import row_order, small_batches
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
 #: Records of a file at most, and parts of texts that a worker remembers.
-FILE_RECORDS, MOST_PARTS = 20_000, 600_000
+FILE_RECORDS, MOST_PARTS = 20_000, 500_000
 
 
 def masked(data: bytes) -> bytes:
@@ -157,6 +157,7 @@ def encoder(path: str) -> Encoder:
 
 def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", end: int = END, file_records: int = FILE_RECORDS) -> None:
     """Encodes and writes all documents, in ascending order, the end id after each."""
+    small_batches(docs.sparkSession)
     where = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, doc_id: s
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), order, digest)
     rows = rows.repartitionByRange("o", "h").sortWithinPartitions("o", "h").select("id", "text")
     # The text sink writes the bytes of a string as they are, and the separator after each.
-    rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", file_records).text(path)
+    rows.mapInArrow(scan.tidy(run), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", file_records).text(path)
 
 
 def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
@@ -185,6 +186,8 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     schema = "file string, offset long, bytes long, doc_id long, before long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # a worker that has encoded before needs its parts no more
+        scan.release()
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
                 data, at, before, rows = memoryview(content.as_buffer()).cast("B"), 0, 0, []
@@ -198,7 +201,7 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                         rows = []
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.regexp_extract("path", "[^/]+$", 0), "content").mapInArrow(run, schema)
+    return files.select(F.regexp_extract("path", "[^/]+$", 0), "content").mapInArrow(scan.tidy(run), schema)
 
 
 def with_starts(records: DataFrame) -> DataFrame:
