@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docugauge.llm import scan
-from docugauge.llm.frames import fresh, stored
+from docugauge.llm.frames import fresh, some, stored
 
 SAMPLE, SAMPLE_CHARS = 2000, 4000
 #: Trigrams that a text counts for, the share of right declarations and addresses, pseudo-counts of a prior, and the least probability.
@@ -82,7 +82,8 @@ class Model:
 
 
 def fitted(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.substring(text, 1, chars).alias("t"), F.xxhash64(F.lit(11), key).alias("h"), F.xxhash64(text).alias("x"))
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = some(known, key, sample).select(F.col(lang).alias("l"), F.substring(text, 1, chars).alias("t"), F.xxhash64(F.lit(11), key).alias("h"), F.xxhash64(text).alias("x"))
     return Model([(r.l, r.t) for r in rows.orderBy("h", "x", "l").limit(sample).collect()])
 
 

@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docugauge.llm.frames import some
+
 SAMPLE, SAMPLE_CHARS = 300, 3000
 LEAST, COVER = 0.5, 0.75
 UNKNOWN = "unknown"
@@ -141,7 +143,7 @@ class Classifier:
 
 def fitted(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Classifier:
     """Fits on the first documents by a hash of their ids; lines that hold a template count as no ordinary ones."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.substring(text, 1, chars).alias("t"), F.xxhash64(F.lit(5), key).alias("h"), F.xxhash64(text).alias("x"))
+    rows = some(docs.where(F.col(text).isNotNull()), key, sample).select(F.substring(text, 1, chars).alias("t"), F.xxhash64(F.lit(5), key).alias("h"), F.xxhash64(text).alias("x"))
     lines = [line for r in rows.orderBy("h", "x").limit(sample).collect() for line in r.t.split("\n") if line.strip()]
     known = [grams(t, (2,)) for lines_ in TEMPLATES.values() for t in lines_]
     return Classifier([line for line in lines if not any(len(k & grams(line, (2,))) >= COVER * len(k) for k in known)])

@@ -25,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +38,7 @@ from docugauge.llm.frames import row_order, small_batches
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
 #: Records of a file at most, and parts of texts that a worker remembers.
-FILE_RECORDS, MOST_PARTS = 20_000, 500_000
+FILE_RECORDS, MOST_PARTS = 20_000, 2_000_000
 
 
 def masked(data: bytes) -> bytes:
@@ -80,6 +81,82 @@ def _classes() -> np.ndarray:
 _KIND = _classes()
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind) -> None:
+        self.held, self.n = np.zeros(1 << 12, dtype=kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            self.held = np.concatenate((self.held[: self.n], np.zeros(max(self.n // 2, len(more)) + len(more), dtype=self.held.dtype)))
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    def __getitem__(self, at):
+        return self.held[: self.n][at]
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places begin .. begin + size, one range after the other."""
+    ends = np.cumsum(size)
+    return np.repeat((begin - (ends - size)).astype(np.int32), size) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+
+
+class _Parts:
+    """Parts that were encoded before, with their ids: found by hash in sorted arrays, compared byte by byte."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.sorted = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2  # the many, and those since they were sorted last
+        self.text, self.begin, self.size = _Grown(np.uint8), _Grown(np.int32), _Grown(np.int32)
+        self.ids, self.first, self.count = _Grown(self.kind), _Grown(np.int32), _Grown(np.int32)
+
+    def __len__(self) -> int:
+        return self.begin.n
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of each part, -1 for new ones."""
+        out = np.full(len(hashes), -1, dtype=np.int32)
+        for known, number in self.sorted:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                out[hit] = number[at[hit]]
+        held = np.flatnonzero(out >= 0)
+        same = self.size[out[held]] == size[held]
+        out[held[~same]] = -1
+        held = held[same]
+        if len(held):
+            differ = self.text[_spread(self.begin[out[held]], size[held])] != data[_spread(begin[held], size[held])]
+            if differ.any():
+                out[held[np.repeat(np.arange(len(held)), size[held])[differ]]] = -1
+        return out
+
+    def add(self, hashes: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Their numbers."""
+        number = np.arange(self.begin.n, self.begin.n + len(hashes), dtype=np.int32)
+        self.begin.add(self.text.n + np.cumsum(size) - size)
+        self.size.add(size)
+        self.text.add(data[_spread(begin, size)])
+        self.first.add(self.ids.n + np.cumsum(count) - count)
+        self.count.add(count)
+        self.ids.add(ids)
+        many, recent = self.sorted
+        recent = self._merged(recent, (hashes, number))
+        self.sorted = [self._merged(many, recent), (recent[0][:0], recent[1][:0])] if 4 * len(recent[0]) > len(many[0]) else [many, recent]
+        return number
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        h, number = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+        order = np.argsort(h, kind="stable")
+        return h[order], number[order]
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
@@ -96,7 +173,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.parts: dict[bytes, bytes] = {}
+        self.parts = _Parts(self.kind)
 
     def encode(self, part: scan.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and where each text's begin and end."""
@@ -107,13 +184,11 @@ class Encoder:
         begin = np.flatnonzero(cut)
         where = np.append(begin, len(part.data)).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(where), pa.py_buffer(part.data)]).dictionary_encode()
-        ids = self._ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.kind.itemsize
-        flat, at = np.frombuffer(b"".join(ids), dtype=self.kind), np.cumsum(sizes) - sizes
-        index = coded.indices.to_numpy()
-        size = sizes[index]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        out = flat[np.repeat(at[index] - ends[:-1], size) + np.arange(ends[-1])]
+        number = self._numbers(coded.dictionary)
+        unit = number[coded.indices.to_numpy()]
+        size = self.parts.count[unit]
+        out = self.parts.ids[_spread(self.parts.first[unit], size)]
+        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
         return out, ends[np.searchsorted(begin, part.ends)]
 
     def _cuts(self, data: np.ndarray) -> np.ndarray:
@@ -133,21 +208,24 @@ class Encoder:
         cut[1:] |= line[:-1]
         return cut
 
-    def _ids(self, units: list[bytes]) -> list[bytes]:
-        known = self.parts
-        if len(known) > MOST_PARTS:
-            known.clear()
-        new = [u for u in units if u not in known]
-        for at in range(0, len(new), 1 << 15):
-            some = new[at : at + (1 << 15)]
-            found = self.library.encode_batch_fast([u.decode() for u in some], add_special_tokens=False)
-            ids = [x.ids for x in found]
-            size = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))) * self.kind.itemsize
-            flat, begin = np.array([i for x in ids for i in x], dtype=self.kind).tobytes(), 0
-            for unit, end in zip(some, size.tolist()):
-                known[unit] = flat[begin:end]
-                begin = end
-        return list(map(known.__getitem__, units))
+    def _numbers(self, units: pa.Array) -> np.ndarray:
+        """The number among the known parts of each unit; new ones are encoded first."""
+        if len(self.parts) > MOST_PARTS:
+            self.parts.clear()
+        _, where, held = units.buffers()
+        where = np.frombuffer(where, dtype=np.int32)[units.offset : units.offset + len(units) + 1]
+        data = np.frombuffer(held, dtype=np.uint8)
+        begin, size = where[:-1], np.diff(where)
+        hashes = scan.hashes(data, begin, where[1:])
+        number = self.parts.find(hashes, data, begin, size)
+        new = np.flatnonzero(number < 0)
+        for at in range(0, len(new), 1 << 14):
+            some = new[at : at + (1 << 14)]
+            found = [x.ids for x in self.library.encode_batch_fast([u.decode() for u in units.take(pa.array(some)).to_pylist()], add_special_tokens=False)]
+            count = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
+            ids = np.fromiter(chain.from_iterable(found), dtype=self.kind, count=int(count.sum()))
+            number[some] = self.parts.add(hashes[some], data, begin[some], size[some], ids, count)
+        return number
 
 
 @lru_cache(maxsize=2)
@@ -164,7 +242,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, doc_id: s
         own = encoder(where)
         last = end.to_bytes(4 if own.wide else 2, "little")
         for batch in batches:
-            for part in scan.slices(batch.column(1), 2 * scan.SLICE):
+            for part in scan.slices(batch.column(1)):
                 ids, ends = own.encode(part)
                 data, ends = ids.tobytes(), (ends * own.kind.itemsize).tolist()
                 names = batch.column(0).slice(part.first, part.rows).to_pylist()

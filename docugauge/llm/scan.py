@@ -76,6 +76,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each byte range."""
+    total, inverse = _sums(_BYTE_CODES[data], "byte")
+    return mix((total[end] - total[start]) * inverse[start])
+
+
 class Slice:
     """Some whole texts: their bytes, and where each begins and ends."""
 
@@ -136,8 +142,7 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        total, inverse = _sums(_BYTE_CODES[self.of.data], "byte")
-        return mix((total[self.end] - total[self.start]) * inverse[self.start])
+        return hashes(self.of.data, self.start, self.end)
 
     def rows(self) -> np.ndarray:
         """The row of each word."""
