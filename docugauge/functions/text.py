@@ -14,6 +14,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pixels of the grid that duplicates are found on, how far a pre-printed word may be, and height of a line in reading order.
 CELL, NEAR, LINE = 16, 22, 20
@@ -58,33 +59,33 @@ def best_run(words: list[dict], value: str, longest: int = 4) -> float:
     return max((ratio_of(r, goal) for r in runs if r and 0.5 * len(goal) <= len(r) <= 2.0 * len(goal)), default=0.0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize(text: pd.Series) -> pd.Series:
     return text.map(plain, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def key(text: pd.Series) -> pd.Series:
     return text.map(plain_key, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def tokens(texts: pd.Series) -> pd.Series:
     """The distinct normalised tokens of two or more characters of an array of texts, sorted."""
     return texts.map(plain_tokens, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio_of(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else overlap_of(list(x), list(y)) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def best_ngram(words: pd.Series, value: pd.Series) -> pd.Series:
     return pd.Series([None if w is None or v is None else best_run(list(w), v) for w, v in zip(words, value)], dtype="float64")
 

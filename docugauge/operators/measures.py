@@ -35,8 +35,8 @@ def per_key(scores: DataFrame, keys: Sequence[str], threshold: Column | float, s
     return out.withColumn("hit", (F.col("fp") > 0).cast("long"))
 
 
-def _summed(grouped) -> DataFrame:
-    return grouped.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "n_pos", "n_neg", "hit")], F.count("*").alias("n_dossiers"))
+def _summed(grouped, *more: Column) -> DataFrame:
+    return grouped.agg(*more, *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "n_pos", "n_neg", "hit")], F.count("*").alias("n_dossiers"))
 
 
 def with_intervals(sums: DataFrame, digits: int | None = None) -> DataFrame:
@@ -57,9 +57,7 @@ def measure(scores: DataFrame, threshold: Column | float, keys: Sequence[str], b
 def by_factor(scores: DataFrame, threshold: Column | float, keys: Sequence[str], axes: Sequence[str], digits: int | None = None) -> DataFrame:
     """measure for each value of each axis: axis, value, recall, n, fpr, dossier_fpr and the recall's interval."""
     rows = per_key(scores, list(dict.fromkeys([*keys, *axes])), threshold)
-    sums = _summed(rows.groupingSets([[a] for a in axes], *axes))
-    axis, value = _axis(axes)
-    out = with_intervals(sums.select(axis, value, "tp", "fp", "n_pos", "n_neg", "hit", "n_dossiers"), digits)
+    out = with_intervals(_summed(rows.groupingSets([[a] for a in axes], *axes), *_axis(axes)), digits)
     return out.select("axis", "value", "recall", F.col("n_pos").alias("n"), "fpr", "dossier_fpr", F.col("recall_low").alias("low"), F.col("recall_high").alias("high"))
 
 

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from docugauge.plans import analytics, documents
+
+QUERIES: dict = {**analytics.QUERIES, **documents.QUERIES}
+ORACLE_SQL: dict = {**analytics.ORACLE_SQL, **documents.ORACLE_SQL}
