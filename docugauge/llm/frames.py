@@ -58,6 +58,11 @@ def row_order(id_column: str) -> Column:
     return F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63)).cast("long"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: expressions have no variables but those of lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

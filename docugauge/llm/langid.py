@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docugauge.llm import scan
-from docugauge.llm.frames import fresh, some, stored
+from docugauge.llm.frames import fresh, let, some, stored
 
 SAMPLE, SAMPLE_CHARS = 2000, 4000
 #: Trigrams that a text counts for, the share of right declarations and addresses, pseudo-counts of a prior, and the least probability.
@@ -164,8 +164,7 @@ def identified(rows: DataFrame, model: Model, *, text: str, declared: Column, ad
         return F.zip_with(F.coalesce(x, zero), mine, lambda a, b: F.greatest(a - b, F.lit(0.0)))
 
     def smoothed(x: Column, towards: Column) -> Column:
-        n = F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-        return F.zip_with(x, towards, lambda a, b: (a + STRENGTH * b) / (n + STRENGTH))
+        return let(x, lambda k: let(F.aggregate(k, F.lit(0.0), lambda a, b: a + b), lambda n: F.zip_with(k, towards, lambda a, b: (a + STRENGTH * b) / (n + STRENGTH))))
 
     even = F.array(*[F.lit(1.0 / len(languages)) for _ in languages])
     by_host = smoothed(without(col(prior)), smoothed(without(col(joint)), smoothed(without(everything), even)))
@@ -178,7 +177,7 @@ def identified(rows: DataFrame, model: Model, *, text: str, declared: Column, ad
     return out, out_names
 
 
-def _softmax(x: Column) -> Column:
+def _softmax(logs: Column) -> Column:
     """Of an array of logarithms."""
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    raised = let(logs, lambda x: let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top))))
+    return let(raised, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda v: v / total)))

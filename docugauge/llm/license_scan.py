@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docugauge.llm.frames import some
+from docugauge.llm.frames import fresh, let, some
 
 SAMPLE, SAMPLE_CHARS = 300, 3000
 LEAST, COVER = 0.5, 0.75
@@ -57,17 +57,13 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 
 def grams(text: str, sizes: tuple[int, ...] = (1, 2, 3)) -> set[str]:
-    words = _WORD.findall(text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    words = _WORD.findall(text.lower())
     return {" ".join(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)}
 
 
-def _lowered(text: str) -> str:
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-
-
 def features(text: str) -> set[str]:
     """The n-grams of a paragraph that has a trigger."""
-    return grams(text) if any(t in _lowered(text) for t in TRIGGERS) else set()
+    return grams(text) if any(t in text.lower() for t in TRIGGERS) else set()
 
 
 class Classifier:
@@ -151,36 +147,46 @@ def fitted(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int
 
 def scanned(docs: DataFrame, model: Classifier, *, text: str = "text", name: str = "licences", least: float = LEAST, cover: float = COVER) -> DataFrame:
     """docs with an array of the lines predicted to be licences: paragraph (from 0), family, probability, confirmed."""
-    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    has_trigger = lambda c: _any([F.contains(lower(c), F.lit(t)) for t in TRIGGERS])
+    (low,) = fresh(docs, "lower")
+    has_trigger = lambda c: _any([F.contains(c, F.lit(t)) for t in TRIGGERS])
     weights = F.from_json(F.lit(json.dumps({g: [round(float(v), 12) for v in w] for g, w in zip(model.names, model.weights)})), "map<string,array<double>>")
     templates = F.from_json(F.lit(json.dumps([{"f": f, "g": sorted(grams(t, (2,)))} for f, lines in TEMPLATES.items() for t in lines])), "array<struct<f:string,g:array<string>>>")
     classes = F.array(*[F.lit(c) for c in model.classes])
     bias = F.array(*[F.lit(float(b)) for b in model.bias])
 
     def words(line: Column) -> Column:
-        return F.regexp_extract_all(lower(line), F.lit("[a-z0-9]+"), F.lit(0))
+        return F.regexp_extract_all(line, F.lit("[a-z0-9]+"), F.lit(0))
 
     def joined(w: Column, n: int) -> Column:
         starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
 
-    def judged(line: Column, place: Column) -> Column:
-        w = words(line)
+    def logits(w: Column) -> Column:
         held = F.array_distinct(F.concat(w, joined(w, 2), joined(w, 3)))
         known = F.filter(F.transform(held, lambda g: F.try_element_at(weights, g)), lambda x: x.isNotNull())
-        logits = F.aggregate(known, bias, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-        scaled = F.transform(logits, lambda z: F.exp((z - F.array_max(logits)) / model.temperature))
-        p = F.transform(scaled, lambda e: e / F.aggregate(scaled, F.lit(0.0), lambda a, b: a + b))
-        family = F.element_at(classes, F.array_position(p, F.array_max(p)).cast("int"))
-        covered = F.exists(templates, lambda t: (t["f"] == family) & (F.size(F.array_intersect(joined(w, 2), t["g"])) >= cover * F.size(t["g"])))
-        return F.struct(place.alias("paragraph"), family.alias("family"), F.round(F.array_max(p), 6).alias("probability"), covered.alias("confirmed"))
-
-    column = F.col(f"`{text}`")
+        return F.aggregate(known, bias, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+
+    def softmax(z: Column) -> Column:
+        raised = let(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp((v - top) / model.temperature)))
+        return let(raised, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(e, lambda v: v / total)))
+
+    def covered(w: Column, family: Column) -> Column:
+        return let(joined(w, 2), lambda two: F.exists(F.filter(templates, lambda t: t["f"] == family), lambda t: F.size(F.array_intersect(two, t["g"])) >= cover * F.size(t["g"])))
+
+    def named(w: Column, p: Column, best: Column, place: Column) -> Column:
+        sure = (best >= least) & (F.get(p, F.lit(0)) < best)
+        return let(F.element_at(classes, F.array_position(p, best).cast("int")), lambda family: F.when(sure, F.struct(place.alias("paragraph"), family.alias("family"), F.round(best, 6).alias("probability"), covered(w, family).alias("confirmed"))))
+
+    def judged(line: Column, place: Column) -> Column:
+        """A struct for a line that is predicted to be of a family, else null."""
+        return let(words(line), lambda w: let(let(logits(w), softmax), lambda p: let(F.array_max(p), lambda best: named(w, p, best, place))))
+
+    column = F.col(f"`{low}`")
     lines = F.filter(F.transform(F.split(column, "\n"), lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: has_trigger(x["s"]))
-    found = F.filter(F.transform(lines, lambda x: judged(x["s"], x["i"])), lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= least))
+    found = F.filter(F.transform(lines, lambda x: judged(x["s"], x["i"])), lambda x: x.isNotNull())
     none = F.array().cast("array<struct<paragraph:int,family:string,probability:double,confirmed:boolean>>")
-    return docs.withColumn(name, F.when(has_trigger(column), found).otherwise(none))
+    out = docs.withColumn(low, F.lower(F.col(f"`{text}`"))).withColumn(name, F.when(has_trigger(column), found).otherwise(none))
+    return out.drop(low)
 
 
 def _any(columns: list[Column]) -> Column:
