@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docugauge.llm import bpe, debruijn, decontaminate, langid, neardup
-from docugauge.llm.frames import fresh, stored, table
+from docugauge.llm.frames import stored, table
 
 #: No SQL expresses the fused language evidence or the tokens; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
@@ -50,9 +50,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids, back = fresh(docs, "ids", "back")
-    out = bpe.decoded(bpe.encoded(docs.select("doc_id", "lang", "source", "text"), ids=ids), ids=ids, text=back)
-    return out.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), F.col(ids).alias("ids"), F.col(back).eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+    out = bpe.round_trips(docs.select("doc_id", "lang", "source", "text"))
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("repeated_spans", repeated_spans), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]

@@ -21,8 +21,10 @@ length and repeated rows are encoded whole, row by row; other columns pass throu
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
@@ -33,10 +35,11 @@ from pyspark.sql import types as T
 
 from docugauge.llm import scan
 from docugauge.llm.frames import small_batches
+from docugauge.llm.parts import PartEncoder, spread
 
 RANKS, PATTERN = "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
-#: Transitions and encoded matches that a worker holds before it begins anew.
-MOST_TRANSITIONS, MOST_MATCHES = 1_000_000, 500_000
+#: Transitions and encoded parts of texts that a worker holds before it begins anew.
+MOST_TRANSITIONS, MOST_PARTS = 300_000, 700_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -50,45 +53,52 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-class State(dict):
-    """A state: transitions by byte, each the next state and the tokens emitted; those not yet there are made."""
-
-    __slots__ = ("core", "make")
-
-    def __missing__(self, byte: int) -> tuple[State, tuple]:
-        return self.make(self, byte)
-
-
 class Transducer:
     """Feeds bytes, gets token ids. One for a vocabulary; encode() may be called any number of times."""
 
     def __init__(self, ranks: dict[bytes, int], most: int = MOST_TRANSITIONS) -> None:
         self.ranks, self.most = ranks, most
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.down: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
+        self.down: dict[int, int] = {}  # node << 8 | byte to node
+        self.ends, self.inner = array("i", [-1]), bytearray(1)  # a node's token; whether it goes on
         for token, i in ranks.items():
             node = 0
             for b in token:
-                if (to := self.down[node].get(b)) is None:
-                    to = self.down[node][b] = len(self.down)
-                    self.down.append({})
+                if (to := self.down.get(node << 8 | b)) is None:
+                    to = self.down[node << 8 | b] = len(self.ends)
                     self.ends.append(-1)
+                    self.inner.append(0)
+                    self.inner[node] = 1
                 node = to
             self.ends[node] = i
         self.own: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.states: dict[tuple, State] = {}
-        self.start, self.made = self._state((-1, ((0, ()),))), 0
-
-    def _state(self, core: tuple) -> State:
-        if (found := self.states.get(core)) is None:
-            found = self.states[core] = State()
-            found.core, found.make = core, self._move
-        return found
+        # States are numbers; what one stands for is kept packed, as it is only read to make a transition.
+        self.cores: list[bytes] = []
+        self.numbers: dict[bytes, int] = {}
+        self.moves: dict[int, int] = {}  # state << 8 | byte to state << 24 | number of what is emitted
+        self.outs: list[tuple] = [()]
+        self.out_numbers: dict[tuple, int] = {(): 0}
+        self._state(-1, [(0, ())])
+
+    def _state(self, last: int, live: list[tuple[int, tuple]]) -> int:
+        core = array("i", [last, *(x for node, chain in live for x in (node, len(chain), *chain))]).tobytes()
+        if (number := self.numbers.get(core)) is None:
+            number = self.numbers[core] = len(self.cores)
+            self.cores.append(core)
+        return number
+
+    def _unpacked(self, state: int) -> tuple[int, list[tuple[int, tuple]]]:
+        last, *flat = array("i", self.cores[state])
+        live, i = [], 0
+        while i < len(flat):
+            n = flat[i + 1]
+            live.append((flat[i], tuple(flat[i + 2 : i + 2 + n])))
+            i += 2 + n
+        return last, live
 
     def _allowed(self, before: int, token: int) -> bool:
         """Whether the token can follow: it and, after another, both together encode to themselves."""
@@ -98,23 +108,24 @@ class Transducer:
             return known
         if not self._allowed(-1, token):
             return False
-        if (known := self.pairs.get((before, token))) is None:
-            known = self.pairs[before, token] = merge(self.bytes_of[before] + self.bytes_of[token], self.ranks) == [before, token]
-            if len(self.pairs) > 4 * self.most:
+        key = before << 32 | token
+        if (known := self.pairs.get(key)) is None:
+            known = self.pairs[key] = merge(self.bytes_of[before] + self.bytes_of[token], self.ranks) == [before, token]
+            if len(self.pairs) > 2 * self.most:
                 self.pairs.clear()
         return known
 
-    def _move(self, state: State, byte: int) -> tuple[State, tuple]:
-        """Makes the transition."""
-        last, live = state.core
+    def _move(self, state: int, byte: int) -> int:
+        """Makes the transition: the next state, and the number of what is emitted."""
+        last, live = self._unpacked(state)
         there, here = [], None
         for node, chain in live:
-            if (to := self.down[node].get(byte)) is None:
+            if (to := self.down.get(node << 8 | byte)) is None:
                 continue
             token = self.ends[to]
             if here is None and token >= 0 and self._allowed(chain[-1] if chain else last, token):
                 here = chain + (token,)
-            if self.down[to]:
+            if self.inner[to]:
                 there.append((to, chain))
         if here is None:
             raise ValueError(f"the vocabulary lacks the byte {byte}")
@@ -125,34 +136,33 @@ class Transducer:
             agreed += 1
         out = here[:agreed]
         last = out[-1] if out else last
-        to = self._state((last if shortest == agreed else -2, tuple((node, chain[agreed:]) for node, chain in there)))
-        state[byte] = to, out
-        self.made += 1
-        return to, out
+        to = self._state(last if shortest == agreed else -2, [(node, chain[agreed:]) for node, chain in there])
+        if (number := self.out_numbers.get(out)) is None:
+            number = self.out_numbers[out] = len(self.outs)
+            self.outs.append(out)
+        self.moves[state << 8 | byte] = step = to << 24 | number
+        return step
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one match that comes in chunks, each as soon as it is certain."""
-        at = self.start
+        if len(self.moves) > self.most:
+            self._clear()
+        at, moves, outs = 0, self.moves, self.outs
         for chunk in chunks:
             for byte in chunk:
-                at, out = at[byte]
-                if out:
-                    yield from out
-        yield from at.core[1][-1][1]
+                step = moves.get(at << 8 | byte)
+                if step is None:
+                    step = self._move(at, byte)
+                at = step >> 24
+                if emitted := step & 0xFFFFFF:
+                    yield from outs[emitted]
+        yield from self._unpacked(at)[1][-1][1]
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if self.made > self.most:
-            self._clear()
-        at, ids = self.start, []
-        for byte in piece:
-            at, out = at[byte]
-            if out:
-                ids += out
-        ids += at.core[1][-1][1]
-        return ids
+        return list(self.stream([piece]))
 
 
 class Utf8Machine:
@@ -189,29 +199,45 @@ class Utf8Machine:
         return left.decode("utf-8", "replace")
 
 
+class _Table:
+    """Byte strings by number, joined for many numbers at once."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self.size = np.fromiter(map(len, strings), dtype=np.int32, count=len(strings))
+        self.begin = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def joined(self, ids: np.ndarray, ends: np.ndarray) -> tuple[memoryview, list[int]]:
+        """The strings of all ids, and where each row begins and ends."""
+        size = self.size[ids]
+        total = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        return memoryview(self.data[spread(self.begin[ids], size)]), total[ends].tolist()
+
+
 class Codec:
     """Encodes texts to ids and back."""
 
     def __init__(self, path: str, pattern: str = PATTERN) -> None:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.transducer = Transducer(ranks)
-        self.pattern = regex.compile(pattern)
+        self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.tokens = [self.transducer.bytes_of.get(i, b"") for i in range(max(ranks.values()) + 1)]
-        self.decimal = [b"%d" % i for i in range(len(self.tokens))]
-        outer, little = self, [i.to_bytes(4, "little") for i in range(len(self.tokens))]
-
-        class Memo(dict):
-            def __missing__(self, match: str) -> bytes:
-                self[match] = found = b"".join([little[i] for i in outer.transducer.encode(match.encode())])
-                return found
+        self.bytes_table, self.decimal_table = _Table(self.tokens), _Table([b"%d " % i for i in range(len(self.tokens))])
+        self.by_parts = PartEncoder("<u4", lambda new: [self._ids(t) for t in new], MOST_PARTS) if pattern == PATTERN else None
 
-        self.memo = Memo()
+    def _ids(self, text: str) -> list[int]:
+        encode = self.transducer.encode
+        return [i for match in self.pattern.findall(text) for i in encode(match.encode())]
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self.memo) > MOST_MATCHES:
-            self.memo.clear()
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.pattern.findall(text))), dtype="<u4")
+        return np.array(self._ids(text), dtype="<u4")
+
+    def encode_slice(self, part: scan.Slice) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, and where each text's begin and end."""
+        if self.by_parts is not None:
+            return self.by_parts.encode(part)
+        ids = [self.encode(part.text(i).decode()) for i in range(part.rows)]
+        return np.concatenate([*ids, np.zeros(0, "<u4")]), np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
 
     def decode(self, ids: Iterable[int], piece: int = 4096) -> Iterator[str]:
         """Texts that together are the decoded text, as the ids come."""
@@ -220,6 +246,19 @@ class Codec:
             yield machine.feed(b"".join(map(tokens.__getitem__, ids[i : i + piece])))
         yield machine.close()
 
+    def decode_slice(self, ids: np.ndarray, ends: np.ndarray, piece: int = 1 << 16) -> Iterator[Iterator[str]]:
+        """For each row the pieces of its decoded text."""
+        data, at = self.bytes_table.joined(ids, ends)
+        for a, b in zip(at, at[1:]):
+            yield _streamed(data[a:b], piece)
+
+
+def _streamed(data: memoryview, piece: int) -> Iterator[str]:
+    machine = Utf8Machine()
+    for i in range(0, len(data), piece):
+        yield machine.feed(bytes(data[i : i + piece]))
+    yield machine.close()
+
 
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
@@ -227,31 +266,48 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+_IDS = T.ArrayType(T.IntegerType())
+
+
+def _id_lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
 def encoded(docs: DataFrame, *, ranks: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of ids (array of int). ranks: the vocabulary's path on every machine."""
-    return _mapped(docs, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], ranks, lambda c, x: (c.encode(x).astype(np.int32),), [pa.list_(pa.int32())])
+    return _mapped(docs, text, [T.StructField(ids, _IDS)], ranks, lambda c, part: [_id_lists(*c.encode_slice(part))])
 
 
-def decoded(docs: DataFrame, *, ranks: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """docs with a column of the text of their ids; null ids are empty."""
-    return _mapped(docs, ids, [T.StructField(text, T.StringType())], ranks, lambda c, x: ("".join(c.decode(x)),), [pa.string()])
+def round_trips(docs: DataFrame, *, ranks: str | None = None, text: str = "text", names: tuple[str, str] = ("ids", "round_trip")) -> DataFrame:
+    """docs with the ids, and whether they decode to the text."""
+
+    def run(c: Codec, part: scan.Slice) -> list[pa.Array]:
+        ids, ends = c.encode_slice(part)
+        same = [b"".join(p.encode() for p in pieces) == part.text(i) for i, pieces in enumerate(c.decode_slice(ids, ends))]
+        return [_id_lists(ids, ends), pa.array(same, pa.bool_())]
+
+    return _mapped(docs, text, [T.StructField(names[0], _IDS), T.StructField(names[1], T.BooleanType())], ranks, run)
 
 
 def digests(docs: DataFrame, *, ranks: str | None = None, text: str = "text", names: tuple[str, str, str] = ("n_tokens", "ids_sha256", "decoded_sha256")) -> DataFrame:
     """docs with the number of ids, the SHA-256 of the decimal ids joined by one space, and that of the ids' decoded bytes."""
-    from hashlib import sha256
 
-    def run(c: Codec, x: str) -> tuple:
-        ids = c.encode(x).tolist()
-        back = sha256()
-        for piece in c.decode(ids):
-            back.update(piece.encode())
-        return len(ids), sha256(b" ".join(map(c.decimal.__getitem__, ids))).hexdigest(), back.hexdigest()
+    def run(c: Codec, part: scan.Slice) -> list[pa.Array]:
+        ids, ends = c.encode_slice(part)
+        data, at = c.decimal_table.joined(ids, ends)
+        own = [sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(at, at[1:])]
+        back = []
+        for pieces in c.decode_slice(ids, ends):
+            digest = sha256()
+            for p in pieces:
+                digest.update(p.encode())
+            back.append(digest.hexdigest())
+        return [pa.array(np.diff(ends)), pa.array(own, pa.string()), pa.array(back, pa.string())]
 
-    return _mapped(docs, text, [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.StringType()), T.StructField(names[2], T.StringType())], ranks, run, [pa.int64(), pa.string(), pa.string()])
+    return _mapped(docs, text, [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.StringType()), T.StructField(names[2], T.StringType())], ranks, run)
 
 
-def _mapped(docs: DataFrame, column: str, fields: list[T.StructField], ranks: str | None, of, types: list[pa.DataType]) -> DataFrame:
+def _mapped(docs: DataFrame, column: str, fields: list[T.StructField], ranks: str | None, of) -> DataFrame:
     small_batches(docs.sparkSession)
     at, width, path = docs.columns.index(column), len(docs.columns), ranks or public_tokenizers.path(RANKS)
     schema = T.StructType([*docs.schema.fields, *fields])
@@ -260,8 +316,22 @@ def _mapped(docs: DataFrame, column: str, fields: list[T.StructField], ranks: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            empty = "" if not pa.types.is_list(batch.schema.field(at).type) else []
-            made = [of(own, empty if x is None else x) for x in (v.as_py() for v in batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array([m[i] for m in made], t) for i, t in enumerate(types))], names=names)
+            for part in scan.slices(batch.column(at), scan.SLICE // 4):
+                yield pa.RecordBatch.from_arrays([*batch.slice(part.first, part.rows).columns[:width], *of(own, part)], names=names)
+
+    return docs.mapInArrow(scan.tidy(run), schema)
+
+
+def decoded(docs: DataFrame, *, ranks: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """docs with a column of the text of their ids; null ids are empty."""
+    at, width, path = docs.columns.index(ids), len(docs.columns), ranks or public_tokenizers.path(RANKS)
+    schema = T.StructType([*docs.schema.fields, T.StructField(text, T.StringType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in batches:
+            texts = ["".join(own.decode(x.as_py() or [])) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(texts, pa.string())], names=names)
 
     return docs.mapInArrow(scan.tidy(run), schema)
