@@ -67,7 +67,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 2500) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows of an Arrow batch for tables with long texts, where the session has Spark's default of 10,000."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":

@@ -16,7 +16,7 @@ import pyarrow as pa
 from docugauge.llm import scan
 
 #: Parts that a worker remembers.
-MOST_PARTS = 700_000
+MOST_PARTS = 500_000
 
 
 def _classes() -> np.ndarray:
@@ -160,8 +160,8 @@ class PartEncoder:
         hashes = scan.hashes(data, begin, where[1:])
         number = self.parts.find(hashes, data, begin, size)
         new = np.flatnonzero(number < 0)
-        for at in range(0, len(new), 1 << 14):
-            some = new[at : at + (1 << 14)]
+        for at in range(0, len(new), 1 << 12):
+            some = new[at : at + (1 << 12)]
             found = self.encode_new([u.decode() for u in units.take(pa.array(some)).to_pylist()])
             count = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
             ids = np.fromiter(chain.from_iterable(found), dtype=self.kind, count=int(count.sum()))

@@ -38,7 +38,7 @@ from docugauge.llm.parts import PartEncoder
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
 #: Records of a file at most.
-FILE_RECORDS = 20_000
+FILE_RECORDS = 2_500
 
 
 def masked(data: bytes) -> bytes:
