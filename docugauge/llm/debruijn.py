@@ -281,11 +281,11 @@ def _finish(width: int, text_at: int, names: list[str], k: int, keep_text: bool)
     return run
 
 
-def deduplicated(docs: DataFrame, *, k: int = K, minimizer: int = MINIMIZER, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True, prints: int = 0xFFFFFFFF) -> tuple[DataFrame, list[str]]:
+def deduplicated(docs: DataFrame, *, k: int = K, minimizer: int = MINIMIZER, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> tuple[DataFrame, list[str]]:
     """docs without the words of repeated spans, and the names of three more columns: words, removed words, SHA-256 of what is left.
 
     A text that loses words is its other words joined by one space; other texts stay as they are.
-    keep_text False: the texts aren't returned. prints: bits of a print that are used, for tests.
+    keep_text False: the texts aren't returned.
     """
     small_batches(docs.sparkSession)
     columns = [c for c in docs.columns if keep_text or c != text]
@@ -296,8 +296,6 @@ def deduplicated(docs: DataFrame, *, k: int = K, minimizer: int = MINIMIZER, doc
     schema = T.StructType([*own.fields, T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType()), T.StructField(left, T.StringType()), T.StructField(proofs, _PROOF)])
     for attempt in range(20):
         paths = rows.mapInArrow(scan.tidy(_paths(attempt * 0x9E3779B97F4A7C15 & (1 << 64) - 1, k, minimizer)), "h long, o long, seq int, start int, lead int, prints binary")
-        if prints != 0xFFFFFFFF and not attempt:
-            paths = paths.withColumn("prints", F.when(F.col("lead") >= 0, F.expr(f"substring(repeat(x'{prints:08x}', cast(octet_length(prints) / 4 as int)), 1, octet_length(prints))")).otherwise(F.col("prints")))
         runs = paths.repartition("h").sortWithinPartitions("h").mapInArrow(scan.tidy(_meet), _RUN_SQL)
         held = stored(runs.groupBy("o", "seq").agg(F.collect_list(F.struct("start", "edges", "so", "sseq", "sstart")).alias("marks")), "runs")
         wanted = held.select("marks").mapInArrow(_asked(k), "o long, seq int, a int, b int").distinct()
