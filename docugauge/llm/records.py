@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docugauge.llm import scan
-from docugauge.llm.frames import row_order, small_batches
+from docugauge.llm.frames import discard, row_order, small_batches, stored
 from docugauge.llm.parts import PartEncoder
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
@@ -142,8 +142,10 @@ def with_starts(records: DataFrame) -> DataFrame:
 
 
 def write_index(records: DataFrame, path: str) -> None:
-    """The offset index, apart from the files."""
-    with_starts(records).select("doc_id", "file", "offset", "bytes", "start", "n_tokens", "ids_crc32").write.parquet(path)
+    """The offset index, apart from the files, which are read once."""
+    held = stored(records, "index")
+    with_starts(held).select("doc_id", "file", "offset", "bytes", "start", "n_tokens", "ids_crc32").write.parquet(path)
+    discard(held)
 
 
 def at_offset(path: str, offset: int) -> tuple[int | None, np.ndarray]:
