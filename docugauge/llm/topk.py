@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docugauge.llm.frames import row_order
 
 #: Queries of a block, and bins of a histogram.
 BLOCK, BINS = 4096, 256
