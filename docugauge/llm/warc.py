@@ -39,9 +39,8 @@ _FIELDS = (("file", pa.string()), ("offset", pa.int64()), ("record_type", pa.str
 HEADERS = "file string, offset long, record_type string, page_id long, uri string, payload_digest string, payload_bytes long, refers_to long"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1; its 160 bits are 8 times 4 letters of 5 bits."""
-    hexed = F.sha1(payload)
+def base32(hexed: Column) -> Column:
+    """Upper-case base32 of 160 bits in hexadecimal: 8 times 4 letters of 5 bits."""
 
     def letters(i: int) -> list[Column]:
         bits = F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 10).cast("int")
@@ -54,9 +53,10 @@ def _record(kind: Column, page_id: Column, uri: Column, digest: Column, size: Co
     urn = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     revisit = kind == "revisit"
-    safe = uri
+    coded = uri
     for c in [*range(0x21), 0x7F]:
-        safe = F.replace(safe, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+        coded = F.replace(coded, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    safe = F.when(uri.rlike(r"[\x00-\x20\x7F]"), coded).otherwise(uri)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit(END))
     body = F.when(revisit, F.lit("")).otherwise(payload)
     return F.concat(
@@ -69,7 +69,8 @@ def _record(kind: Column, page_id: Column, uri: Column, digest: Column, size: Co
 def write_responses(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", payload: str = "html", date: str = DATE, file_records: int = FILE_RECORDS) -> None:
     """A response record per row."""
     held = pages.select(F.col(page_id).cast("long").alias("i"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("p"))
-    _write(held.select(_record(F.lit("response"), F.col("i"), F.col("u"), base32_sha1(F.col("p").cast("binary")), F.octet_length("p"), F.col("p"), F.lit(None), date)), path, file_records)
+    held = held.withColumn("hex", F.sha1(F.col("p").cast("binary"))).withColumn("digest", base32(F.col("hex")))
+    _write(held.select(_record(F.lit("response"), F.col("i"), F.col("u"), F.col("digest"), F.octet_length("p"), F.col("p"), F.lit(None), date)), path, file_records)
 
 
 def _write(records: DataFrame, path: str, file_records: int) -> None:
