@@ -151,3 +151,15 @@ def capture_rows(sheets: DataFrame, devices: Mapping[str, int]) -> DataFrame:
     """Each sheet once per capture of each device."""
     table = sheets.sparkSession.createDataFrame(list(devices.items()), "device string, captures int")
     return sheets.crossJoin(F.broadcast(table)).withColumn("capture_index", F.explode(F.sequence(F.lit(1), F.col("captures")))).drop("captures")
+
+
+def targeted_runs(cells: DataFrame, targets: DataFrame, seeds: Sequence[int] = SEEDS, levels: Sequence[float] = PARASITE_LEVELS, all_shapes: bool = True) -> DataFrame:
+    """Foreign ink laid on what a variant damages and on the same place of the clean page: cells x seeds x levels x targets x sides.
+
+    targets: variant, check, piece, zone. Level 0 has no shape.
+    """
+    spark = cells.sparkSession
+    draws = spark.createDataFrame([(s, x) for s in seeds for x in levels], "seed int, parasite double")
+    sides = spark.createDataFrame([("variant",), (CLEAN,)], "side string")
+    out = cells.crossJoin(F.broadcast(draws)).crossJoin(F.broadcast(targets)).crossJoin(F.broadcast(sides))  # a design: all of it is wanted
+    return out.withColumn("shape", F.when(F.col("parasite") > 0, shape_for(F.col("seed"), F.col("cell_index"), all_shapes)))
