@@ -95,7 +95,7 @@ def _scanner(index, text_at: int, names: list[str], again: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, begins, items = [], [], []
-            for part in scan.slices(batch.column(text_at), lower=True):
+            for part in scan.slices(batch.column(text_at), scan.SLICE // 2, lower=True):
                 words = scan.Words(part, scan.ALNUM)
                 hits: dict[int, list] = {}
                 for i, size, held in window_hits(words, words.hashes(), index.value):

@@ -36,7 +36,7 @@ from docugauge.llm.frames import small_batches, stored
 
 MODEL = "piece_bpe_32k.model"
 #: Tokens in the broadcast, words that a task counts at once, and words whose probabilities a worker remembers.
-HEAD, CHUNK, MOST_WORDS = 1_000_000, 4 << 20, 800_000
+HEAD, CHUNK, MOST_WORDS = 1_000_000, 2 << 20, 400_000
 _END = np.uint64(0)  # the hash of the end; no word's, as it is mixed from none
 _LN10 = math.log(10)
 _known: dict[str, dict[bytes, float]] = {}
@@ -56,7 +56,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "c"])
 
     for batch in batches:
-        for part in scan.slices(batch.column(0), lower=True):
+        for part in scan.slices(batch.column(0), scan.SLICE // 2, lower=True):
             held += [scan.Words(part, scan.WHITE).hashes(), np.full(part.rows, _END)]
             if sum(map(len, held)) >= CHUNK:
                 yield counted()
@@ -86,7 +86,7 @@ def _scorer(path: str, head, n: int, v: int):
 
         c_end = int(frequent(np.array([_END]))[0])
         for batch in batches:
-            for part in scan.slices(batch.column(2), lower=True):
+            for part in scan.slices(batch.column(2), scan.SLICE // 2, lower=True):
                 words = scan.Words(part, scan.WHITE)
                 coded = words.array().dictionary_encode()
                 index = coded.indices.to_numpy()
