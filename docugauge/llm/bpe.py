@@ -15,7 +15,8 @@ made anew when there are many; that changes time, never the ids.
 
 Texts are cut by the public pattern and each match goes through the transducer on its own; a match
 that is a token as a whole is that token. Null texts are empty, empty texts have no ids, texts of any
-length and repeated rows are encoded whole, row by row; other columns pass through.
+length and repeated rows are encoded whole, row by row; other columns pass through, and a new column
+whose name is taken gets an underscore before it.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from docugauge.llm import scan
-from docugauge.llm.frames import small_batches
+from docugauge.llm.frames import fresh, small_batches
 from docugauge.llm.parts import PartEncoder, spread
 
 RANKS, PATTERN = "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
@@ -310,7 +311,7 @@ def digests(docs: DataFrame, *, ranks: str | None = None, text: str = "text", na
 def _mapped(docs: DataFrame, column: str, fields: list[T.StructField], ranks: str | None, of) -> DataFrame:
     small_batches(docs.sparkSession)
     at, width, path = docs.columns.index(column), len(docs.columns), ranks or public_tokenizers.path(RANKS)
-    schema = T.StructType([*docs.schema.fields, *fields])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(fresh(docs, *(f.name for f in fields)), fields))])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +326,7 @@ def _mapped(docs: DataFrame, column: str, fields: list[T.StructField], ranks: st
 def decoded(docs: DataFrame, *, ranks: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with a column of the text of their ids; null ids are empty."""
     at, width, path = docs.columns.index(ids), len(docs.columns), ranks or public_tokenizers.path(RANKS)
-    schema = T.StructType([*docs.schema.fields, T.StructField(text, T.StringType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(fresh(docs, text)[0], T.StringType())])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -146,7 +146,11 @@ def fitted(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int
 
 
 def scanned(docs: DataFrame, model: Classifier, *, text: str = "text", name: str = "licences", least: float = LEAST, cover: float = COVER) -> DataFrame:
-    """docs with an array of the lines predicted to be licences: paragraph (from 0), family, probability, confirmed."""
+    """docs with an array of the lines predicted to be licences: paragraph (from 0), family, probability, confirmed.
+
+    It is the last column; if its name is taken, it gets an underscore before it.
+    """
+    (name,) = fresh(docs, name)
     (low,) = fresh(docs, "lower")
     has_trigger = lambda c: _any([F.contains(c, F.lit(t)) for t in TRIGGERS])
     weights = F.from_json(F.lit(json.dumps({g: [round(float(v), 12) for v in w] for g, w in zip(model.names, model.weights)})), "map<string,array<double>>")

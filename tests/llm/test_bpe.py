@@ -73,5 +73,7 @@ def test_frame_of_nulls_ties_and_other_columns(spark):
     assert len(out) == 6 and [r.n_tokens for r in out][:5] == [0, 0, 2, 2, 2] and out[0].ids_sha256 == out[1].decoded_sha256 == empty
     assert out[5].decoded_sha256 == hashlib.sha256(("é" * 3000).encode()).hexdigest() and out[5].n_words == "z"
     assert bpe.digests(docs.limit(0)).collect() == []
+    clash = bpe.digests(docs.withColumnRenamed("n_words", "N_Tokens"))
+    assert clash.columns[-3:] == ["_n_tokens", "ids_sha256", "decoded_sha256"] and clash.collect()[2]["_n_tokens"] == 2
     back = bpe.decoded(bpe.encoded(docs)).collect()
     assert [r.decoded for r in back] == [r.text or "" for r in back]
