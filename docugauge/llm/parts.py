@@ -16,7 +16,7 @@ import pyarrow as pa
 from docugauge.llm import scan
 
 #: Parts that a worker remembers.
-MOST_PARTS = 500_000
+MOST_PARTS = 1_500_000
 
 
 def _classes() -> np.ndarray:
