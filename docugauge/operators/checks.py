@@ -17,19 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docugauge.functions import text as X
+from docugauge.operators.broadcasts import small
 from docugauge.operators.curves import fires
 from docugauge.schema import CHECKS, KNOBS, READING_CHECKS, SETTING_DEFAULTS, SETTINGS, SWEPT
 
-#: Pixels that a zone is widened by, and rows of a dimension that is still broadcast.
-MARGIN, SMALL = 8, 100_000
+#: Pixels that a zone is widened by.
+MARGIN = 8
 _FINDING = ("check", "piece", "target", "score")
 
 
-def small(dimension: DataFrame, rows: int = SMALL) -> DataFrame:
-    """A broadcast hint if the dimension has no more rows than that; else Spark joins it as it sees fit."""
-    return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension
-
-
 def combinations(check: str) -> list[dict]:
     """The settings that change something for a check; only ink reads by ink threshold, only words by confidence."""
     if check == "required_field":

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docugauge.functions import text as X
+from docugauge.operators.broadcasts import small
 from docugauge.operators.checks import Dimensions
 from docugauge.operators.dossiers import CLEAN
 
@@ -161,5 +162,5 @@ def targeted_runs(cells: DataFrame, targets: DataFrame, seeds: Sequence[int] = S
     spark = cells.sparkSession
     draws = spark.createDataFrame([(s, x) for s in seeds for x in levels], "seed int, parasite double")
     sides = spark.createDataFrame([("variant",), (CLEAN,)], "side string")
-    out = cells.crossJoin(F.broadcast(draws)).crossJoin(F.broadcast(targets)).crossJoin(F.broadcast(sides))  # a design: all of it is wanted
+    out = cells.crossJoin(F.broadcast(draws)).crossJoin(small(targets)).crossJoin(F.broadcast(sides))  # a design: all of it is wanted
     return out.withColumn("shape", F.when(F.col("parasite") > 0, shape_for(F.col("seed"), F.col("cell_index"), all_shapes)))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docugauge.operators.broadcasts import small
+
 CLEAN = "clean"
 
 
@@ -20,7 +22,7 @@ def divided(rows: DataFrame, keys: Sequence[str], member: str, expected: DataFra
     """The keys that hold every expected member: counts of distinct expected ones against their number."""
     wanted = expected.select(member).distinct()
     total = wanted.agg(F.count("*").alias("_total"))
-    held = rows.join(F.broadcast(wanted), member, "left_semi").select(*keys, member).distinct().groupBy(*keys).agg(F.count("*").alias("_held"))
+    held = rows.join(small(wanted), member, "left_semi").select(*keys, member).distinct().groupBy(*keys).agg(F.count("*").alias("_held"))
     return held.crossJoin(F.broadcast(total)).where("_held = _total").select(*keys)
 
 
@@ -33,10 +35,10 @@ def complete(rows: DataFrame, keys: Sequence[str], expected: DataFrame, pieces:
     enough = rows.where(F.col("variant") == CLEAN).groupBy(*keys).agg(F.countDistinct("piece").alias("_n")).where(F.col("_n") >= pieces).select(*keys)
     null_safe = lambda a, b: a.join(b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), _same(keys), "left_semi")
     kept = null_safe(null_safe(rows, whole), enough)
-    wanted = expected.select("variant").distinct().where(F.col("variant") != CLEAN)
-    edited = kept.join(F.broadcast(wanted), "variant", "left_semi")
+    wanted = small(expected.select("variant").distinct().where(F.col("variant") != CLEAN))
+    edited = kept.join(wanted, "variant", "left_semi")
     base = kept.where(F.col("variant") == CLEAN)
-    others = base.drop("variant").crossJoin(F.broadcast(wanted))
+    others = base.drop("variant").crossJoin(wanted)
     covered = edited.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("variant").alias("_v"), F.col("piece").alias("_p"))
     untouched = others.join(covered, _same(keys) & (F.col("variant") == F.col("_v")) & (F.col("piece") == F.col("_p")), "left_anti")
     return base.unionByName(edited).unionByName(untouched.select(*base.columns))
@@ -56,9 +58,9 @@ def labelled(scores: DataFrame, damaged: DataFrame, check: str, keys: Sequence[s
     Where a legacy variant has no damaged target with a score, all its targets count as positives.
     """
     own = damaged.where(F.col("check") == check).select("variant", "piece", "target").distinct()
-    variants = own.select("variant").distinct()
-    faulty = scores.where(F.col("variant") != CLEAN).join(F.broadcast(variants), "variant", "left_semi")
-    marked = faulty.join(F.broadcast(own.withColumn("_hit", F.lit(True))), ["variant", "piece", "target"], "left")
+    variants = small(own.select("variant").distinct())
+    faulty = scores.where(F.col("variant") != CLEAN).join(variants, "variant", "left_semi")
+    marked = faulty.join(small(own.withColumn("_hit", F.lit(True))), ["variant", "piece", "target"], "left")
     part = Window.partitionBy(*keys, "setting_id", "variant")
     any_hit = F.max(F.coalesce(F.col("_hit") & F.col("score").isNotNull(), F.lit(False))).over(part)
     marked = marked.withColumn("_any", any_hit)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docugauge.functions import text as X
 from docugauge.operators import align, checks, design, dossiers, raster
+from docugauge.operators.broadcasts import small
 from docugauge.operators.predicates import Holdout, Predicate
 from docugauge.plans.bindings import B, scores, table
 from docugauge.sources import manifests
@@ -257,7 +258,7 @@ def consistency_fuzzy(spark, d):
 def forbidden_ngram_exact(spark, d):
     values = table(spark, d, "benchmark").select("item_id", X.ascii_key(F.array_join(F.slice(F.split("text", " "), 1, 3), " ")).alias("k"))
     texts = table(spark, d, "documents").select("doc_id", X.ascii_key(F.col("text")).alias("t"))
-    met = checks.small(values).join(texts, (F.length("k") >= 6) & F.contains("t", "k"))
+    met = small(values).join(texts, (F.length("k") >= 6) & F.contains("t", "k"))
     counts = met.groupBy("item_id").agg(F.count("doc_id").alias("n"))
     return values.join(counts, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("documents"))
 
@@ -303,7 +304,7 @@ def sheet_codes(spark, d):
 def name_matches(spark, d):
     n = table(spark, d, "nation")
     a, b = n.select(F.col("n_name").alias("a")), n.select(F.col("n_name").alias("b"))
-    return a.join(checks.small(b), X.name_matches(F.col("a"), F.col("b")))
+    return a.join(small(b), X.name_matches(F.col("a"), F.col("b")))
 
 
 @query("word_dedup_grid", "WITH w AS (SELECT user_id, event_id, lower(event_type) AS t, CAST(floor(value) AS BIGINT) AS cx FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, t, CAST(floor(cx / 16) AS BIGINT) ORDER BY event_id) AS n FROM w) SELECT user_id, count(*) AS kept, CAST(sum(cx) AS BIGINT) AS places FROM r WHERE n = 1 GROUP BY user_id")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docugauge.operators import curves, measures
+from docugauge.operators.broadcasts import small
 from docugauge.operators.checks import Dimensions, scored
 from docugauge.operators.curves import BUDGET
 from docugauge.operators.dossiers import labelled
@@ -136,5 +137,5 @@ def step_split(scores: DataFrame, threshold: Column | float, axis: str, step: fl
 def published(results: DataFrame, evidence: Sequence[DataFrame]) -> DataFrame:
     """results by check with what other studies say about it beside it."""
     for more in evidence:
-        results = results.join(F.broadcast(more), "check", "left")
+        results = results.join(small(more), "check", "left")
     return results

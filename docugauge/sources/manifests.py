@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docugauge.functions.text import blank_to_null
+from docugauge.operators.broadcasts import small
 
 # Columns that a manifest must have, its sources, and the columns of its rows' keys.
 REQUIRED = ("image_path", "source", "identity", "piece", "variant", "instance", "seed", "dpi", "capture", "mark_step", "ts")
@@ -32,12 +33,13 @@ def violations(rows: DataFrame, pieces: DataFrame, variants: DataFrame, existing
     """(line, problem) of every rule that a row breaks; a union of filters, anti joins and one count per key."""
     say = lambda df, text: df.select("line", text.alias("problem") if isinstance(text, Column) else F.lit(text).alias("problem"))
     named = lambda what, c: F.concat(F.lit(f"{what} "), F.coalesce(F.col(c), F.lit("''")))
-    known = rows.join(F.broadcast(pieces.select("identity").distinct()), "identity", "left_semi")
+    who, what_pieces, what_variants = small(pieces.select("identity").distinct()), small(pieces.select("identity", "piece").distinct()), small(variants.select("identity", "variant").distinct())
+    known = rows.join(who, "identity", "left_semi")
     out = say(rows.where(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False))), named("unknown source", "source"))
-    out = out.unionByName(say(rows.join(F.broadcast(pieces.select("identity").distinct()), "identity", "left_anti"), named("unknown identity", "identity")))
-    out = out.unionByName(say(known.join(F.broadcast(pieces.select("identity", "piece").distinct()), ["identity", "piece"], "left_anti"), named("piece not declared", "piece")))
+    out = out.unionByName(say(rows.join(who, "identity", "left_anti"), named("unknown identity", "identity")))
+    out = out.unionByName(say(known.join(what_pieces, ["identity", "piece"], "left_anti"), named("piece not declared", "piece")))
     faulty = known.where(~F.coalesce(F.col("variant") == "clean", F.lit(False)))
-    out = out.unionByName(say(faulty.join(F.broadcast(variants.select("identity", "variant").distinct()), ["identity", "variant"], "left_anti"), named("unknown variant", "variant")))
+    out = out.unionByName(say(faulty.join(what_variants, ["identity", "variant"], "left_anti"), named("unknown variant", "variant")))
     out = out.unionByName(say(rows.where(F.coalesce(F.col("dpi").try_cast("int"), F.lit(0)) == 0), "no dpi"))
     if existing is not None:
         out = out.unionByName(say(rows.join(existing.select(F.col("path").alias("image_path")), "image_path", "left_anti"), named("image not found", "image_path")))
