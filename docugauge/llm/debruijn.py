@@ -7,15 +7,16 @@ other occurrence goes.
 
 1. A scan cuts each document into paths of consecutive edges with the same minimizer, the least hash
    of a shorter word run within the edge. Equal edges have equal minimizers, so a path travels to its
-   minimizer's partition as one row with a 32-bit print per edge. Edges that a task has met before in
+   minimizer's partition as one row with a 64-bit print per edge. Edges that a task has met before in
    the same few million words don't travel: their source there stands for them, so a passage copied
-   any number of times is no more rows at its partition than there are tasks.
+   any number of times is no more rows at its partition than there are tasks. Edges of a minimizer
+   that a sample shows to be common (a short line of many documents) travel by place and print.
 2. Minimizers of one path alone are dropped. Of the others, edges meet by minimizer, place and print;
    repeats that follow each other, and whose sources do, come back as one nonbranching run with its
    source's coordinates. Runs are joined to their documents and compacted again across minimizers.
 3. Sources and copies are compared by a 128-bit digest of their words, each computed in its own
-   document. Should two different edges ever share minimizer and print, that shows it, and all is
-   done again with other hashes.
+   document. Should two different edges ever share minimizer and print, that shows which copies are
+   wrong. They and their sources alone meet again, by other hashes; all other rows stay.
 
 Null, empty and short texts have no edges and stay whole. A null id sorts before all others. Rows that
 repeat an id are documents with the same place in the order, so neither is a source of the other at an
@@ -38,10 +39,13 @@ from docugauge.llm.frames import discard, fresh, row_order, small_batches, store
 
 #: Words of an edge, words of a minimizer, words that a task compares at once, words of a compared piece.
 K, MINIMIZER, CHUNK, PIECE = 20, 6, 1 << 19, 256
+#: Paths of a minimizer beyond which its edges part; the share of documents that tells, 1 of so many.
+HOT, SHARE = 1 << 17, 64
 _PLACE = 24  # bits of a place in a block of minimizers
 
 _ROW = [("h", pa.int64()), ("o", pa.int64()), ("seq", pa.int32()), ("start", pa.int32()), ("lead", pa.int32()), ("prints", pa.binary())]
 _RUN = [("o", pa.int64()), ("seq", pa.int32()), ("start", pa.int32()), ("edges", pa.int32()), ("so", pa.int64()), ("sseq", pa.int32()), ("sstart", pa.int32())]
+_ROW_SQL = "h long, o long, seq int, start int, lead int, prints binary"
 _RUN_SQL = "o long, seq int, start int, edges int, so long, sseq int, sstart int"
 
 
@@ -108,8 +112,8 @@ def _paths(seed: int, k: int, m: int):
             return
         new = np.concatenate(([True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)))
         a = np.flatnonzero(new)
-        where = np.concatenate((a, [len(at)])) * 4
-        prints = (edges & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8)
+        where = np.concatenate((a, [len(at)])) * 8
+        prints = edges.astype("<u8").view(np.uint8)
         yield _batch([hashes[place[a]].view(np.int64), o[row[a]], seq[row[a]], start[a], place[a] - at[a], _binary(prints, where)], _ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +125,7 @@ def _paths(seed: int, k: int, m: int):
                 for part in scan.slices(some.column(2), scan.SLICE // 4):
                     words = scan.Words(part, scan.WHITE)
                     own = slice(part.first, part.first + part.rows)
-                    held.append((o[own], seq[own], words.count, words.hashes()))
+                    held.append((o[own], seq[own], words.count, _others(words, seed) if seed else words.hashes()))
                     del words
                     if sum(len(x[3]) for x in held) >= CHUNK:
                         yield from chunk(*map(np.concatenate, zip(*held)))
@@ -136,6 +140,46 @@ def _binary(data: np.ndarray, where: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(where) - 1, [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def _others(words: scan.Words, seed: int) -> np.ndarray:
+    """Hashes of words that don't depend on those of the first attempt."""
+    key = seed.to_bytes(8, "little")
+    return np.array([int.from_bytes(hashlib.blake2b(words.bytes_of(i, i + 1), digest_size=8, key=key).digest(), "little") for i in range(len(words))], dtype=np.uint64)
+
+
+def _key(h: np.ndarray, place: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """What edges meet by."""
+    return scan.mix(scan.mix(h.view(np.uint64) + place.astype(np.uint64)) ^ (edges * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _parted(paths, hot: np.ndarray):
+    """paths, with one row for each edge of a hot minimizer, by its place and print."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in paths(batches):
+            h, o, seq, start, lead = (np.asarray(c) for c in batch.columns[:5])
+            many = (lead >= 0) & np.isin(h, hot)
+            if not many.any():
+                yield batch
+                continue
+            yield batch.filter(pa.array(~many))
+            i = np.flatnonzero(many)
+            prints = batch.column(5).take(pa.array(i)).to_pylist()
+            size = np.array([len(x) for x in prints]) // 8
+            edges = np.frombuffer(b"".join(prints), dtype="<u8")
+            i, step = np.repeat(i, size), np.arange(len(edges)) - np.repeat(np.cumsum(size) - size, size)
+            at = _key(h[i], lead[i] - step, edges).view(np.int64)
+            yield _batch([at, o[i], seq[i], start[i] + step.astype(np.int32), np.zeros(len(i), dtype=np.int32), _binary(edges.view(np.uint8), np.arange(len(i) + 1) * 8)], _ROW)
+
+    return run
+
+
+def _hot(rows: DataFrame, k: int, m: int) -> np.ndarray:
+    """Minimizers of about HOT paths or more, by a share of the documents; there are no more than paths / HOT."""
+    share = rows.where(F.pmod(F.xxhash64(F.lit(9), "o", "seq"), F.lit(SHARE)) == 0)
+    paths = share.mapInArrow(scan.tidy(_paths(0, k, m)), _ROW_SQL).where("lead >= 0")
+    return np.array([r.h for r in paths.groupBy("h").count().where(F.col("count") >= max(HOT // SHARE, 1)).select("h").collect()], dtype=np.int64)
+
+
 def joined(row: np.ndarray, start: np.ndarray, source_row: np.ndarray, source_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where runs begin of repeats that follow each other as their sources do, and their lengths; the input is by row and start."""
     new = np.ones(len(row), dtype=bool)
@@ -164,12 +208,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         i = i[np.lexsort((start[i], o[i]))]
         some = prints.take(pa.array(i))
-        size = np.diff(np.frombuffer(some.buffers()[1], dtype=np.int32)[some.offset : some.offset + len(some) + 1]) // 4
-        edges = np.frombuffer(b"".join(some.to_pylist()), dtype="<u4").astype(np.uint64)
+        size = np.diff(np.frombuffer(some.buffers()[1], dtype=np.int32)[some.offset : some.offset + len(some) + 1]) // 8
+        edges = np.frombuffer(b"".join(some.to_pylist()), dtype="<u8")
         path = np.repeat(np.arange(len(i)), size)
         step = np.arange(len(edges)) - np.repeat(np.cumsum(size) - size, size)
-        place = (lead[i][path] - step).astype(np.uint64)
-        key = scan.mix(scan.mix(h[i][path].view(np.uint64) + place) ^ (edges * np.uint64(0x9E3779B97F4A7C15)))
+        key = _key(h[i][path], lead[i][path] - step, edges)
         order = np.argsort(key, kind="stable")
         first = np.concatenate(([True], key[order][1:] != key[order][:-1]))
         source = np.empty(len(key), dtype=np.int64)
@@ -243,12 +286,12 @@ def _digest(words: scan.Words, a: int, b: int) -> bytes:
     return hashlib.blake2b(words.bytes_of(a, b), digest_size=16).digest()
 
 
-_PROOF = T.ArrayType(T.StructType([T.StructField("o", T.LongType()), T.StructField("seq", T.IntegerType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("d", T.BinaryType())]))
-_PROOF_ARROW = pa.list_(pa.struct([("o", pa.int64()), ("seq", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("d", pa.binary())]))
+_PROOF = T.ArrayType(T.StructType([T.StructField("o", T.LongType()), T.StructField("seq", T.IntegerType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("d", T.BinaryType()), T.StructField("own", T.BooleanType())]))
+_PROOF_ARROW = pa.list_(pa.struct([("o", pa.int64()), ("seq", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("d", pa.binary()), ("own", pa.bool_())]))
 
 
 def _finish(width: int, text_at: int, names: list[str], k: int, keep_text: bool):
-    """Rows of (own columns, o, seq, marks, asked) to own columns, words, removed words, SHA-256 of what is left, proofs."""
+    """Rows of (own columns, o, seq, marks, asked) to own columns, o, seq, words, removed words, SHA-256 of what is left, proofs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,9 +305,9 @@ def _finish(width: int, text_at: int, names: list[str], k: int, keep_text: bool)
                     marks = own.column(width + 2)[row].as_py()
                     for r in _compact(marks or []):
                         kept[base + r[0] : base + r[0] + r[1] + k - 1] = False
-                        found += [{"o": r[2], "seq": r[3], "a": a, "b": b, "d": _digest(words, base + at, base + at + b - a)} for at, a, b in pieces(r, k)]
+                        found += [{"o": r[2], "seq": r[3], "a": a, "b": b, "d": _digest(words, base + at, base + at + b - a), "own": False} for at, a, b in pieces(r, k)]
                     o, seq = (own.column(i)[row].as_py() for i in (width, width + 1))
-                    found += [{"o": o, "seq": seq, "a": x["a"], "b": x["b"], "d": _digest(words, base + x["a"], base + x["b"])} for x in own.column(width + 3)[row].as_py() or []]
+                    found += [{"o": o, "seq": seq, "a": x["a"], "b": x["b"], "d": _digest(words, base + x["a"], base + x["b"]), "own": True} for x in own.column(width + 3)[row].as_py() or []]
                     proofs.append(found)
                 data, ends = words.joined(kept)
                 view, ends = memoryview(data), ends.tolist()
@@ -276,7 +319,7 @@ def _finish(width: int, text_at: int, names: list[str], k: int, keep_text: bool)
                     old = columns[text_at]
                     cut = [bytes(view[a:b]).decode() if n else None for a, b, n in zip(ends, ends[1:], removed.tolist())]
                     columns[text_at] = pa.array([old[i].as_py() if c is None else c for i, c in enumerate(cut)], old.type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(words.count), pa.array(removed), pa.array(digests), pa.array(proofs, _PROOF_ARROW)], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, *own.columns[width : width + 2], pa.array(words.count), pa.array(removed), pa.array(digests), pa.array(proofs, _PROOF_ARROW)], names=names)
 
     return run
 
@@ -291,29 +334,52 @@ def deduplicated(docs: DataFrame, *, k: int = K, minimizer: int = MINIMIZER, doc
     columns = [c for c in docs.columns if keep_text or c != text]
     o, seq, marks, asked, n_words, n_removed, left, proofs = fresh(docs, "o", "seq", "marks", "asked", "n_words", "n_removed", "kept_sha256", "proofs")
     keyed = _keyed(docs, doc_id, text, o, seq)
-    rows = keyed.select(F.col(o).alias("o"), F.col(seq).alias("seq"), F.col(f"`{text}`").alias("text"))
+    of = lambda df: df.select(F.col(o).alias("o"), F.col(seq).alias("seq"), F.col(f"`{text}`").alias("text"))
     own = docs.schema
-    schema = T.StructType([*own.fields, T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType()), T.StructField(left, T.StringType()), T.StructField(proofs, _PROOF)])
+    schema = T.StructType([*own.fields, T.StructField(o, T.LongType()), T.StructField(seq, T.IntegerType()), T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType()), T.StructField(left, T.StringType()), T.StructField(proofs, _PROOF)])
+    hot = _hot(of(keyed), k, minimizer)
+    part, right, outs = keyed, None, []
     for attempt in range(20):
-        paths = rows.mapInArrow(scan.tidy(_paths(attempt * 0x9E3779B97F4A7C15 & (1 << 64) - 1, k, minimizer)), "h long, o long, seq int, start int, lead int, prints binary")
+        cut = _paths(attempt * 0x9E3779B97F4A7C15 & (1 << 64) - 1, k, minimizer)
+        paths = of(part).mapInArrow(scan.tidy(_parted(cut, hot) if len(hot) and not attempt else cut), _ROW_SQL)
         runs = paths.repartition("h").sortWithinPartitions("h").mapInArrow(scan.tidy(_meet), _RUN_SQL)
+        if right is not None:
+            runs = runs.unionByName(right.select("o", "seq", F.inline("marks")))
         held = stored(runs.groupBy("o", "seq").agg(F.collect_list(F.struct("start", "edges", "so", "sseq", "sstart")).alias("marks")), "runs")
         wanted = held.select("marks").mapInArrow(_asked(k), "o long, seq int, a int, b int").distinct()
         wanted = wanted.groupBy("o", "seq").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
         both = stored(held.join(wanted, ["o", "seq"], "full").select(F.col("o").alias(o), F.col("seq").alias(seq), F.col("marks").alias(marks), F.col("asked").alias(asked)), "spans")
-        full = keyed.join(both, [o, seq], "left").select(*[F.col(f"`{c}`") for c in docs.columns], o, seq, marks, asked)
+        full = part.join(both, [o, seq], "left").select(*[F.col(f"`{c}`") for c in docs.columns], o, seq, marks, asked)
         out = full.mapInArrow(scan.tidy(_finish(len(docs.columns), docs.columns.index(text), schema.names, k, keep_text)), schema)
-        out = stored(out.select(*[F.col(f"`{c}`") for c in columns], n_words, n_removed, left, proofs), "kept")
-        seen = out.select(F.explode(proofs).alias("p")).groupBy("p.o", "p.seq", "p.a", "p.b").agg(F.min("p.d").alias("x"), F.max("p.d").alias("y"))
-        false = seen.where("x <> y").isEmpty()
-        discard(held)
+        out = stored(out.select(*[F.col(f"`{c}`") for c in columns], o, seq, n_words, n_removed, left, proofs), "kept")
         discard(both)
-        if false:
-            return out.drop(proofs), [n_words, n_removed, left]
-        discard(out)
+        seen = out.select(F.explode(proofs).alias("p")).groupBy("p.o", "p.seq", "p.a", "p.b").agg(F.min("p.d").alias("x"), F.max("p.d").alias("y"), F.min(F.when(F.col("p.own"), F.col("p.d"))).alias("source"))
+        seen = seen.where("x <> y")
+        if seen.isEmpty():
+            discard(held)
+            whole = out
+            for found in outs:
+                whole = whole.unionByName(found)
+            return whole.drop(o, seq, proofs), [n_words, n_removed, left]
+        copies = out.select(F.col(o).alias("by"), F.col(seq).alias("by_seq"), F.explode(proofs).alias("p")).select("by", "by_seq", "p.*").where("not own")
+        wrong = stored(copies.join(seen.drop("x", "y"), ["o", "seq", "a", "b"]).where("not d <=> source").select("by", "by_seq", "o", "seq", "a", "b").distinct(), "wrong")
+        ids = stored(wrong.select(F.col("by").alias(o), F.col("by_seq").alias(seq)).union(wrong.select("o", "seq")).distinct(), "ids")
+        outs.append(out.join(ids, [o, seq], "left_anti").select(*out.columns))
+        part = part.join(ids, [o, seq], "left_semi").select(*part.columns)
+        right = _right(held, wrong, ids.toDF("o", "seq"), k)
+        discard(held)
+        discard(wrong)
     raise RuntimeError("no hashes were found that tell all edges apart")
 
 
+def _right(held: DataFrame, wrong: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """The marks of some documents without those that touch a wrong piece; the edges of these have their sources in the same documents."""
+    bad = wrong.groupBy("by", "by_seq").agg(F.collect_list(F.struct("o", "seq", "a", "b")).alias("bad")).select(F.col("by").alias("o"), F.col("by_seq").alias("seq"), "bad")
+    touched = "x -> x.o = m.so AND x.seq = m.sseq AND x.a < m.sstart + m.edges + %d AND x.b > m.sstart" % (k - 1)
+    kept = F.expr(f"filter(marks, m -> bad IS NULL OR NOT exists(bad, {touched}))")
+    return stored(held.join(ids, ["o", "seq"], "left_semi").join(bad, ["o", "seq"], "left").select("o", "seq", kept.alias("marks")), "right")
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str, o: str, seq: str) -> DataFrame:
     """docs with the id as a number and, where rows repeat an id, a number for each of its texts."""
     out = docs.withColumn(o, row_order(doc_id))

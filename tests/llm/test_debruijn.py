@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from docugauge.llm import debruijn
@@ -84,3 +86,76 @@ def test_texts_lose_only_what_repeats(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {1: (f"a\t{passage}\nb", 7), 2: ("c d", 8), 3: ("untouched   spaces", 9)}
     assert debruijn.deduplicated(docs.limit(0))[0].count() == 0
+
+
+def test_edges_that_share_32_bits_are_told_apart(spark, monkeypatch):
+    """Windows whose hashes agree in the lower half, as many do in a large corpus, need no second attempt."""
+    from docugauge.llm import scan
+
+    calls, original, hashes = [], debruijn._paths, scan.window_hashes
+
+    def low(words, n, name="word"):
+        return hashes(words, n, name) if name != "word" else hashes(words, n, name) << np.uint64(32)
+
+    def paths(seed, k, m):
+        calls.append(seed)
+        run = original(seed, k, m)
+
+        def ran(batches):
+            scan.window_hashes = low
+            try:
+                yield from run(batches)
+            finally:
+                scan.window_hashes = hashes
+
+        return ran
+
+    monkeypatch.setattr(debruijn, "_paths", paths)
+    rows = corpus(6, many=20)
+    out, names = debruijn.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=False)
+    assert results(out, names) == brute(rows, 20) and not any(calls)
+
+
+def test_only_documents_of_a_false_match_meet_again(spark, monkeypatch):
+    """Two different documents whose prints agree under the first hashes; the others keep their rows, whatever the later hashes."""
+    monkeypatch.setattr(debruijn, "_paths", clashing(debruijn._paths, lambda o: o >= 1000, again := spark.sparkContext.accumulator(0)))
+    text = lambda c: " ".join(f"{c}{i}" for i in range(25))
+    rows = [*corpus(7, many=20), (1000, text("a")), (1001, text("b")), (1002, text("b"))]
+    out, names = debruijn.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(30), keep_text=False)
+    assert results(out, names) == brute(rows, 20) and 0 < again.value <= 3
+
+
+def clashing(original, chosen, again):
+    def paths(seed, k, m):
+        run = original(seed, k, m)
+
+        def ran(batches):
+            for b in batches if seed else run(batches):
+                if seed:
+                    again.add(b.num_rows)
+                    yield from run(iter([b]))
+                    continue
+                bad = [chosen(o) and lead >= 0 for o, lead in zip(b.column(1).to_pylist(), b.column(4).to_pylist())]
+                h = [1 if x else v for x, v in zip(bad, b.column(0).to_pylist())]
+                lead = [len(p) // 8 if x else v for x, v, p in zip(bad, b.column(4).to_pylist(), b.column(5).to_pylist())]
+                prints = [bytes(len(v)) if x else v for x, v in zip(bad, b.column(5).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *b.columns[1:4], pa.array(lead, pa.int32()), pa.array(prints, pa.binary())], names=b.schema.names)
+
+        return ran
+
+    return paths
+
+
+def test_edges_of_hot_minimizers_part(spark, monkeypatch):
+    monkeypatch.setattr(debruijn, "HOT", 1)
+    monkeypatch.setattr(debruijn, "SHARE", 1)
+    rows = corpus(8, many=30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert len(debruijn._hot(docs.selectExpr("doc_id AS o", "0 AS seq", "text").where("o IS NOT NULL"), 20, 6))
+    out, names = debruijn.deduplicated(docs, keep_text=False)
+    assert results(out, names) == brute(rows, 20)
+
+
+def results(out, names):
+    n, removed, digest = names
+    return sorted((-(2**63) if r.doc_id is None else r.doc_id, r[n], r[removed], r[digest]) for r in out.collect())
