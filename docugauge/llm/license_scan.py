@@ -1,7 +1,9 @@
 """License scans: a paragraph classifier whose predictions a template must confirm, all of it Spark functions.
 
-A paragraph is a line. Its features are the word 1-, 2- and 3-grams it holds, of those that hold one of a
-few trigger words; every template line has a trigger. Weights are a sparse multinomial logistic
+A paragraph is a line, or what the lines between blank ones give when they are joined, as notices are
+often hard-wrapped: lines that are confirmed by themselves are left out of it, and it counts if it is
+confirmed or none of its lines is predicted. It has one family, and the number of its first line. Features
+are the word 1-, 2- and 3-grams of the templates and of the sentences that name no licence. Weights are a sparse multinomial logistic
 regression (accelerated proximal gradient steps, which leave most weights at zero), fitted on the templates with words left out and text around them against ordinary paragraphs and sentences that merely
 speak of licences; a temperature chosen on held-out rows calibrates them. Fitting takes a bounded sample:
 SAMPLE documents by order of a hash of their ids, SAMPLE_CHARS characters of each, and the templates.
@@ -9,8 +11,8 @@ SAMPLE documents by order of a hash of their ids, SAMPLE_CHARS characters of eac
 A paragraph whose likeliest class is a family with probability LEAST or more is predicted to be of that
 family. It is confirmed if it holds at least COVER of the 2-grams of a template of the family.
 
-Scoring is one projection over whole texts without a shuffle: a document without any trigger has no
-feature in any line, so all its lines are unknown, and only others are cut into lines and scored.
+Scoring is one projection over whole texts without a shuffle. Paragraphs without any of the gate's words
+aren't scored: the weights of all other features together can't lift a family above the unknown class.
 
 Null and empty texts have no licence; a null text has no paragraphs. Repeated rows and ties are judged
 row by row, ties of classes go to the unknown class, then by family name. Other columns pass through.
@@ -18,7 +20,6 @@ row by row, ties of classes go to the unknown class, then by family name. Other
 
 from __future__ import annotations
 
-import json
 import random
 import re
 
@@ -51,8 +52,6 @@ OTHERS = (
     "Permission was not granted.", "We asked for permission to use the picture.", "Copyright law differs by country.", "The copyright of this picture is not clear.", "Please copy the following conditions.", "She was licensed under the old rules.", "This work is done.", "The terms of the agreement were met.",
     "Version 3 of the program was released.", "Released in May.", "Licensed practitioners only.", "A license may be needed.", "Free of charge and without restriction.", "Distribution of food and its use.", "The Apache people live in the south.", "MIT is a university.", "Commons were held in common.", "The source of the river is not known.", "Any person may obtain a copy of the report.",
 )
-#: Every template holds one; a feature must.
-TRIGGERS = ("licens", "rights reserved", "permission", "prohibited", "redistribut", "public license")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -61,9 +60,12 @@ def grams(text: str, sizes: tuple[int, ...] = (1, 2, 3)) -> set[str]:
     return {" ".join(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)}
 
 
+#: What can be a feature.
+VOCABULARY = frozenset(g for lines in (*TEMPLATES.values(), OTHERS) for t in lines for g in grams(t))
+
+
 def features(text: str) -> set[str]:
-    """The n-grams of a paragraph that has a trigger."""
-    return grams(text) if any(t in text.lower() for t in TRIGGERS) else set()
+    return grams(text) & VOCABULARY
 
 
 class Classifier:
@@ -98,6 +100,7 @@ class Classifier:
         self.names, self.weights = [n for n, k in zip(self.names, kept) if k], self.weights[kept]
         index = {g: i for i, g in enumerate(self.names)}
         logits, truth = self._matrix(held, index) @ self.weights + self.bias, np.array([k for _, k in held])
+        self.gate = self._gate(ordinary)
         self.temperature = min((self._loss(logits / t, truth), t) for t in np.geomspace(0.25, 4, 33))[1]
 
     @staticmethod
@@ -130,6 +133,27 @@ class Classifier:
             w, b = new_w, new_b
         self.weights, self.bias = w, b
 
+    def _gate(self, ordinary: list[str]) -> list[str]:
+        """Words such that the features without them can't lift any family above the unknown class; rare ones first. An empty one is in every text."""
+        common: dict[str, int] = {}
+        for line in ordinary:
+            for w in grams(line, (1,)):
+                common[w] = common.get(w, 0) + 1
+        gain, need = np.maximum(self.weights[:, 1:] - self.weights[:, :1], 0), self.bias[0] - self.bias[1:]
+        if (need <= 1e-6).any():
+            return [""]
+        held, left, out = [set(n.split(" ")) for n in self.names], np.ones(len(self.names), dtype=bool), []
+        while ((total := gain[left].sum(axis=0)) > need - 1e-6).any():
+            worst = int((total - need).argmax())
+            by: dict[str, float] = {}
+            for i in np.flatnonzero(left):
+                for w in held[i]:
+                    by[w] = by.get(w, 0.0) + gain[i, worst]
+            word = max(sorted(by), key=lambda w: by[w] / (1 + common.get(w, 0)))
+            out.append(word)
+            left &= np.array([word not in h for h in held])
+        return out
+
     def probabilities(self, text: str) -> np.ndarray:
         index = {g: i for i, g in enumerate(self.names)}
         z = (self.bias + sum((self.weights[index[g]] for g in features(text) if g in index), np.zeros(len(self.classes)))) / self.temperature
@@ -152,9 +176,13 @@ def scanned(docs: DataFrame, model: Classifier, *, text: str = "text", name: str
     """
     (name,) = fresh(docs, name)
     (low,) = fresh(docs, "lower")
-    has_trigger = lambda c: _any([F.contains(c, F.lit(t)) for t in TRIGGERS])
-    weights = F.from_json(F.lit(json.dumps({g: [round(float(v), 12) for v in w] for g, w in zip(model.names, model.weights)})), "map<string,array<double>>")
-    templates = F.from_json(F.lit(json.dumps([{"f": f, "g": sorted(grams(t, (2,)))} for f, lines in TEMPLATES.items() for t in lines])), "array<struct<f:string,g:array<string>>>")
+    may = lambda c: _any([F.contains(c, F.lit(t)) for t in model.gate])
+    # literals are folded once, from_json() would be run again for every n-gram
+    array = lambda xs: "array(%s)" % ", ".join(xs)
+    quoted = lambda xs: array(f"'{x}'" for x in xs)
+    weights = F.expr("map(%s)" % ", ".join(f"'{g}', {array(f'{round(float(v), 12)!r}D' for v in w)}" for g, w in zip(model.names, model.weights)))
+    templates = F.expr(array(f"named_struct('f', '{f}', 'g', {quoted(sorted(grams(t, (2,))))})" for f, lines in TEMPLATES.items() for t in lines))
+    names = F.expr(quoted(model.names))
     classes = F.array(*[F.lit(c) for c in model.classes])
     bias = F.array(*[F.lit(float(b)) for b in model.bias])
 
@@ -162,12 +190,12 @@ def scanned(docs: DataFrame, model: Classifier, *, text: str = "text", name: str
         return F.regexp_extract_all(line, F.lit("[a-z0-9]+"), F.lit(0))
 
     def joined(w: Column, n: int) -> Column:
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+        """The n-grams, and nulls at the end. slice() copies all words each time, get() doesn't."""
+        return F.transform(w, lambda x, i: F.concat(x, *[v for k in range(1, n) for v in (F.lit(" "), F.get(w, i + k))]))
 
     def logits(w: Column) -> Column:
-        held = F.array_distinct(F.concat(w, joined(w, 2), joined(w, 3)))
-        known = F.filter(F.transform(held, lambda g: F.try_element_at(weights, g)), lambda x: x.isNotNull())
+        held = F.array_intersect(F.concat(w, joined(w, 2), joined(w, 3)), names)
+        known = F.transform(held, lambda g: F.element_at(weights, g))
         return F.aggregate(known, bias, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
 
     def softmax(z: Column) -> Column:
@@ -185,11 +213,44 @@ def scanned(docs: DataFrame, model: Classifier, *, text: str = "text", name: str
         """A struct for a line that is predicted to be of a family, else null."""
         return let(words(line), lambda w: let(let(logits(w), softmax), lambda p: let(F.array_max(p), lambda best: named(w, p, best, place))))
 
+    def newlines(c: Column) -> Column:
+        return F.size(F.split(c, "\n")) - 1
+
+    def alone(lines: Column) -> Column:
+        """Each line with its number and what it is by itself, or null."""
+        return F.transform(lines, lambda s, i: F.struct(s.alias("s"), F.when(may(s), judged(s, i)).alias("x")))
+
+    def together(rest: Column) -> Column:
+        """What lines are when they are joined, or null."""
+        return F.when(F.size(rest) > 1, let(F.array_join(rest, " "), lambda s: F.when(may(s), judged(s, F.lit(0)))))
+
+    def either(lines: Column, whole: Column) -> Column:
+        own = F.filter(F.transform(lines, lambda p: p["x"]), lambda x: x.isNotNull())
+        others = F.filter(own, lambda x: x["confirmed"] | (x["family"] != whole["family"]))
+        counts = whole.isNotNull() & ((F.size(own) == 0) | F.coalesce(whole["confirmed"], F.lit(False)))
+        return F.when(counts, F.concat(F.array(whole), others)).otherwise(own)
+
+    def found_in(block: Column) -> Column:
+        def whole(lines: Column) -> Column:
+            rest = F.filter(lines, lambda p: (F.trim(p["s"]) != "") & ~F.coalesce(p["x"]["confirmed"], F.lit(False)))
+            return let(together(F.transform(rest, lambda p: p["s"])), lambda w: either(lines, w))
+
+        return F.when(may(block), let(alone(F.split(block, "\n")), whole))
+
     column = F.col(f"`{low}`")
-    lines = F.filter(F.transform(F.split(column, "\n"), lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: has_trigger(x["s"]))
-    found = F.filter(F.transform(lines, lambda x: judged(x["s"], x["i"])), lambda x: x.isNotNull())
+    between = r"\n\s*\n"
+    gaps, blocks = F.regexp_extract_all(column, F.lit(between), F.lit(0)), F.split(column, between)
+    parts = F.transform(blocks, lambda b, j: F.struct(found_in(b).alias("x"), j.alias("j")))
+    parts = F.filter(parts, lambda p: F.size(p["x"]) > 0)
+
+    def placed(p: Column, sizes: Column) -> Column:
+        before = F.aggregate(F.slice(sizes, F.lit(1), p["j"]), F.lit(0), lambda a, n: a + n)
+        return let(before, lambda n: F.transform(p["x"], lambda x: x.withField("paragraph", x["paragraph"] + n)))
+
+    sizes = F.zip_with(blocks, gaps, lambda b, g: newlines(b) + F.coalesce(newlines(g), F.lit(0)))
+    found = let(parts, lambda ps: F.when(F.size(ps) > 0, let(sizes, lambda n: F.flatten(F.transform(ps, lambda p: placed(p, n))))))
     none = F.array().cast("array<struct<paragraph:int,family:string,probability:double,confirmed:boolean>>")
-    out = docs.withColumn(low, F.lower(F.col(f"`{text}`"))).withColumn(name, F.when(has_trigger(column), found).otherwise(none))
+    out = docs.withColumn(low, F.lower(F.col(f"`{text}`"))).withColumn(name, F.coalesce(F.when(may(column), found), none))
     return out.drop(low)
 
 

@@ -45,3 +45,25 @@ def test_fitting_leaves_licences_out(spark):
     docs = spark.createDataFrame([(i, f"plain line {i}\nReleased under the MIT License.") for i in range(20)] + [(99, None)], "doc_id int, text string")
     model = L.fitted(docs, sample=10)
     assert model.classes[int(model.probabilities("Released under the MIT License.").argmax())] == "MIT"
+
+
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+}
+
+
+def test_wrapped_headers_are_confirmed(spark, model):
+    texts = [f"first line\n \n\n{t}\n\nlast line\nReleased under the MIT License." for t in WRAPPED.values()]
+    rows = L.scanned(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").coalesce(1), model).collect()
+    for r, (family, t) in zip(rows, WRAPPED.items()):
+        got = [(x.paragraph, x.family) for x in r.licences if x.confirmed]
+        assert got == [(3, family), (3 + t.count("\n") + 3, "MIT")], (family, r.licences)
+
+
+def test_the_gate_hides_nothing(spark, model):
+    lines = ["Available under CC BY 4.0", "distributed under the terms of the GNU GPL version 3", "the software is provided as is", "Creative Commons Attribution 4.0 International", "Mozilla Public, v. 2.0", *ORDINARY[:5], *L.OTHERS]
+    want = {t: p for t in lines if (p := model.probabilities(t)).argmax() and p.max() >= L.LEAST}
+    got = {r.text: r.licences for r in L.scanned(spark.createDataFrame([(t,) for t in lines], "text string").coalesce(1), model).collect()}
+    assert {t for t, x in got.items() if x} == set(want) and "Available under CC BY 4.0" in want
