@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from docugauge.llm import scan
-from docugauge.llm.frames import fresh, small_batches
+from docugauge.llm.frames import fresh
 from docugauge.llm.parts import PartEncoder, spread
 
 RANKS, PATTERN = "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
-#: Transitions and encoded parts of texts that a worker holds before it begins anew.
-MOST_TRANSITIONS, MOST_PARTS = 300_000, 700_000
+#: Transitions that a worker holds before it begins anew.
+MOST_TRANSITIONS = 300_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -145,14 +145,16 @@ class Transducer:
         return step
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
-        """Ids of one match that comes in chunks, each as soon as it is certain."""
-        if len(self.moves) > self.most:
-            self._clear()
+        """Ids of one match that comes in chunks, each as soon as it is certain. Only the state outlives a clearing, within a match too."""
         at, moves, outs = 0, self.moves, self.outs
         for chunk in chunks:
             for byte in chunk:
                 step = moves.get(at << 8 | byte)
                 if step is None:
+                    if len(moves) > self.most:
+                        here = self._unpacked(at)
+                        self._clear()
+                        at, moves, outs = self._state(*here), self.moves, self.outs
                     step = self._move(at, byte)
                 at = step >> 24
                 if emitted := step & 0xFFFFFF:
@@ -224,7 +226,7 @@ class Codec:
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.tokens = [self.transducer.bytes_of.get(i, b"") for i in range(max(ranks.values()) + 1)]
         self.bytes_table, self.decimal_table = _Table(self.tokens), _Table([b"%d " % i for i in range(len(self.tokens))])
-        self.by_parts = PartEncoder("<u4", lambda new: [self._ids(t) for t in new], MOST_PARTS) if pattern == PATTERN else None
+        self.by_parts = PartEncoder("<u4", lambda new: [self._ids(t) for t in new]) if pattern == PATTERN else None
 
     def _ids(self, text: str) -> list[int]:
         encode = self.transducer.encode
@@ -309,7 +311,6 @@ def digests(docs: DataFrame, *, ranks: str | None = None, text: str = "text", na
 
 
 def _mapped(docs: DataFrame, column: str, fields: list[T.StructField], ranks: str | None, of) -> DataFrame:
-    small_batches(docs.sparkSession)
     at, width, path = docs.columns.index(column), len(docs.columns), ranks or public_tokenizers.path(RANKS)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(fresh(docs, *(f.name for f in fields)), fields))])
     names = schema.names

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,13 +25,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="docugauge-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset: a folder of this machine if Spark has no other, else one below the warehouse.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="docugauge-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    master = spark.conf.get("spark.master", "")
+    return _own_dir() if master.startswith("local") and not master.startswith("local-cluster") else spark.conf.get("spark.sql.warehouse.dir")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -45,12 +54,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes what stored() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/docugauge/" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Frees what stored() wrote, once nothing reads it any more: a table without rows takes its place."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/docugauge/" in path:
+            df.sparkSession.range(0).write.mode("overwrite").parquet(path)
 
 
 def row_order(id_column: str) -> Column:
@@ -67,14 +74,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows of an Arrow batch for tables with long texts, where the session has Spark's default of 10,000."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, rows)
-
-
-def some(df: DataFrame, key: str, n: int) -> DataFrame:
-    """A share of the rows, by a hash of a key, that holds about four times n; all, if there are no more. Keeps what tasks send for a sample of n small."""
-    total = df.select(key).count()
-    return df if total <= 4 * n else df.where(F.pmod(F.xxhash64(F.lit(3), key), F.lit(total)) < 4 * n)
+def some(df: DataFrame, columns: list[str], n: int, within: str | None = None) -> DataFrame:
+    """At most n different rows, those whose columns have the least hashes; with ``within``, at most n of each of its values.
+
+    Only rows whose hash is among the least few of all come to be sorted, so that a task has few of them,
+    however large the table; the share is the larger, the fewer rows there are, and one of all rows at the end.
+    Not empty unless the table is, whatever repeats. Its last column, ``_rank``, begins with 1.
+    """
+    group = [F.col(within)] if within else [F.lit(0).alias("_all")]
+    rows = df.select(*columns, *([] if within else group), F.xxhash64(F.lit(3), *columns).alias("_h"))
+    by = within or "_all"
+    totals = F.broadcast(rows.groupBy(by).agg(F.count("*").alias("_n"), F.min("_h").alias("_least")))  # a row for each value
+    share = F.lit(2.0**63) * F.least(F.lit(1.0), F.lit(4.0 * n) / F.col("_n"))
+    near = rows.join(totals, by).where((F.abs(F.col("_h").cast("double")) <= share) | (F.col("_h") == F.col("_least"))).select(*dict.fromkeys([*columns, by]), "_h")
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_h", *columns))
+    return near.distinct().withColumn("_rank", rank).where(F.col("_rank") <= n).select(*columns, "_rank")

@@ -1,6 +1,8 @@
 """Token ids as length-delimited binary records, with an offset index for reads in any order.
 
-A file is a run of records in ascending document order, and files follow each other by name. A record:
+A file is a run of records in ascending document order, FILE_BYTES of them or one longer record. Files
+follow each other by the two numbers in their names: that of the task, and that of the file in the task
+after ``-c``. A record:
 
     8 bytes   length of the body, little-endian
     4 bytes   masked checksum of those 8 bytes
@@ -17,7 +19,9 @@ Files are written and read by Spark's own sinks and sources, so they live in any
 reaches. Documents are sorted by range, so that no task holds more than its share.
 
 Null texts are empty; an empty text is a record of the end id alone. Null ids come first. Repeated rows
-and ids are records of their own, in the order of the hashes of their texts. No rows: no records.
+and ids are records of their own, in the order of the hashes of their texts. No rows: no records. Texts
+may be of any length that a row of the table has. Texts that hold an added token of the tokenizer, such
+as ``<|endoftext|>``, get its id there, as the library gives it.
 """
 
 from __future__ import annotations
@@ -33,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docugauge.llm import scan
-from docugauge.llm.frames import discard, row_order, small_batches, stored
+from docugauge.llm.frames import discard, row_order, stored
 from docugauge.llm.parts import PartEncoder
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
-#: Records of a file at most.
-FILE_RECORDS = 2_500
+#: Bytes of a file, unless one record is longer.
+FILE_BYTES = 16 << 20
 
 
 def masked(data: bytes) -> bytes:
@@ -74,9 +78,11 @@ class Encoder(PartEncoder):
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
         self.wide = library.get_vocab_size() > 1 << 16
-        super().__init__("<u4" if self.wide else "<u2", lambda new: [x.ids for x in library.encode_batch_fast(new, add_special_tokens=False)])
+        added = list(library.get_added_tokens_decoder().values())
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized and library.normalizer is not None for t in added):
+            raise ValueError("added tokens that look at their neighbours can't be cut out of a text")
+        super().__init__("<u4" if self.wide else "<u2", lambda new: [x.ids for x in library.encode_batch_fast(new, add_special_tokens=False)], whole=[t.content for t in added])
 
 
 @lru_cache(maxsize=2)
@@ -84,27 +90,39 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", end: int = END, file_records: int = FILE_RECORDS) -> None:
+def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", end: int = END, file_bytes: int = FILE_BYTES) -> None:
     """Encodes and writes all documents, in ascending order, the end id after each."""
-    small_batches(docs.sparkSession)
     where = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(where)
         last = end.to_bytes(4 if own.wide else 2, "little")
+        held: list[bytes] = []
+        size = 0
+
+        def file() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["frame"])  # the sink ends the row
+
         for batch in batches:
             for part in scan.slices(batch.column(1)):
                 ids, ends = own.encode(part)
                 data, ends = ids.tobytes(), (ends * own.kind.itemsize).tolist()
                 names = batch.column(0).slice(part.first, part.rows).to_pylist()
-                frames = [record(i, data[a:b] + last, own.wide)[:-1] for i, a, b in zip(names, ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
+                for i, a, b in zip(names, ends, ends[1:]):
+                    frame = record(i, data[a:b] + last, own.wide)
+                    if held and size + len(frame) > file_bytes:
+                        yield file()
+                        held, size = [], 0
+                    held.append(frame)
+                    size += len(frame)
+        if held:
+            yield file()
 
     order, digest = row_order(doc_id).alias("o"), F.xxhash64(text).alias("h")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), order, digest)
     rows = rows.repartitionByRange("o", "h").sortWithinPartitions("o", "h").select("id", "text")
-    # The text sink writes the bytes of a string as they are, and the separator after each.
-    rows.mapInArrow(scan.tidy(run), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", file_records).text(path)
+    # A row is a file. The text sink writes the bytes of a string as they are, and the separator after each.
+    rows.mapInArrow(scan.tidy(run), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
 
 
 def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
@@ -134,11 +152,16 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
 
 
 def with_starts(records: DataFrame) -> DataFrame:
-    """records with start: ids of all records before, in this file and those before it by name."""
-    files = records.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
-    order = Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), "file")
-    base = files.withColumn("base", F.sum("in_file").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    return records.join(base.select("file", F.coalesce("base", F.lit(0)).alias("base")), "file").withColumn("start", F.col("base") + F.col("before")).drop("base", "before")
+    """records with start: ids of all records before, in this file and those before it by both numbers of the names.
+
+    Sums run over the files of each task, and over the tasks: neither is more than the tasks' share of the files.
+    """
+    part, c = (F.regexp_extract("file", pattern, 1).cast("long") for pattern in (r"part-(\d+)", r"-c(\d+)"))
+    files = records.groupBy("file").agg(F.sum("n_tokens").alias("in_file")).withColumns({"part": part, "c": c})
+    before = lambda window: F.coalesce(F.sum("in_file").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = files.groupBy("part").agg(F.sum("in_file").alias("in_file")).withColumn("base", before(Window.orderBy("part"))).drop("in_file")
+    base = files.withColumn("own", before(Window.partitionBy("part").orderBy("c"))).join(tasks, "part").select("file", (F.col("own") + F.col("base")).alias("base"))
+    return records.join(base, "file").withColumn("start", F.col("base") + F.col("before")).drop("base", "before")
 
 
 def write_index(records: DataFrame, path: str) -> None:
