@@ -9,14 +9,20 @@ the smallest ids as are missing.
 
 Vectors that are null, or hold null or a value that isn't finite, take no part, as query or candidate.
 A query is scored against vectors of its own length, and never against rows of its own id, however
-often that is repeated; repeated candidates are candidates of their own. A null id sorts below all
-others as a candidate and is no query. Fewer candidates than k: all. No rows: no results.
-Components beyond 2**31 after scaling, and scores that 64 bits can't hold, are errors.
+often that is repeated; repeated candidates are candidates of their own. Query rows that share an id are
+queries of their own: each has its results, ranked apart. A null id sorts below all others as a
+candidate and is no query. Fewer candidates than k: all. No rows: no results.
+
+Products whose sums doubles can't hold exactly are made of 64-bit integers, and beyond those of Python's.
+Scores are compared as if they ended at the ends of 64 bits; only a result at an end is an error, as a
+long can't hold it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from math import floor, isfinite
 
 import numpy as np
 import pyarrow as pa
@@ -26,67 +32,85 @@ from pyspark.sql import functions as F
 
 #: Queries of a block, and bins of a histogram.
 BLOCK, BINS = 4096, 256
-_LOWEST = -(2**63)
+_LOWEST, _HIGHEST = -(2**63), 2**63 - 1
 
 
-def vectors(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of each length of vectors in a batch (id, vector): ids and integer components as doubles."""
-    ids, column = batch.column(0), batch.column(1)
+def vectors(column: pa.Array, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each length of vectors: their rows, and whole components: doubles, or Python's integers if any is large."""
     valid = ~np.asarray(column.is_null())
     sizes = np.asarray(column.value_lengths().fill_null(-1))
     values = column.flatten()
     at = np.concatenate(([0], np.cumsum(np.maximum(sizes, 0))))
     flat = np.asarray(values.cast(pa.float64()).fill_null(float("nan"))) if len(values) else np.zeros(0)
-    numbers = np.asarray(ids.fill_null(_LOWEST))
     for size in np.unique(sizes[valid]).tolist():
         rows = np.flatnonzero(sizes == size)
         held = flat[at[rows][:, None] + np.arange(size)[None, :]]
         good = np.isfinite(held).all(axis=1)
-        whole = np.floor(scale * held[good])
-        if len(whole) and size and np.abs(whole).max() >= 2**31:
-            raise ValueError("a component is too large for exact scores")
-        yield numbers[rows[good]], whole
+        large = good & (np.abs(held) * abs(scale) >= 2**53).any(axis=1)
+        if (good & ~large).any():
+            yield rows[good & ~large], np.floor(scale * held[good & ~large])
+        if large.any():
+            exact = [[floor(scale * x) if isfinite(scale * x) else floor(Fraction(scale) * Fraction(x)) for x in v] for v in held[large].tolist()]
+            yield rows[large], np.array(exact, dtype=object).reshape(-1, size)
+
+
+def _most(x: np.ndarray) -> int:
+    return max((abs(int(v)) for v in (x.max(), x.min())), default=0) if x.size else 0
 
 
 def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact inner products; doubles where those are exact, else 64-bit integers."""
-    most = (np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0)) * max(1, queries.shape[1])
-    if most < 2**53:
-        return (queries @ rows.T).astype(np.int64)
-    if most >= 2**63:
-        raise ValueError("scores are too large for 64 bits")
-    return queries.astype(np.int64) @ rows.astype(np.int64).T
+    """Exact inner products as 64-bit integers, those beyond their ends at the ends; by doubles where those are exact."""
+    bound = _most(queries) * _most(rows) * max(1, queries.shape[1])
+    if bound < 2**53:
+        return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
+    if bound < 2**63:
+        return queries.astype(np.int64) @ rows.astype(np.int64).T
+    exact = [[sum(a * b for a, b in zip(q, r)) for r in _integers(rows)] for q in _integers(queries)]
+    return np.array([[min(max(s, _LOWEST), _HIGHEST) for s in line] for line in exact], dtype=np.int64).reshape(len(queries), len(rows))
+
+
+def _unsigned(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x, dtype=np.int64).view(np.uint64)
+
+
+def _integers(x: np.ndarray) -> list[list[int]]:
+    return [[int(v) for v in line] for line in x.tolist()]
 
 
 def top_k(vecs: DataFrame, queries: DataFrame, k: int = 5, *, scale: float = 256, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK, bins: int = BINS) -> DataFrame:
     """query_id, rank, vec_id, score of the k highest scores of each query, ties to the smaller vec_id."""
     spark = vecs.sparkSession
     rows = vecs.select(F.col(vec_id).cast("long"), F.col(vector).cast("array<double>"))
-    asked = queries.select(F.col(vec_id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("i IS NOT NULL AND v IS NOT NULL").distinct()
+    asked = queries.select(F.col(vec_id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("i IS NOT NULL AND v IS NOT NULL").groupBy("i", "v").agg(F.count("*").alias("times"))
     blocks = max(1, -(-asked.count() // block))
     out = None
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("i", "v"), F.lit(blocks)) == b)
-        held = [x for batch in part.toArrow().to_batches() for x in vectors(batch, scale)]
-        for size in sorted({q.shape[1] for _, q in held}):
-            ids = np.concatenate([i for i, q in held if q.shape[1] == size])
-            found = _block(rows, ids, np.concatenate([q for _, q in held if q.shape[1] == size]), size, k, scale, bins)
+        held = [(batch, at, whole) for batch in part.toArrow().to_batches() for at, whole in vectors(batch.column(1), scale)]
+        # Those of one length and kind of numbers go together, so that few large vectors don't slow the others down.
+        for size, kind in sorted({(whole.shape[1], whole.dtype.kind) for _, _, whole in held}):
+            some = [x for x in held if (x[2].shape[1], x[2].dtype.kind) == (size, kind)]
+            ids, times = (np.concatenate([batch.column(c).to_numpy()[at] for batch, at, _ in some]) for c in (0, 2))
+            found = _block(rows, ids, times, np.concatenate([whole for _, _, whole in some]), size, k, scale, bins)
             out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
 
-def _block(rows: DataFrame, ids: np.ndarray, asked: np.ndarray, size: int, k: int, scale: float, bins: int) -> DataFrame:
+def _block(rows: DataFrame, ids: np.ndarray, times: np.ndarray, asked: np.ndarray, size: int, k: int, scale: float, bins: int) -> DataFrame:
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast((ids, asked))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         """Candidate ids, scores by query and candidate, and which of those count."""
         own, vectors_of = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                for numbers, held in vectors(batch.slice(at, 2048), scale):
-                    if held.shape[1] == size and len(numbers):
-                        yield numbers, scores(vectors_of, held), own[:, None] != numbers[None, :]
+                some = batch.slice(at, 2048)
+                for line, held in vectors(some.column(1), scale):
+                    if held.shape[1] == size:
+                        names = some.column(0).take(pa.array(line))
+                        other = (own[:, None] != names.fill_null(0).to_numpy(zero_copy_only=False)[None, :]) | names.is_null().to_numpy(zero_copy_only=False)[None, :]
+                        yield names, scores(vectors_of, held), other
 
     def bounds(batches):
         low, high, n = np.full(len(ids), 2**63 - 1), np.full(len(ids), _LOWEST), np.zeros(len(ids), dtype=np.int64)
@@ -111,7 +135,8 @@ def _block(rows: DataFrame, ids: np.ndarray, asked: np.ndarray, size: int, k: in
                 s = s[lines]
                 inside = ok[lines] & (s >= lo[lines, None]) & (s <= hi[lines, None])
                 line, at = np.nonzero(inside)
-                cell = line * bins + (s[line, at] - lo[lines[line]]) // w[lines[line]]
+                far = _unsigned(s[line, at]) - _unsigned(lo[lines[line]])  # the difference may take all 64 bits
+                cell = line * bins + (far // _unsigned(w[lines[line]])).astype(np.int64)
                 total += np.bincount(cell, minlength=total.size).reshape(total.shape)
             line, cell = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(lines[line]), pa.array(cell), pa.array(total[line, cell])], names=["q", "bin", "n"])
@@ -124,22 +149,32 @@ def _block(rows: DataFrame, ids: np.ndarray, asked: np.ndarray, size: int, k: in
         q = np.flatnonzero(open_)
         above[q] += higher[q, at[q]] - table[q, at[q]]
         low[q] = low[q] + at[q] * width[q]
-        high[q] = np.minimum(high[q], low[q] + width[q] - 1)
+        beyond = _unsigned(high[q]) - _unsigned(low[q]) > _unsigned(width[q] - 1)
+        high[q] = np.where(beyond, low[q] + np.where(beyond, width[q] - 1, 0), high[q])
     state = sc.broadcast((low, want - above, want))
 
     def kept(batches):
         kth, missing, live = state.value
-        ties: dict[int, list[int]] = {}
-        for numbers, s, ok in each(batches):
+        ties: dict[int, list] = {}
+        order = lambda i: (i is not None, i or 0)
+
+        def batch_of(q, names, s) -> pa.RecordBatch:
+            if np.isin(s, (_LOWEST, _HIGHEST)).any():
+                raise ValueError("a score among the highest is too large for a long")
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(ids[q]), pa.array(names, pa.int64()), pa.array(s, pa.int64()), pa.array(times[q])], names=["q", "query_id", "vec_id", "score", "times"])
+
+        for names, s, ok in each(batches):
             q, c = np.nonzero(ok & (s > kth[:, None]) & (live > 0)[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(numbers[c]), pa.array(s[q, c])], names=["query_id", "order", "score"])
+            yield batch_of(q, names.take(pa.array(c)), s[q, c])
             q, c = np.nonzero(ok & (s == kth[:, None]) & (live > 0)[:, None])
             for line in np.unique(q).tolist():
-                ties[line] = sorted(ties.get(line, []) + numbers[c[q == line]].tolist())[: missing[line]]
-        flat = [(ids[line], i, kth[line]) for line, found in ties.items() for i in found]
+                ties[line] = sorted(ties.get(line, []) + names.take(pa.array(c[q == line])).to_pylist(), key=order)[: missing[line]]
+        flat = [(line, i, kth[line]) for line, found in ties.items() for i in found]
         if flat:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], names=["query_id", "order", "score"])
+            q, names, s = zip(*flat)
+            yield batch_of(np.array(q), list(names), np.array(s))
 
-    found = rows.mapInArrow(kept, "query_id long, `order` long, score long")
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "order"))).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", F.when(F.col("order") != _LOWEST, F.col("order")).alias("vec_id"), "score")
+    found = rows.mapInArrow(kept, "q int, query_id long, vec_id long, score long, times long")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_first("vec_id")))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).select("query_id", "rank", "vec_id", "score")
