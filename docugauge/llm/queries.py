@@ -160,11 +160,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: language, probability, what the markup declares, and whether the page is accepted."""
     from docugauge.llm import langid
 
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", langid.declared_language(F.col("html")).alias("declared"))
     model = langid.fitted(table(spark, sf_dir, "documents"))
-    says = langid.declared_language(F.col("html"))
-    out, names = langid.identified(pages, model, text="html", declared=says, address=langid.address_language(F.col("url")), host=langid.host(F.col("url")), html=True)
-    return out.select("page_id", says.alias("declared"), *names)
+    out, names = langid.identified(pages, model, text="html", declared=F.col("declared"), address=langid.address_language(F.col("url")), host=langid.host(F.col("url")), html=True, keep_text=False)
+    return out.select("page_id", "declared", *names)
 
 
 QUERIES["op9_language_id"] = op9_language_id

@@ -1,4 +1,8 @@
+import math
 import os
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,7 +26,7 @@ def identify(spark, model, rows, **options):
 
 
 def test_text_beats_a_wrong_declaration_but_short_texts_follow_it(spark, model):
-    got = identify(spark, model, [(1, SAMPLES["fr"], "en", None, "x"), (2, "de", "fr", None, None), (3, "de", "de", None, None), (4, SAMPLES["de"], None, None, None)])
+    got = identify(spark, model, [(1, SAMPLES["fr"], "en", None, "x"), (2, "x", "fr", None, None), (3, "x", "de", None, None), (4, SAMPLES["de"], None, None, None)])
     assert got[1][0] == "fr" and got[2][0] == "fr" and got[3][0] == "de" and got[4][0] == "de"
 
 
@@ -46,13 +50,79 @@ def test_markup_and_addresses(spark):
     df = spark.createDataFrame(rows, "html string, url string").coalesce(1)
     got = df.select(langid.declared_language(F.col("html")), langid.host(F.col("url")), langid.address_language(F.col("url"))).collect()
     assert [tuple(r) for r in got] == [("fr", "www.exemple.fr", "fr"), (None, "x.org", "de"), (None, None, None), ("en", "a.co.uk", "en")]
-    assert langid.plain("<p>a<!-- x --><script>var y</script>b</p>").split() == ["a", "b"] and langid.plain(None) == ""
+    assert langid.plain(b"<p>a<!-- x --><script>var y</script>b</p>").split() == [b"a", b"b"] and langid.plain(b"") == b""
+
+
+def test_markup_like_a_pattern_and_in_linear_time():
+    tags = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    rng = random.Random(4)
+    parts = [b"<script ", b"<SCRIPT>", b"</script >", b"<style>", b"</style>", b"<!--", b"-->", b"<", b">", b"a", b" ", b"<scripted>", b"</p>", b"--", b"<!---->"]
+    for _ in range(5000):
+        page = b"".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert langid.plain(page) == tags.sub(b" ", page), page
+    for hostile in (b"<script ", b"<!--", b"<style></script>", b"<", b"<script></style", b"</script "):
+        began = time.process_time()
+        langid.plain(hostile * (1_000_000 // len(hostile)))
+        assert time.process_time() - began < 5, hostile
+
+
+def test_unknown_languages_and_scripts_are_rejected(spark, model):
+    texts = ["это совсем другой язык и другие буквы здесь", "日本語の文章はこのように書きます日本語の文章", SAMPLES["en"]]
+    got = identify(spark, model, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    assert got[0] == got[1] == (None, 0.0, False) and got[2][2]
+
+
+def test_every_language_is_fitted_and_repeats_leave_some(spark):
+    rows = [("en", f"word {i}") for i in range(500)] + [("xx", "seltsam")] + [("fr", "même")] * 300 + [(None, "x"), ("de", None)]
+    model = langid.fitted(spark.createDataFrame(rows, "lang string, text string"), sample=30)
+    assert model.languages == ["en", "fr", "xx"]
+    assert langid.fitted(spark.createDataFrame([], "lang string, text string")).languages == []
+
+
+def test_posterior_like_brute_force(spark, model):
+    rng = random.Random(8)
+    hosts = ["a.x.org", "b.x.org", "c.y.org", None]
+    rows = []
+    for i in range(60):
+        lang = rng.choice(list(SAMPLES))
+        rows.append((i, " ".join(rng.sample(SAMPLES[lang].split(), rng.randrange(1, 6))) if i % 13 else "12 !", rng.choice([lang, "en", None, "zz"]), rng.choice(hosts), "clash"))
+    rows += [(100, None, "en", "a.x.org", None), (101, "", None, None, None), rows[5]]
+    got = identify(spark, model, rows, least=0.4)
+
+    def buckets(text):
+        data = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()) if text else ""
+        raw = b"  " + bytes(b + 32 if 65 <= b <= 90 else b for b in data.encode())
+        return [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 17 for i in range(len(raw) - 2) if raw[i + 1 : i + 3] != b"  "]
+
+    def normal(x):
+        total = sum(math.exp(v - max(x)) for v in x)
+        return [math.exp(v - max(x)) / total for v in x]
+
+    own, logs, live = [], [], []
+    for _, text, says, _, _ in rows:
+        b = buckets(text)
+        tau = min(1.0, langid.EVIDENCE / max(1, len(b)))
+        voice = [math.log(langid.TRUST) if says == la else math.log((1 - langid.TRUST) / 2) if says in model.languages else 0.0 for la in model.languages]
+        logs.append([tau * sum(float(model.logs[k][x]) for x in b) + voice[k] for k in range(3)])
+        own.append(normal(logs[-1]))
+        live.append(any(c.isalpha() for c in text or "") and 2 * sum(not model.seen[x] for x in b) <= len(b) + langid.UNSEEN)
+    for n, (i, _, _, home, _) in enumerate(rows):
+        counted = [(m, r[3]) for m, r in enumerate(rows) if r[3] and live[m] and not (m == n and home)]
+        sums = lambda keep: [sum(own[m][k] for m, h in counted if keep(h)) for k in range(3)]
+        smooth = lambda c, p: [(a + langid.STRENGTH * q) / (sum(c) + langid.STRENGTH) for a, q in zip(c, p)]
+        prior = smooth(sums(lambda h: True), [1 / 3] * 3)
+        prior = smooth(sums(lambda h: home and h.split(".", 1)[1] == home.split(".", 1)[1]), prior)
+        prior = smooth(sums(lambda h: h == home), prior)
+        post = normal([a + math.log(p) for a, p in zip(logs[n], prior)])
+        best = max(range(3), key=lambda k: post[k])
+        want = (model.languages[best], post[best], True) if live[n] and post[best] >= 0.4 else (None, 0.0, False)
+        assert got[i][0] == want[0] and got[i][2] == want[2] and abs(got[i][1] - want[1]) < 1e-4, (rows[n], got[i], want)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    model = langid.fitted(docs.where("doc_id % 2 = 0"), sample=300)
+    model = langid.fitted(docs.where("doc_id % 2 = 0"), sample=400)
     none = F.lit(None).cast("string")
     out, names = langid.identified(docs.where("doc_id % 2 = 1"), model, text="text", declared=none, address=none, host=none)
     r = out.agg(F.avg((F.col(names[0]) == F.col("lang")).cast("double")), F.avg(F.col(names[2]).cast("double"))).first()
