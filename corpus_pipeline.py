@@ -4,15 +4,16 @@ STAGES lists (name, function); each function takes (spark, docs, sf_dir) and ret
 the columns of documents, and the last one token ids. Each stage works on all that its predecessor kept,
 and is written as Parquet and read again before the next. ``run`` applies them to the documents table.
 
-1. language_id: the text, the declared language and the source's smoothed prior are fused; documents whose
-   language can't be told go.
+1. language_id: the text and the source's smoothed prior are fused; documents whose language can't be told
+   go. The column lang only teaches the model, on a bounded sample; it has no say on its own row.
 2. near_duplicates: of documents linked at a similarity of 0.8 or more of their 5-word shingles, directly
    or through others, the one with the smallest id stays.
 3. repeated_spans: words of 20-word windows that start earlier elsewhere go; documents that lose all go.
 4. decontamination: documents of which a twentieth or more is in windows of benchmark items go.
 5. byte_bpe: the texts that are left, as ids, with what they decode to compared.
 
-Nulls are handled as each operator says; other columns stay, whatever their names.
+Nulls are handled as each operator says; other columns stay, whatever their names, up to the last stage,
+which returns doc_id, lang, source, n_tokens, ids and round_trip.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ from pyspark.sql import functions as F
 from docugauge.llm import bpe, debruijn, decontaminate, langid, neardup
 from docugauge.llm.frames import stored, table
 
-#: No SQL expresses the fused language evidence or the tokens; tests/llm/test_pipeline.py has a brute-force version.
+#: No SQL expresses the fused language evidence or the tokens; tests/llm/test_pipeline.py has a brute-force version of every stage.
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fitted(docs)
     nothing = F.lit(None).cast("string")
-    out, names = langid.identified(docs, model, text="text", declared=F.lower("lang"), address=nothing, host=F.col("source"))
+    out, names = langid.identified(docs, model, text="text", declared=nothing, address=nothing, host=F.col("source"))
     return out.where(F.col(names[2])).drop(*names)
 
 
