@@ -1,18 +1,26 @@
 """License scans: a paragraph classifier whose predictions a template must confirm, all of it Spark functions.
 
-A paragraph is a line, or what the lines between blank ones give when they are joined, as notices are
-often hard-wrapped: lines that are confirmed by themselves are left out of it, and it counts if it is
-confirmed or none of its lines is predicted. It has one family, and the number of its first line. Features
-are the word 1-, 2- and 3-grams of the templates and of the sentences that name no licence. Weights are a sparse multinomial logistic
-regression (accelerated proximal gradient steps, which leave most weights at zero), fitted on the templates with words left out and text around them against ordinary paragraphs and sentences that merely
-speak of licences; a temperature chosen on held-out rows calibrates them. Fitting takes a bounded sample:
-SAMPLE documents by order of a hash of their ids, SAMPLE_CHARS characters of each, and the templates.
+Marks of comments at the begin of lines (``#``, ``//``, ``*``, ...) are taken off first. A paragraph is a line,
+or a run of lines that are joined, as notices are often hard-wrapped: lines without a blank one between
+them, each with a word of the gate (below) or next to one that has. Lines that are confirmed by themselves
+are left out of the run, and it counts if it is confirmed or none of its lines is predicted. A paragraph
+has one family, and the number of its first line.
+
+Features are the word 1-, 2- and 3-grams of the templates and of the sentences that name no licence, but
+for those of common words alone. Weights are a sparse multinomial logistic regression (accelerated
+proximal gradient steps, which leave most weights at zero), fitted on the templates with words left out and
+text around them against ordinary lines and sentences that merely speak of licences. For the temperature
+that calibrates it, whole templates are held out in turn, with the sentences and ordinary lines of the same
+turn, and judged by a classifier that was fitted on the others. Fitting takes a bounded sample: SAMPLE
+documents by order of a hash, SAMPLE_CHARS characters of each, and the templates.
 
 A paragraph whose likeliest class is a family with probability LEAST or more is predicted to be of that
 family. It is confirmed if it holds at least COVER of the 2-grams of a template of the family.
 
-Scoring is one projection over whole texts without a shuffle. Paragraphs without any of the gate's words
-aren't scored: the weights of all other features together can't lift a family above the unknown class.
+Scoring is one projection over whole texts without a shuffle. The gate is a list of words, derived from the
+weights: all features that hold none of them can't, together, lift a family above the unknown class, so a
+line without them can't be predicted and isn't scored. What is scored needs about 20 times its own size in
+memory, a line or run at a time.
 
 Null and empty texts have no licence; a null text has no paragraphs. Repeated rows and ties are judged
 row by row, ties of classes go to the unknown class, then by family name. Other columns pass through.
@@ -33,18 +41,54 @@ SAMPLE, SAMPLE_CHARS = 300, 3000
 LEAST, COVER = 0.5, 0.75
 UNKNOWN = "unknown"
 
-# Short notices by which common licences are named.
+# Notices by which common licences are named, and the first paragraphs of their usual headers.
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "This software is provided under the BSD license."),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License."),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."),
-    "proprietary": ("All rights reserved.", "Unauthorized copying of this file is strictly prohibited.", "Copyright (c) the authors. All rights reserved."),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. The ASF licenses this file to you under the Apache License, Version 2.0",
+    ),
+    "BSD-3-Clause": (
+        "Licensed under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "This software is provided under the BSD license.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/"),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/"),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/"),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "Licensed under the GPLv3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ),
+    "LGPL-3.0": (
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    ),
+    "MIT": (
+        "Released under the MIT License.",
+        "Licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "SPDX-License-Identifier: MIT",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Licensed under the Mozilla Public License 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    "proprietary": ("All rights reserved.", "Unauthorized copying of this file is strictly prohibited.", "Copyright (c) the authors. All rights reserved.", "Proprietary and confidential. No part may be reproduced without prior written consent of the owner."),
 }
 # Sentences that speak of licences and name none.
 OTHERS = (
@@ -53,6 +97,10 @@ OTHERS = (
     "Version 3 of the program was released.", "Released in May.", "Licensed practitioners only.", "A license may be needed.", "Free of charge and without restriction.", "Distribution of food and its use.", "The Apache people live in the south.", "MIT is a university.", "Commons were held in common.", "The source of the river is not known.", "Any person may obtain a copy of the report.",
 )
 _WORD = re.compile(r"[a-z0-9]+")
+#: Marks of comments, at the begin of a line; lower case, as the text is by then.
+MARKS = r"(?m)^[ \t]*(?:(?:/?\*+/?|//+|#+|--+>?|;+|%+|<!--|rem\b|dnl\b)[ \t]*)+"
+#: Share of ordinary lines beyond which a word is common, and turns of held-out templates.
+COMMON, TURNS = 0.01, 3
 
 
 def grams(text: str, sizes: tuple[int, ...] = (1, 2, 3)) -> set[str]:
@@ -72,73 +120,90 @@ class Classifier:
     """Sparse weights by n-gram, an intercept for each class, and a temperature. Class 0 is the unknown one."""
 
     def __init__(self, ordinary: list[str], seed: int = 7) -> None:
-        rng = random.Random(seed)
         self.classes = [UNKNOWN, *sorted(TEMPLATES)]
-        rows = [(t, 0) for t in (*OTHERS, *ordinary)]
+        seen: dict[str, int] = {}
+        for line in ordinary:
+            for w in grams(line, (1,)):
+                seen[w] = seen.get(w, 0) + 1
+        self.common = {w for w, n in seen.items() if n > COMMON * len(ordinary)}
+        rows = self._rows(ordinary, random.Random(seed))
+        logits, truth, weight = [], [], []
+        for turn in range(TURNS):
+            part = Classifier.__new__(Classifier)
+            part.classes, part.common = self.classes, self.common
+            part._fit([r for r in rows if r[2] % TURNS != turn])
+            held = self._merged([r for r in rows if r[2] % TURNS == turn])
+            logits.append(part._matrix([f for f, _, _ in held]) @ part.weights + part.bias)
+            truth += [k for _, k, _ in held]
+            weight += [n for _, _, n in held]
+        logits, truth, weight = np.concatenate(logits), np.array(truth), np.array(weight)
+        self.temperature = min((self._loss(logits / t, truth, weight), t) for t in np.geomspace(0.25, 8, 41))[1]
+        self._fit(rows)
+        self.gate = self._gate(seen)
+
+    def _rows(self, ordinary: list[str], rng: random.Random) -> list[tuple[frozenset, int, int]]:
+        """(features, class, turn): each template and sentence also with words left out and ordinary text around."""
+        words = [line.split(" ") for line in ordinary] or [[]]
+        around = lambda most: rng.choice(words)[: rng.randrange(most)]
+        rows = [(line, 0, i) for i, line in enumerate(ordinary)]
+        for i, line in enumerate(OTHERS):
+            rows += [(line, 0, i)] * 4
+            rows += [(" ".join([*around(12), *(w for w in line.split(" ") if rng.random() > 0.1)]), 0, i) for _ in range(20)]
         for k, family in enumerate(self.classes[1:], 1):
-            for line in TEMPLATES[family]:
-                rows += [(line, k)] * 4
-                for _ in range(20):
-                    words = [w for w in line.split(" ") if rng.random() > 0.08]
-                    around = [rng.choice(ordinary).split(" ")[: rng.randrange(9)] if ordinary else [] for _ in range(2)]
-                    rows.append((" ".join([*around[0], *words, *around[1]]), k))
-        for line in OTHERS:
-            for _ in range(20):
-                words = line.split(" ")
-                extra = rng.choice(ordinary).split(" ")[: rng.randrange(12)] if ordinary else []
-                rows.append((" ".join([*extra, *(w for w in words if rng.random() > 0.1)]), 0))
-        rng.shuffle(rows)
-        held, train = rows[::5], [r for i, r in enumerate(rows) if i % 5]
-        count: dict[str, int] = {}
-        for text, _ in train:
-            for g in features(text):
-                count[g] = count.get(g, 0) + 1
-        self.names = sorted(g for g, n in count.items() if n >= 5)
-        index = {g: i for i, g in enumerate(self.names)}
-        self._fit(self._matrix(train, index), np.array([k for _, k in train]))
-        kept = np.abs(self.weights).max(axis=1) > 0
-        self.names, self.weights = [n for n, k in zip(self.names, kept) if k], self.weights[kept]
-        index = {g: i for i, g in enumerate(self.names)}
-        logits, truth = self._matrix(held, index) @ self.weights + self.bias, np.array([k for _, k in held])
-        self.gate = self._gate(ordinary)
-        self.temperature = min((self._loss(logits / t, truth), t) for t in np.geomspace(0.25, 4, 33))[1]
+            for i, line in enumerate(TEMPLATES[family]):
+                rows += [(line, k, i)] * 4
+                rows += [(" ".join([*around(9), *(w for w in line.split(" ") if rng.random() > 0.08), *around(9)]), k, i) for _ in range(20)]
+        return [(frozenset(g for g in features(t) if not self.common.issuperset(g.split(" "))), k, i) for t, k, i in rows]
 
     @staticmethod
-    def _matrix(rows: list[tuple[str, int]], index: dict[str, int]) -> np.ndarray:
+    def _merged(rows: list[tuple]) -> list[tuple]:
+        """Different (features, class) with how often they are there."""
+        count: dict[tuple, int] = {}
+        for f, k, _ in rows:
+            count[f, k] = count.get((f, k), 0) + 1
+        return [(f, k, n) for (f, k), n in count.items()]
+
+    def _matrix(self, rows: list[frozenset]) -> np.ndarray:
+        index = {g: i for i, g in enumerate(self.names)}
         out = np.zeros((len(rows), len(index)))
-        for i, (text, _) in enumerate(rows):
-            out[i, [index[g] for g in features(text) if g in index]] = 1
+        for i, held in enumerate(rows):
+            out[i, [index[g] for g in held if g in index]] = 1
         return out
 
     @staticmethod
-    def _loss(logits: np.ndarray, truth: np.ndarray) -> float:
+    def _loss(logits: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> float:
         logits = logits - logits.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(logits).sum(axis=1)) - logits[np.arange(len(truth)), truth]).mean())
+        return float(np.average(np.log(np.exp(logits).sum(axis=1)) - logits[np.arange(len(truth)), truth], weights=weight))
 
-    def _fit(self, x: np.ndarray, y: np.ndarray, l1: float = 4e-4, steps: int = 400) -> None:
+    def _fit(self, rows: list[tuple], l1: float = 4e-4, steps: int = 300) -> None:
         """Accelerated proximal gradient steps on the mean log loss plus l1 times the weights' sizes."""
-        classes, target = len(self.classes), np.eye(len(self.classes))[y]
+        merged = self._merged(rows)
+        count: dict[str, int] = {}
+        for held, _, n in merged:
+            for g in held:
+                count[g] = count.get(g, 0) + n
+        self.names = sorted(g for g, n in count.items() if n >= 5)
+        x, n = self._matrix([f for f, _, _ in merged]), np.array([n for _, _, n in merged], dtype=float)
+        n /= n.sum()
+        classes, target = len(self.classes), np.eye(len(self.classes))[[k for _, k, _ in merged]]
         w, b = np.zeros((x.shape[1], classes)), np.zeros(classes)
         vw, vb, t = w, b, 1.0
-        rate = 2.0 * len(y) / (np.linalg.norm(np.column_stack((x, np.ones(len(y)))), 2) ** 2 + 1e-9)
+        rate = 2.0 / (np.linalg.norm(np.column_stack((x, np.ones(len(n)))) * np.sqrt(n)[:, None], 2) ** 2 + 1e-9)
         for _ in range(steps):
             z = x @ vw + vb
             p = np.exp(z - z.max(axis=1, keepdims=True))
-            error = (p / p.sum(axis=1, keepdims=True) - target) / len(y)
+            error = (p / p.sum(axis=1, keepdims=True) - target) * n[:, None]
             step = vw - rate * (x.T @ error)
             new_w = np.sign(step) * np.maximum(np.abs(step) - rate * l1, 0)
             new_b = vb - rate * error.sum(axis=0)
             s = (1 + (1 + 4 * t * t) ** 0.5) / 2
             vw, vb, t = new_w + (t - 1) / s * (new_w - w), new_b + (t - 1) / s * (new_b - b), s
             w, b = new_w, new_b
-        self.weights, self.bias = w, b
+        kept = np.abs(w).max(axis=1) > 0
+        self.names, self.weights, self.bias = [g for g, k in zip(self.names, kept) if k], w[kept], b
 
-    def _gate(self, ordinary: list[str]) -> list[str]:
+    def _gate(self, common: dict[str, int]) -> list[str]:
         """Words such that the features without them can't lift any family above the unknown class; rare ones first. An empty one is in every text."""
-        common: dict[str, int] = {}
-        for line in ordinary:
-            for w in grams(line, (1,)):
-                common[w] = common.get(w, 0) + 1
         gain, need = np.maximum(self.weights[:, 1:] - self.weights[:, :1], 0), self.bias[0] - self.bias[1:]
         if (need <= 1e-6).any():
             return [""]
@@ -161,10 +226,10 @@ class Classifier:
         return p / p.sum()
 
 
-def fitted(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Classifier:
-    """Fits on the first documents by a hash of their ids; lines that hold a template count as no ordinary ones."""
-    rows = some(docs.where(F.col(text).isNotNull()), key, sample).select(F.substring(text, 1, chars).alias("t"), F.xxhash64(F.lit(5), key).alias("h"), F.xxhash64(text).alias("x"))
-    lines = [line for r in rows.orderBy("h", "x").limit(sample).collect() for line in r.t.split("\n") if line.strip()]
+def fitted(docs: DataFrame, text: str = "text", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Classifier:
+    """Fits on a sample by a hash of the texts; lines that hold a template count as no ordinary ones."""
+    rows = some(docs.where(F.col(f"`{text}`").isNotNull()).select(F.substring(F.col(f"`{text}`"), 1, chars).alias("t")), ["t"], sample)
+    lines = [line for r in rows.orderBy("_rank").collect() for line in r.t.split("\n") if line.strip()]
     known = [grams(t, (2,)) for lines_ in TEMPLATES.values() for t in lines_]
     return Classifier([line for line in lines if not any(len(k & grams(line, (2,))) >= COVER * len(k) for k in known)])
 
@@ -176,7 +241,8 @@ def scanned(docs: DataFrame, model: Classifier, *, text: str = "text", name: str
     """
     (name,) = fresh(docs, name)
     (low,) = fresh(docs, "lower")
-    may = lambda c: _any([F.contains(c, F.lit(t)) for t in model.gate])
+    gate = "(?<![a-z0-9])(?:%s)(?![a-z0-9])" % "|".join(map(re.escape, model.gate)) if all(model.gate) else ""
+    may = lambda c: c.rlike(gate)
     # literals are folded once, from_json() would be run again for every n-gram
     array = lambda xs: "array(%s)" % ", ".join(xs)
     quoted = lambda xs: array(f"'{x}'" for x in xs)
@@ -220,9 +286,9 @@ def scanned(docs: DataFrame, model: Classifier, *, text: str = "text", name: str
         """Each line with its number and what it is by itself, or null."""
         return F.transform(lines, lambda s, i: F.struct(s.alias("s"), F.when(may(s), judged(s, i)).alias("x")))
 
-    def together(rest: Column) -> Column:
+    def together(rest: Column, place: Column) -> Column:
         """What lines are when they are joined, or null."""
-        return F.when(F.size(rest) > 1, let(F.array_join(rest, " "), lambda s: F.when(may(s), judged(s, F.lit(0)))))
+        return F.when(F.size(rest) > 1, let(F.array_join(rest, " "), lambda s: F.when(may(s), judged(s, place))))
 
     def either(lines: Column, whole: Column) -> Column:
         own = F.filter(F.transform(lines, lambda p: p["x"]), lambda x: x.isNotNull())
@@ -233,29 +299,33 @@ def scanned(docs: DataFrame, model: Classifier, *, text: str = "text", name: str
     def found_in(block: Column) -> Column:
         def whole(lines: Column) -> Column:
             rest = F.filter(lines, lambda p: (F.trim(p["s"]) != "") & ~F.coalesce(p["x"]["confirmed"], F.lit(False)))
-            return let(together(F.transform(rest, lambda p: p["s"])), lambda w: either(lines, w))
+            first = (F.trim(F.get(lines, F.lit(0))["s"]) == "").cast("int")  # a text may begin with a line break
+            return let(together(F.transform(rest, lambda p: p["s"]), first), lambda w: either(lines, w))
 
         return F.when(may(block), let(alone(F.split(block, "\n")), whole))
 
     column = F.col(f"`{low}`")
     between = r"\n\s*\n"
-    gaps, blocks = F.regexp_extract_all(column, F.lit(between), F.lit(0)), F.split(column, between)
-    parts = F.transform(blocks, lambda b, j: F.struct(found_in(b).alias("x"), j.alias("j")))
-    parts = F.filter(parts, lambda p: F.size(p["x"]) > 0)
+
+    def near(flags: Column, i: Column) -> Column:
+        return F.get(flags, i) | F.coalesce(F.get(flags, i - 1), F.lit(False)) | F.coalesce(F.get(flags, i + 1), F.lit(False))
+
+    def narrowed(lines: Column) -> Column:
+        """The text with empty lines in the place of those that are far from any word of the gate."""
+        return let(F.transform(lines, lambda s: may(s)), lambda flags: F.array_join(F.transform(lines, lambda s, i: F.when(near(flags, i), s).otherwise("")), "\n"))
 
     def placed(p: Column, sizes: Column) -> Column:
         before = F.aggregate(F.slice(sizes, F.lit(1), p["j"]), F.lit(0), lambda a, n: a + n)
         return let(before, lambda n: F.transform(p["x"], lambda x: x.withField("paragraph", x["paragraph"] + n)))
 
-    sizes = F.zip_with(blocks, gaps, lambda b, g: newlines(b) + F.coalesce(newlines(g), F.lit(0)))
-    found = let(parts, lambda ps: F.when(F.size(ps) > 0, let(sizes, lambda n: F.flatten(F.transform(ps, lambda p: placed(p, n))))))
+    def searched(narrow: Column) -> Column:
+        gaps, blocks = F.regexp_extract_all(narrow, F.lit(between), F.lit(0)), F.split(narrow, between)
+        parts = F.filter(F.transform(blocks, lambda b, j: F.struct(found_in(b).alias("x"), j.alias("j"))), lambda p: F.size(p["x"]) > 0)
+        sizes = F.zip_with(blocks, gaps, lambda b, g: newlines(b) + F.coalesce(newlines(g), F.lit(0)))
+        return let(parts, lambda ps: F.when(F.size(ps) > 0, let(sizes, lambda n: F.flatten(F.transform(ps, lambda p: placed(p, n))))))
+
+    found = let(let(F.split(F.regexp_replace(column, MARKS, ""), "\n"), narrowed), searched)
     none = F.array().cast("array<struct<paragraph:int,family:string,probability:double,confirmed:boolean>>")
     out = docs.withColumn(low, F.lower(F.col(f"`{text}`"))).withColumn(name, F.coalesce(F.when(may(column), found), none))
     return out.drop(low)
 
-
-def _any(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out | c
-    return out
