@@ -119,16 +119,24 @@ def within(words: Column, x0: Column, y0: Column, x1: Column, y1: Column, margin
     return F.filter(words, lambda w: w["cx"].between(x0 - margin, x1 + margin) & w["cy"].between(y0 - margin, y1 + margin))
 
 
+def _firsts(words: Column, tag) -> Column:
+    """Of words with one tag the first, in their order; by sorting, so long arrays take no time squared."""
+    # each sorted word beside the one before it; no lambda reads another's variables, which Spark can't match in inputs of UDFs
+    tagged = F.array_sort(F.transform(words, lambda w, i: F.struct(tag(w).alias("t"), i.alias("i"), w.alias("w"))))
+    before = F.concat(F.array(F.lit(None)), F.slice(tagged, F.lit(1), F.greatest(F.size(tagged) - 1, F.lit(0))))
+    pairs = F.zip_with(tagged, before, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    new = F.filter(pairs, lambda p: p["a"].isNotNull() & ~p["a"]["t"].eqNullSafe(p["b"]["t"]))
+    return F.transform(F.array_sort(F.transform(new, lambda p: F.struct(p["a"]["i"].alias("i"), p["a"]["w"].alias("w")))), lambda p: p["w"])
+
+
 def first_of_cell(words: Column) -> Column:
     """Of words with one lower-cased text in one cell of the grid, the first."""
-    tagged = F.transform(words, lambda w: F.struct(F.lower(w["text"]).alias("t"), F.floor(F.floor(w["cx"]) / CELL).alias("x"), F.floor(F.floor(w["cy"]) / CELL).alias("y")))
-    return F.filter(words, lambda w, i: F.array_position(tagged, F.get(tagged, i)) == i + 1)
+    return _firsts(words, lambda w: F.struct(F.lower(w["text"]).alias("t"), F.floor(F.floor(w["cx"]) / CELL).alias("x"), F.floor(F.floor(w["cy"]) / CELL).alias("y")))
 
 
 def first_of_place(words: Column) -> Column:
     """Of words with one text at one place, the first."""
-    tagged = F.transform(words, lambda w: F.struct(w["text"].alias("t"), w["cx"].alias("x"), w["cy"].alias("y")))
-    return F.filter(words, lambda w, i: F.array_position(tagged, F.get(tagged, i)) == i + 1)
+    return _firsts(words, lambda w: F.struct(w["text"].alias("t"), w["cx"].alias("x"), w["cy"].alias("y")))
 
 
 def zone_words(page: Column, zone: Column, sensor: Column | str, min_conf: Column | float) -> Column:
@@ -164,6 +172,11 @@ def sheet_code(text: Column) -> Column:
     return F.when(digits != "", F.concat(F.lit("S"), F.lpad(digits, 2, "0")))
 
 
+def joined_key(*parts: Column) -> Column:
+    """The key of a page's degradation: its factors' texts, joined."""
+    return F.concat_ws("_", *parts)
+
+
 def name_matches(a: Column, b: Column) -> Column:
     """Either holds the other; never if one is empty."""
     return (F.length(a) > 0) & (F.length(b) > 0) & (F.contains(a, b) | F.contains(b, a))

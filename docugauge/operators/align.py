@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docugauge.functions.text import NEAR
+
 Match = Callable[[Column, Column], Column]
 
 
@@ -62,6 +64,24 @@ def neighbour_fix(rows: DataFrame, batch: Sequence[str], order: str, observed: s
     return out.withColumn("fixed", F.when(ok(F.col(expected)), 0).when(ok(F.col("_back")), -1).when(ok(F.col("_ahead")), 1)).drop("_back", "_ahead")
 
 
+def added_words(words: DataFrame, printed: DataFrame, by: Sequence[str], text: str = "text", x: str = "cx", y: str = "cy", radius: float = NEAR) -> DataFrame:
+    """The words that no printed one of the same page, text and place accounts for; null texts and places match nothing.
+
+    Words meet by page, text and cell of a grid as wide as the radius, a printed one in its cell and those
+    around it, so that a word which a page is full of is compared with its neighbours alone.
+    """
+    cell = lambda c: F.floor(F.col(c) / radius)
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    known = printed.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(text).alias("_t"), F.col(x).alias("_px"), F.col(y).alias("_py"), F.explode(near).alias("_n"))
+    known = known.withColumns({"_kx": cell("_px") + F.col("_n.i"), "_ky": cell("_py") + F.col("_n.j")}).drop("_n")
+    held = words.withColumns({"_cx": cell(x), "_cy": cell(y)})
+    same = (F.col(text) == F.col("_t")) & (F.col("_cx") == F.col("_kx")) & (F.col("_cy") == F.col("_ky"))
+    for c in by:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    apart = (F.col(x) - F.col("_px")) * (F.col(x) - F.col("_px")) + (F.col(y) - F.col("_py")) * (F.col(y) - F.col("_py"))
+    return held.join(known, same & (apart <= radius * radius), "left_anti").drop("_cx", "_cy")
+
+
 def against_baseline(rows: DataFrame, sheet: Sequence[str], step: str, order: str, value: str) -> DataFrame:
     """rows with the value of their own sheet's last row at step 0."""
     base = rows.where(F.col(step) == 0).groupBy(*sheet).agg(F.max_by(value, order).alias("baseline"))

@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from docugauge.functions.stats import PREVALENCE, balanced_precision, prevalence_precision, ratio
 
-#: False positives per target that a point may cost; ranges of a running sum; what an empty dossier scores.
-BUDGET, RANGES, NOTHING = 0.002, 32, -1e18
+#: False positives per target that a point may cost; ranges of a running sum (0: as many as a shuffle has partitions); what an empty dossier scores.
+BUDGET, RANGES, NOTHING = 0.002, 0, -1e18
 
 
 def _ranged(counts: DataFrame, by: list[str], ranges: int) -> DataFrame:
     """counts with a range number that rises with the score; borders are the same for all rows of a group."""
+    ranges = ranges or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if ranges <= 1:
         return counts.withColumn("_range", F.lit(0))
     shares = [i / ranges for i in range(1, ranges)]

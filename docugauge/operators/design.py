@@ -119,13 +119,16 @@ def systematic_sample(rows: DataFrame, order: Sequence[str], how_many: int) -> D
     if how_many <= 0 or not n:
         return rows.limit(0)
     step = max(1, n // how_many)
-    number = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("_i", number).where((F.col("_i") % step == 0) & (F.col("_i") < step * how_many)).drop("_i")
+    return numbered(rows, order, "_i").where((F.col("_i") % step == 0) & (F.col("_i") < step * how_many)).drop("_i")
 
 
-def numbered(rows: DataFrame, order: Sequence[str], name: str = "n", ranges: int = 32) -> DataFrame:
-    """rows with 0, 1, 2, ... in an order, by many tasks: ranges of the order's first column are counted, then numbered."""
+def numbered(rows: DataFrame, order: Sequence[str], name: str = "n", ranges: int | None = None) -> DataFrame:
+    """rows with 0, 1, 2, ... in an order, by many tasks: ranges of the order's first column are counted, then numbered.
+
+    As many ranges as a shuffle has partitions, so tasks don't grow with the table if those are set to it.
+    """
     first = order[0]
+    ranges = ranges or max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     borders = rows.agg(F.percentile_approx(first, [i / ranges for i in range(1, ranges)], 1000).alias("_b"))
     dealt = rows.crossJoin(F.broadcast(borders)).withColumn("_range", F.size(F.filter("_b", lambda b: b < F.col(first)))).drop("_b")
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_k"))
@@ -154,6 +157,14 @@ def capture_rows(sheets: DataFrame, devices: Mapping[str, int]) -> DataFrame:
     return sheets.crossJoin(F.broadcast(table)).withColumn("capture_index", F.explode(F.sequence(F.lit(1), F.col("captures")))).drop("captures")
 
 
+def renderer_rows(variants: DataFrame, pipelines: Sequence[str], levels: Sequence[int], seeds: Sequence[int] = SEEDS) -> DataFrame:
+    """Rows for a renderer of degradations: pipelines x variants (ord, variant) x levels x seeds, numbered in that order."""
+    spark = variants.sparkSession
+    other = spark.createDataFrame([(i, p, x, s) for i, p in enumerate(pipelines) for x in levels for s in seeds], "_p int, pipeline string, level int, seed int")
+    rows = small(variants).crossJoin(F.broadcast(other))  # a design: all of it is wanted
+    return numbered(rows, ["_p", "ord", "level", "seed"], "row_index").select("row_index", "pipeline", "variant", "level", "seed")
+
+
 def targeted_runs(cells: DataFrame, targets: DataFrame, seeds: Sequence[int] = SEEDS, levels: Sequence[float] = PARASITE_LEVELS, all_shapes: bool = True) -> DataFrame:
     """Foreign ink laid on what a variant damages and on the same place of the clean page: cells x seeds x levels x targets x sides.
 

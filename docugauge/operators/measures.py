@@ -196,10 +196,22 @@ def frozen_report(rows: DataFrame, keys: Sequence[str], by: Sequence[str] = (),
     return abstained.join(out, [*by, "threshold"], "left").withColumn("recall_abstention_as_miss", ratio(F.coalesce("tp", F.lit(0)), F.coalesce("n_pos", F.lit(0)) + F.col("abstained_pos")))
 
 
-def grouped_rates(rows: DataFrame, fired: Column, sets: Sequence[Sequence[str]], digits: int | None = None) -> DataFrame:
-    """Fired, n, rate and interval for each of several groupings in one pass; a column that a grouping lacks is null there."""
+def grouped_rates(rows: DataFrame, fired: Column, sets: Sequence[Sequence[str]], digits: int | None = None, present: Sequence[str] = ()) -> DataFrame:
+    """Fired, n, rate and interval for each of several groupings in one pass, named in ``grouping``; a column that a grouping lacks is null there.
+
+    present: a grouping that has one of these columns leaves out the rows where it is null.
+    """
     names = list(dict.fromkeys(c for s in sets for c in s))
     out = rows.withColumn("_fired", F.coalesce(fired, F.lit(False))).groupingSets([list(s) for s in sets], *names).agg(F.count_if("_fired").alias("fired"), F.count("*").alias("n"), F.grouping_id(*names).alias("_set"))
+    has = {c: F.col("_set").bitwiseAND(1 << (len(names) - 1 - i)) == 0 for i, c in enumerate(names)}
+    for c in present:
+        out = out.where(~has[c] | F.col(c).isNotNull())
     low, high = wilson(F.col("fired"), F.col("n"))
     show = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
-    return out.withColumns({"rate": ratio(F.col("fired"), F.col("n")), "low": show(low), "high": show(high)}).drop("_set")
+    named = F.concat_ws("+", *[F.when(has[c], F.lit(c)) for c in names])
+    return out.withColumns({"grouping": named, "rate": ratio(F.col("fired"), F.col("n")), "low": show(low), "high": show(high)}).drop("_set")
+
+
+def shape_split(rows: DataFrame, fired: Column, level: str = "level", shape: str = "shape", digits: int | None = None) -> DataFrame:
+    """Rates per level over all shapes, and per level and shape. A row without a shape (no ink was laid) counts in the former only."""
+    return grouped_rates(rows, fired, [[level], [level, shape]], digits, [shape])

@@ -121,8 +121,8 @@ class Predicate:
         match node:
             case ast.Constant(value=bool() | int() | float() | str() | None as value):
                 return value
-            case ast.UnaryOp(op=ast.USub() | ast.UAdd() as sign, operand=ast.Constant(value=int() | float() as value)) if not isinstance(value, bool):
-                return -value if isinstance(sign, ast.USub) else value
+            case ast.UnaryOp(op=ast.USub(), operand=ast.Constant(value=int() | float() as value)) if not isinstance(value, bool):
+                return -value
             case ast.Tuple(elts=items) | ast.List(elts=items) | ast.Set(elts=items):
                 return [self._literal(i) for i in items]
         raise PredicateError(f"not a literal: {ast.unparse(node)!r}")

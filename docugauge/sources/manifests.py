@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docugauge.functions.text import blank_to_null
 from docugauge.operators.broadcasts import small
+from docugauge.operators.design import numbered as in_order
 
 # Columns that a manifest must have, its sources, and the columns of its rows' keys.
 REQUIRED = ("image_path", "source", "identity", "piece", "variant", "instance", "seed", "dpi", "capture", "mark_step", "ts")
@@ -26,26 +27,32 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     if lacking := [c for c in REQUIRED if c not in rows.columns]:
         raise ManifestError(f"missing column(s) {', '.join(lacking)}")
     numbered = rows.withColumns({c: blank_to_null(F.col(f"`{c}`")) for c in rows.columns}).withColumn("_id", F.monotonically_increasing_id())
-    return numbered.withColumn("line", F.row_number().over(Window.orderBy("_id")) + 1).drop("_id")
+    return in_order(numbered, ["_id"], "line").withColumn("line", (F.col("line") + 2).cast("int")).drop("_id")
 
 
 def violations(rows: DataFrame, pieces: DataFrame, variants: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """(line, problem) of every rule that a row breaks; a union of filters, anti joins and one count per key."""
-    say = lambda df, text: df.select("line", text.alias("problem") if isinstance(text, Column) else F.lit(text).alias("problem"))
-    named = lambda what, c: F.concat(F.lit(f"{what} "), F.coalesce(F.col(c), F.lit("''")))
-    who, what_pieces, what_variants = small(pieces.select("identity").distinct()), small(pieces.select("identity", "piece").distinct()), small(variants.select("identity", "variant").distinct())
-    known = rows.join(who, "identity", "left_semi")
-    out = say(rows.where(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False))), named("unknown source", "source"))
-    out = out.unionByName(say(rows.join(who, "identity", "left_anti"), named("unknown identity", "identity")))
-    out = out.unionByName(say(known.join(what_pieces, ["identity", "piece"], "left_anti"), named("piece not declared", "piece")))
-    faulty = known.where(~F.coalesce(F.col("variant") == "clean", F.lit(False)))
-    out = out.unionByName(say(faulty.join(what_variants, ["identity", "variant"], "left_anti"), named("unknown variant", "variant")))
-    out = out.unionByName(say(rows.where(F.coalesce(F.col("dpi").try_cast("int"), F.lit(0)) == 0), "no dpi"))
-    if existing is not None:
-        out = out.unionByName(say(rows.join(existing.select(F.col("path").alias("image_path")), "image_path", "left_anti"), named("image not found", "image_path")))
-    first = F.min("line").over(Window.partitionBy(*ROW_KEY))
-    again = rows.withColumn("_first", first).where(F.col("line") > F.col("_first"))
-    return out.unionByName(say(again, F.concat(F.lit("same key as line "), F.col("_first").cast("string"))))
+    """(line, problem) of every rule that a row breaks, found in one pass: dimensions are joined as marks.
+
+    A row whose identity isn't known breaks that rule and maybe the source's; its other columns mean nothing
+    then, and its key isn't taken. Of rows with one key, each but the first names the one before it.
+    """
+    mark = lambda df, name, *on: small(df.select(*on).distinct().withColumn(name, F.lit(True)))
+    held = rows.join(mark(pieces, "_who", "identity"), "identity", "left").join(mark(pieces, "_piece", "identity", "piece"), ["identity", "piece"], "left").join(mark(variants, "_variant", "identity", "variant"), ["identity", "variant"], "left")
+    held = held.join(existing.select(F.col("path").alias("image_path")).distinct().withColumn("_there", F.lit(True)), "image_path", "left") if existing is not None else held.withColumn("_there", F.lit(True))
+    known = F.col("_who").isNotNull()
+    earlier = F.lag("line").over(Window.partitionBy("_who", *ROW_KEY).orderBy("line"))
+    broken = lambda rule, *text: F.when(rule, F.concat(*[F.lit(t) if isinstance(t, str) else F.coalesce(t.cast("string"), F.lit("nothing")) for t in text]))
+    rules = [
+        broken(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), "no such source: ", F.col("source")),
+        broken(~known, "no reference for ", F.col("identity")),
+        broken(known & F.col("_piece").isNull(), "the reference lacks the piece ", F.col("piece")),
+        broken(known & F.col("_variant").isNull() & ~F.coalesce(F.col("variant") == "clean", F.lit(False)), "not in the catalogue: ", F.col("variant")),
+        broken(known & (F.coalesce(F.col("dpi").try_cast("int"), F.lit(0)) == 0), "resolution lacks"),
+        broken(known & F.col("_there").isNull(), "nothing at ", F.col("image_path")),
+        broken(known & F.col("_earlier").isNotNull(), "repeats line ", F.col("_earlier")),
+    ]
+    found = held.withColumn("_earlier", earlier).select("line", F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("problem"))
+    return found
 
 
 def checked(rows: DataFrame, pieces: DataFrame, variants: DataFrame, existing: DataFrame | None = None, shown: int = 20) -> DataFrame:
@@ -54,7 +61,7 @@ def checked(rows: DataFrame, pieces: DataFrame, variants: DataFrame, existing: D
     total = found.count()
     if total:
         first = found.orderBy("line", "problem").limit(shown).collect()
-        raise ManifestError(f"{total} problem(s), nothing read: " + "; ".join(f"line {r.line}: {r.problem}" for r in first))
+        raise ManifestError(f"refused for {total} broken rules, among them " + "; ".join(f"{r.problem} ({r.line})" for r in first))
     return rows.withColumns({c: F.col(c).try_cast("int") for c in ("seed", "dpi", "mark_step")})
 
 

@@ -61,8 +61,8 @@ def test_manifest_refuses_before_reading(spark, tmp_path):
     there = spark.createDataFrame([("p.png",)], "path string")
     rows = manifests.read_manifest(spark, str(path))
     found = {(r.line, r.problem) for r in manifests.violations(rows, pieces, variants, there).collect()}
-    assert found == {(3, "unknown source zz"), (4, "unknown identity b"), (5, "piece not declared no"), (6, "unknown variant odd"), (7, "no dpi"), (8, "same key as line 2"), (9, "image not found q.png")}
-    with pytest.raises(manifests.ManifestError, match="7 problem"):
+    assert found == {(3, "no such source: zz"), (4, "no reference for b"), (5, "the reference lacks the piece no"), (6, "not in the catalogue: odd"), (7, "resolution lacks"), (8, "repeats line 2"), (9, "nothing at q.png")}
+    with pytest.raises(manifests.ManifestError, match="7 broken rules"):
         manifests.checked(rows, pieces, variants, there)
     path.write_text(f"{head}\n{good}\n")
     assert manifests.checked(manifests.read_manifest(spark, str(path)), pieces, variants, there).first().dpi == 200
