@@ -44,7 +44,7 @@ def precisions_at_prevalence(spark, d):
 
 @query("wilson_by_group", f"SELECT event_type, fired, n, {rate('fired', 'n', 'rate')}, {wilson('fired', 'n', 'low', 'high')} FROM (SELECT event_type, count(*) FILTER (value > 50) AS fired, count(*) AS n FROM events GROUP BY event_type)")
 def wilson_by_group(spark, d):
-    return measures.grouped_rates(table(spark, d, "events"), F.col("value") > 50, [["event_type"]], DIGITS)
+    return measures.grouped_rates(table(spark, d, "events"), F.col("value") > 50, [["event_type"]], DIGITS).drop("grouping")
 
 
 @query("measure_two_level", f"WITH {B}, k AS ({keyed('b', '100', 'source')}), m AS (SELECT {SUMS} FROM k) SELECT {MEASURED} FROM m")
@@ -101,9 +101,11 @@ def certifiability(spark, d):
     return measures.certifiability(scores(spark, d), ["lang", "source"])
 
 
-@query("restricted_point", f"WITH {B}, cal AS (SELECT * FROM b WHERE seed <> 2), t AS ({_LEAST.format(rel='cal')}), r AS (SELECT lang, source, CAST(count(*) FILTER (score > full_recall) AS DOUBLE) / count(*) <= 0.002 AS ok FROM cal, t WHERE NOT positive GROUP BY lang, source), held AS (SELECT * FROM b WHERE positive UNION ALL SELECT b.* FROM b SEMI JOIN (SELECT * FROM r WHERE ok) o USING (lang, source) WHERE NOT positive), c AS ({points('(SELECT * FROM held WHERE seed <> 2) x')}), p AS ({chosen('c')}), z AS (SELECT held.*, threshold AS t FROM held, p WHERE seed = 2), k AS (SELECT source, t, count(*) FILTER (positive) AS n_pos, count(*) FILTER (positive AND score > t) AS tp, count(*) FILTER (NOT positive) AS n_neg, count(*) FILTER (NOT positive AND score > t) AS fp FROM z GROUP BY ALL), m AS (SELECT t AS threshold, {SUMS} FROM k GROUP BY t), n AS (SELECT count(*) FILTER (ok) AS kept_targets, count(*) AS total_targets FROM r) SELECT threshold, {MEASURED}, kept_targets, total_targets FROM m, n WHERE kept_targets > 0 AND kept_targets < total_targets")
+@query("restricted_point", f"WITH {B.replace('b AS (', 'b0 AS (', 1)}, b AS (SELECT * REPLACE (score + CASE WHEN positive THEN 500 WHEN bucket = 0 THEN 600 ELSE 0 END AS score) FROM b0), cal AS (SELECT * FROM b WHERE seed <> 2), t AS ({_LEAST.format(rel='cal')}), r AS (SELECT lang, source, CAST(count(*) FILTER (score > full_recall) AS DOUBLE) / count(*) <= 0.002 AS ok FROM cal, t WHERE NOT positive GROUP BY lang, source), held AS (SELECT * FROM b WHERE positive UNION ALL SELECT b.* FROM b SEMI JOIN (SELECT * FROM r WHERE ok) o USING (lang, source) WHERE NOT positive), c AS ({points('(SELECT * FROM held WHERE seed <> 2) x')}), p AS ({chosen('c')}), z AS (SELECT held.*, threshold AS t FROM held, p WHERE seed = 2), k AS (SELECT source, t, count(*) FILTER (positive) AS n_pos, count(*) FILTER (positive AND score > t) AS tp, count(*) FILTER (NOT positive) AS n_neg, count(*) FILTER (NOT positive AND score > t) AS fp FROM z GROUP BY ALL), m AS (SELECT t AS threshold, {SUMS} FROM k GROUP BY t), n AS (SELECT count(*) FILTER (ok) AS kept_targets, count(*) AS total_targets FROM r) SELECT threshold, {MEASURED}, kept_targets, total_targets FROM m, n WHERE kept_targets > 0 AND kept_targets < total_targets")
 def restricted_point(spark, d):
-    return measures.restricted_to_certifiable(scores(spark, d), ["lang", "source"], ["source"], F.col("seed") != 2, F.col("seed") == 2, digits=DIGITS)
+    """A quarter of the targets have scores above every positive and can't be certified."""
+    rows = scores(spark, d).withColumn("score", F.col("score") + F.when(F.col("positive"), 500).when(F.col("bucket") == 0, 600).otherwise(0))
+    return measures.restricted_to_certifiable(rows, ["lang", "source"], ["source"], F.col("seed") != 2, F.col("seed") == 2, digits=DIGITS)
 
 
 _DUEL = f"WITH {S}, c AS ({points('s', 'setting_id')}), p AS ({chosen('c', 'setting_id')}), z AS (SELECT s.*, threshold AS t, recall AS gr, fpr AS gf FROM s JOIN (SELECT setting_id, threshold, recall, fpr FROM p) USING (setting_id)), k AS (SELECT setting_id, lang, t, gr, gf, source, count(*) FILTER (positive) AS n_pos, count(*) FILTER (positive AND score > t) AS tp, count(*) FILTER (NOT positive) AS n_neg, count(*) FILTER (NOT positive AND score > t) AS fp FROM z GROUP BY ALL), m AS (SELECT setting_id, lang, t AS threshold, gr AS global_recall, gf AS global_fpr, {SUMS} FROM k GROUP BY ALL)"
@@ -190,11 +192,6 @@ def _frozen(spark, d):
     return rows.withColumns({"fires": curves.fires(F.col("score"), F.col("threshold")), "abstained": F.col("score").isNull()})
 
 
-@query("frozen_scoring", _FROZEN + " SELECT *, coalesce(score > threshold, false) AS fires, score IS NULL AS abstained FROM f")
-def frozen_scoring(spark, d):
-    return _frozen(spark, d).select("doc_id", "lang", "source", "positive", "score", "threshold", "fires", "abstained")
-
-
 @query("frozen_report_abstention", _FROZEN + f", a AS (SELECT lang, threshold, count(*) FILTER (positive AND score IS NULL) AS abstained_pos, count(*) FILTER (NOT positive AND score IS NULL) AS abstained_neg FROM f GROUP BY ALL), k AS ({keyed('f', 'threshold', 'lang, threshold, source')} HAVING count(score) > 0), m AS (SELECT lang, threshold, {SUMS} FROM k GROUP BY lang, threshold), r AS (SELECT lang, threshold, {MEASURED} FROM m) SELECT a.lang, a.threshold, abstained_pos, abstained_neg, r.* EXCLUDE (lang, threshold), {rate('coalesce(tp, 0)', '(coalesce(n_pos, 0) + abstained_pos)', 'recall_abstention_as_miss')} FROM a LEFT JOIN r ON a.lang = r.lang AND a.threshold = r.threshold")
 def frozen_report_abstention(spark, d):
     return measures.frozen_report(_frozen(spark, d), ["source"], ["lang"], DIGITS)
@@ -210,10 +207,12 @@ def felt_rate(spark, d):
     return protocol.felt_rate(_frozen(spark, d).where("NOT positive"), ["source", "lang"])
 
 
-@query("shape_split_grouping", f"WITH g AS (SELECT l_returnflag AS level, l_linestatus AS shape, count(*) FILTER (l_discount > 0.05) AS fired, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, l_linestatus))) SELECT level, shape, fired, n, {rate('fired', 'n', 'rate')}, {wilson('fired', 'n', 'low', 'high')} FROM g")
+@query("shape_split_grouping", f"WITH r AS (SELECT l_returnflag AS level, CASE WHEN l_returnflag <> 'N' THEN l_linestatus || l_linenumber % 2 END AS shape, l_discount FROM lineitem), g AS (SELECT 'level' AS grouping, level, NULL AS shape, count(*) FILTER (l_discount > 0.05) AS fired, count(*) AS n FROM r GROUP BY level UNION ALL SELECT 'level+shape', level, shape, count(*) FILTER (l_discount > 0.05), count(*) FROM r WHERE shape IS NOT NULL GROUP BY level, shape) SELECT grouping, level, shape, fired, n, {rate('fired', 'n', 'rate')}, {wilson('fired', 'n', 'low', 'high')} FROM g")
 def shape_split_grouping(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("level"), F.col("l_linestatus").alias("shape"), "l_discount")
-    return measures.grouped_rates(rows, F.col("l_discount") > 0.05, [["level"], ["level", "shape"]], DIGITS)
+    """Rates pooled over shapes and split by them; rows of one level have none and are in the pooled part only."""
+    shape = F.when(F.col("l_returnflag") != "N", F.concat("l_linestatus", (F.col("l_linenumber") % 2).cast("string")))
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("level"), shape.alias("shape"), "l_discount")
+    return measures.shape_split(rows, F.col("l_discount") > 0.05, digits=DIGITS)
 
 
 @query("angle_step_split", "WITH p AS (SELECT CAST(l_linenumber AS VARCHAR) AS angle, CASE WHEN l_linenumber < 4 THEN 'below' ELSE 'from' END AS side, l_quantity AS score FROM lineitem WHERE l_returnflag = 'R') SELECT angle, side, count(*) FILTER (score > 25) AS tp, count(*) AS n, CAST(count(*) FILTER (score > 25) AS DOUBLE) / count(*) AS recall FROM p GROUP BY GROUPING SETS ((angle), (side))")
@@ -244,7 +243,7 @@ def parasite_ranking(spark, d):
 @query("ink_bins", f"SELECT bin, fired, n, {rate('fired', 'n', 'rate')}, {wilson('fired', 'n', 'low', 'high')} FROM (SELECT CAST(floor(value / 20) AS BIGINT) AS bin, count(*) FILTER (event_type = 'purchase') AS fired, count(*) AS n FROM events GROUP BY 1)")
 def ink_bins(spark, d):
     rows = table(spark, d, "events").withColumn("bin", F.floor(F.col("value") / 20))
-    return measures.grouped_rates(rows, F.col("event_type") == "purchase", [["bin"]], DIGITS)
+    return measures.grouped_rates(rows, F.col("event_type") == "purchase", [["bin"]], DIGITS).drop("grouping")
 
 
 @query("published_evidence", f"WITH {B}, p AS (SELECT lang AS \"check\", count(*) FILTER (positive AND score > 100) AS tp FROM b GROUP BY lang), e AS (SELECT lang AS \"check\", count(*) AS documents FROM documents WHERE lang <> 'es' GROUP BY lang) SELECT \"check\", tp, coalesce(documents, 0) AS documents FROM p LEFT JOIN e USING (\"check\")")

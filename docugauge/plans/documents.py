@@ -125,17 +125,27 @@ def watched_zones(spark, d):
     return design.watched_zones(checks.Dimensions({"template_fields": fields, "zones": zones})).select("template", "family", F.array_join("zones", ",").alias("zones"))
 
 
-@query("manifest_violations", "WITH r AS (SELECT row_number() OVER (ORDER BY o_orderkey) + 1 AS line, * FROM orders), first AS (SELECT *, min(line) OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE), o_orderstatus, o_orderpriority) AS f FROM r) SELECT line, 'unknown source ' || o_orderpriority AS problem FROM r WHERE o_orderpriority NOT IN ('g1', 'x2', 'naf') UNION ALL SELECT line, 'no dpi' FROM r WHERE o_totalprice < 2000 UNION ALL SELECT line, 'same key as line ' || f FROM first WHERE line > f")
+_MANIFEST = """r AS (SELECT row_number() OVER (ORDER BY o_orderkey) + 1 AS line, ['g1', 'x2', 'naf', 'zz'][o_custkey % 4 + 1] AS source, 'i' || (o_orderkey % 3) AS identity, o_orderstatus AS piece, ['clean', 'v1', 'v2'][o_custkey % 3 + 1] AS variant,
+  o_custkey % 100 AS instance, o_custkey % 7 AS seed, CASE WHEN o_totalprice >= 20000 THEN '200' END AS dpi, o_orderkey % 5 AS image FROM orders),
+k AS (SELECT *, lag(line) OVER (PARTITION BY identity, source, seed, dpi, variant, piece, instance ORDER BY line) AS earlier FROM r WHERE identity IN ('i0', 'i1'))
+SELECT line, 'no such source: ' || source AS problem FROM r WHERE source NOT IN ('g1', 'x2', 'naf') UNION ALL SELECT line, 'no reference for ' || identity FROM r WHERE identity NOT IN ('i0', 'i1')
+UNION ALL SELECT line, 'the reference lacks the piece ' || piece FROM k WHERE (identity, piece) NOT IN (('i0', 'F'), ('i0', 'O'), ('i1', 'F')) UNION ALL SELECT line, 'not in the catalogue: ' || variant FROM k WHERE variant <> 'clean' AND (identity, variant) NOT IN (('i0', 'v1'), ('i1', 'v2'))
+UNION ALL SELECT line, 'resolution lacks' FROM k WHERE dpi IS NULL UNION ALL SELECT line, 'nothing at ' || image FROM k WHERE image = 3 UNION ALL SELECT line, 'repeats line ' || earlier FROM k WHERE earlier IS NOT NULL"""
+
+
+@query("manifest_violations", f"WITH {_MANIFEST}")
 def manifest_violations(spark, d):
-    orders = table(spark, d, "orders")
-    line = F.row_number().over(Window.orderBy("o_orderkey")) + 1
-    rows = orders.select(line.alias("line"), F.lit("p").alias("image_path"), F.col("o_orderpriority").alias("source"), F.lit("a").alias("identity"), F.lit("tax").alias("piece"), F.lit("clean").alias("variant"), F.col("o_custkey").cast("string").alias("instance"), F.col("o_orderdate").cast("date").cast("string").alias("seed"), F.when(F.col("o_totalprice") >= 2000, "200").alias("dpi"), F.col("o_orderstatus").alias("capture"), F.lit("0").alias("mark_step"))
-    rows = rows.withColumn("_dpi", F.col("dpi")).withColumn("dpi", F.lit("200"))
-    pieces = spark.createDataFrame([("a", "tax")], "identity string, piece string")
-    variants = spark.createDataFrame([], "identity string, variant string")
-    found = manifests.violations(rows, pieces, variants)
-    no_dpi = manifests.violations(rows.withColumn("dpi", F.col("_dpi")), pieces, variants).where("problem = 'no dpi'")
-    return found.unionByName(no_dpi).select(F.col("line").cast("long").alias("line"), "problem")
+    """Every rule that a row breaks; a row of unknown identity is judged no further, and its key isn't taken."""
+    orders, nth = table(spark, d, "orders"), lambda items, i: F.element_at(F.array(*[F.lit(x) for x in items]), (i + 1).cast("int"))
+    rows = orders.select(
+        "o_orderkey", nth(("g1", "x2", "naf", "zz"), F.col("o_custkey") % 4).alias("source"), F.concat(F.lit("i"), F.col("o_orderkey") % 3).alias("identity"), F.col("o_orderstatus").alias("piece"), nth(("clean", "v1", "v2"), F.col("o_custkey") % 3).alias("variant"),
+        (F.col("o_custkey") % 100).cast("string").alias("instance"), (F.col("o_custkey") % 7).cast("string").alias("seed"), F.when(F.col("o_totalprice") >= 20000, "200").alias("dpi"), F.lit(None).cast("string").alias("capture"), F.lit(None).cast("string").alias("mark_step"), (F.col("o_orderkey") % 5).cast("string").alias("image_path"),
+    )
+    lines = design.numbered(rows, ["o_orderkey"], "line").withColumn("line", F.col("line").cast("long") + 2)
+    pieces = spark.createDataFrame([("i0", "F"), ("i0", "O"), ("i1", "F")], "identity string, piece string")
+    variants = spark.createDataFrame([("i0", "v1"), ("i1", "v2")], "identity string, variant string")
+    there = spark.createDataFrame([(x,) for x in "0124"], "path string")
+    return manifests.violations(lines, pieces, variants, there).select("line", "problem")
 
 
 @query("last_wins_dedup", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
@@ -146,12 +156,6 @@ def last_wins_dedup(spark, d):
 # ---- checks -------------------------------------------------------------------------------------
 
 
-@query("expiry_two_clocks", "SELECT l_orderkey, l_linenumber, date_diff('day', CAST(l_shipdate AS DATE), DATE '1998-08-21') AS filing_days, date_diff('day', CAST(l_shipdate AS DATE), DATE '1998-08-21') > 0 AS filing_fires, date_diff('day', CAST(l_shipdate AS DATE), DATE '1996-02-10') > 0 AS admissibility_fires FROM lineitem")
-def expiry_two_clocks(spark, d):
-    days = lambda clock: F.date_diff(F.to_date(F.lit(clock)), F.col("l_shipdate").cast("date"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", days("1998-08-21").cast("long").alias("filing_days"), (days("1998-08-21") > 0).alias("filing_fires"), (days("1996-02-10") > 0).alias("admissibility_fires"))
-
-
 @query("printed_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'none' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS read FROM orders")
 def printed_date(spark, d):
     shape = F.when(F.col("o_orderkey") % 2 == 0, "us").otherwise("fr")
@@ -169,33 +173,27 @@ def declared_date(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.any_date(text).cast("string").alias("d"))
 
 
-@query("required_field_blank", "SELECT page_id, -CAST(length(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '[^0-9A-Za-z]', '', 'g')) AS DOUBLE) AS score, -CAST(length(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '[^0-9A-Za-z]', '', 'g')) AS DOUBLE) > -20 AS fires FROM pages")
-def required_field_blank(spark, d):
-    score = -X.alnum_count(F.array(F.regexp_extract("html", "<title>([^<]*)", 1))).cast("double")
-    return table(spark, d, "pages").select("page_id", score.alias("score"), (score > -20).alias("fires"))
-
-
-@query("required_box", "SELECT event_id, -value AS score, -value > -14.375 AS fires FROM events WHERE event_type = 'click'")
+@query("required_box", "SELECT event_id, -value AS score, -value > -14.375 AS fires FROM events")
 def required_box(spark, d):
     return _reading_query(spark, d, "required_checkbox", F.lit(-14.375))
 
 
-@query("signature_diagonal", "SELECT event_id, -value AS score, -value > -342.05 AS fires FROM events WHERE event_type = 'click'")
+@query("signature_diagonal", "SELECT event_id, -value AS score, -value > -342.05 AS fires FROM events")
 def signature_diagonal(spark, d):
     return _reading_query(spark, d, "signature", F.lit(-342.05))
 
 
-@query("resolution_floor", "SELECT event_id, -value AS score, -value > -148.5 AS fires FROM events WHERE event_type = 'click'")
+@query("resolution_floor", "SELECT event_id, -value AS score, -value > -148.5 AS fires FROM events")
 def resolution_floor(spark, d):
     return _reading_query(spark, d, "resolution", F.lit(-148.5))
 
 
-@query("cropped_ratio", "SELECT event_id, 1.0::DOUBLE - value / 1000 AS score, 1.0::DOUBLE - value / 1000 > 0.9 AS fires FROM events WHERE event_type = 'click'")
+@query("cropped_ratio", "SELECT event_id, 1.0::DOUBLE - value / 1000 AS score, 1.0::DOUBLE - value / 1000 > 0.9 AS fires FROM events")
 def cropped_ratio(spark, d):
     return _reading_query(spark, d, "cropped_page", F.lit(0.9))
 
 
-@query("rotated_margin", "SELECT event_id, value AS score, value > 50 AS fires FROM events WHERE event_type = 'click'")
+@query("rotated_margin", "SELECT event_id, value AS score, value > 50 AS fires FROM events")
 def rotated_margin(spark, d):
     return _reading_query(spark, d, "rotated_page", F.lit(50.0))
 
@@ -209,7 +207,7 @@ def _reading_query(spark, d, check, threshold):
     fields = {"source_dpi": v, "coverage": v / 1000, "orientation_margin": v, "boxes": two("f", "0.42|160", v), "field_ink": two("f", "160", v), "signatures": two("f", "160", F.array(v, v, v, v))}
     names = [x.split(":")[0].strip() for x in ("piece", "template", "angle", "quarter_turns", "source_dpi", "peak", "coverage", "orientation_margin", "words", "zone_words_by_field", "boxes", "field_ink", "signatures")]
     reading = F.struct(*[fields.get(n, F.lit(None)).alias(n) for n in names]).cast(READING_DDL)
-    rows = table(spark, d, "events").where("event_type = 'click'").select("event_id", F.lit("a").alias("identity"), F.lit("tax").alias("piece"), reading.alias("reading"))
+    rows = table(spark, d, "events").select("event_id", F.lit("a").alias("identity"), F.lit("tax").alias("piece"), reading.alias("reading"))
     dims = checks.Dimensions({
         "ref_pieces": spark.createDataFrame([("a", "tax", "t", 0)], "identity string, piece string, template string, ord int"),
         "template_fields": spark.createDataFrame([("t", "r", "f", 0, k, True, None) for k in ("box", "signature")], "template string, role string, field_id string, ord int, kind string, required boolean, date_kind string"),
@@ -236,43 +234,6 @@ def settings_names(spark, d):
 _TOKENS = "list_sort(list_distinct(list_filter(regexp_extract_all(lower({c}), '[0-9a-z]+'), lambda t: length(t) >= 2)))"
 
 
-@query("consistency_pairs", f"WITH t AS (SELECT conv_id, turn, role, {_TOKENS.format(c='text')} AS k FROM conversations) SELECT a.conv_id, a.turn AS first_turn, b.turn AS second_turn, len(list_intersect(a.k, b.k)) AS shared, least(len(a.k), len(b.k)) AS smaller, a.role || '+' || b.role AS sides FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn")
-def consistency_pairs(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", X.ascii_tokens(F.col("text")).alias("k"))
-    a, b = rows.alias("a"), rows.alias("b")
-    joined = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")))
-    return joined.select("a.conv_id", F.col("a.turn").alias("first_turn"), F.col("b.turn").alias("second_turn"), F.size(F.array_intersect("a.k", "b.k")).cast("long").alias("shared"), F.least(F.size("a.k"), F.size("b.k")).cast("long").alias("smaller"), F.concat_ws("+", "a.role", "b.role").alias("sides"))
-
-
-@query("consistency_fuzzy")
-def consistency_fuzzy(spark, d):
-    """Worst best similarity of first words between neighbouring turns; 1 minus it is the score."""
-    few = F.slice(F.split(F.regexp_replace("text", "[^\\p{L} ]", " "), " +"), 1, 8)
-    rows = table(spark, d, "conversations").select("conv_id", "turn", few.alias("w"))
-    nxt = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
-    pairs = rows.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", X.tokens("w").alias("a"), X.tokens("v").alias("b"))
-    return pairs.select("conv_id", "turn", F.round(1.0 - X.overlap("a", "b"), 9).alias("score"))
-
-
-@query("forbidden_ngram_exact", "WITH v AS (SELECT item_id, regexp_replace(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[^0-9a-z]', '', 'g') AS k FROM benchmark) SELECT item_id, count(doc_id) AS documents FROM v LEFT JOIN (SELECT doc_id, regexp_replace(lower(text), '[^0-9a-z]', '', 'g') AS t FROM documents) d ON length(k) >= 6 AND contains(t, k) GROUP BY item_id")
-def forbidden_ngram_exact(spark, d):
-    values = table(spark, d, "benchmark").select("item_id", X.ascii_key(F.array_join(F.slice(F.split("text", " "), 1, 3), " ")).alias("k"))
-    texts = table(spark, d, "documents").select("doc_id", X.ascii_key(F.col("text")).alias("t"))
-    met = small(values).join(texts, (F.length("k") >= 6) & F.contains("t", "k"))
-    counts = met.groupBy("item_id").agg(F.count("doc_id").alias("n"))
-    return values.join(counts, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("documents"))
-
-
-@query("forbidden_ngram_fuzzy")
-def forbidden_ngram_fuzzy(spark, d):
-    """Best similarity of a run of a turn's words to a benchmark item's first words."""
-    first = lambda n: F.slice(F.split(F.trim("text"), "\\s+"), 1, n)
-    value = table(spark, d, "benchmark").where("item_id < 3").select("item_id", F.array_join(first(2), " ").alias("value"))
-    words = F.transform(first(30), lambda w, i: F.struct(w.alias("text"), (i * 40).alias("cx"), F.lit(0).alias("cy"), F.lit(90).alias("conf"), F.lit(True).alias("added")))
-    turns = table(spark, d, "conversations").where("turn = 0").select("conv_id", words.alias("w"))
-    return turns.crossJoin(F.broadcast(value)).select("conv_id", "item_id", F.round(X.best_ngram("w", "value"), 9).alias("similarity"))
-
-
 @query("alnum_count", "SELECT doc_id, length(regexp_replace(text, '[^0-9A-Za-z]', '', 'g')) AS n FROM documents")
 def alnum_count(spark, d):
     return table(spark, d, "documents").select("doc_id", X.alnum_count(F.split("text", " ")).alias("n"))
@@ -315,14 +276,6 @@ def word_dedup_grid(spark, d):
     return rows.select("user_id", F.size(kept).cast("long").alias("kept"), F.aggregate(kept, F.lit(0).cast("long"), lambda a, w: a + w["cx"]).alias("places"))
 
 
-@query("nearest_preprinted_antijoin", "WITH w AS (SELECT event_id, user_id % 50 AS page, event_type AS t, value AS x, event_id % 100 AS y FROM events), p AS (SELECT * FROM w WHERE event_id % 10 = 0), s AS (SELECT * FROM w WHERE event_id % 10 <> 0) SELECT event_id FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.page = s.page AND p.t = s.t AND (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) <= 484)")
-def nearest_preprinted_antijoin(spark, d):
-    w = table(spark, d, "events").select("event_id", (F.col("user_id") % 50).alias("page"), F.col("event_type").alias("t"), F.col("value").alias("x"), (F.col("event_id") % 100).alias("y"))
-    scan, printed = w.where("event_id % 10 <> 0"), w.where("event_id % 10 = 0").select(*[F.col(c).alias(f"p_{c}") for c in ("page", "t", "x", "y")])
-    near = (F.col("p_x") - F.col("x")) * (F.col("p_x") - F.col("x")) + (F.col("p_y") - F.col("y")) * (F.col("p_y") - F.col("y")) <= X.NEAR * X.NEAR
-    return scan.join(printed, (F.col("page") == F.col("p_page")) & (F.col("t") == F.col("p_t")) & near, "left_anti").select("event_id")
-
-
 @query("reading_order", "SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY CAST(floor(value / 20) AS BIGINT), event_id % 97, event_id) AS ids FROM events GROUP BY user_id")
 def reading_order(spark, d):
     word = F.struct("event_id", (F.col("event_id") % 97).cast("int").alias("cx"), F.col("value").alias("cy"))
@@ -376,10 +329,19 @@ def added_pixels(spark, d):
     return raster.added_table(px.where("vec_id % 2 = 0"), px.where("vec_id % 2 = 1"), ["page"], 128).groupBy("page").agg(F.count("*").alias("added"))
 
 
-@query("xcorr_shift", f"WITH {_PIXELS}, a AS (SELECT vec_id // 2 AS page, y, x FROM px WHERE vec_id % 2 = 0 AND v < 100), b AS (SELECT vec_id // 2 AS page, y, x FROM px WHERE vec_id % 2 = 1 AND v < 100), s AS (SELECT a.page, CAST((a.y - b.y + 10) % 8 - 2 AS INTEGER) AS dy, CAST((a.x - b.x + 10) % 8 - 2 AS INTEGER) AS dx, count(*) AS hits FROM a JOIN b USING (page) GROUP BY ALL) SELECT page, dy, dx, hits FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY hits DESC, dy, dx) AS r FROM s WHERE dy <= 2 AND dx <= 2) WHERE r = 1")
+_SHIFTS = """a AS (SELECT vec_id // 2 AS page, y, x FROM px WHERE vec_id % 2 = 0 AND v < 100), b AS (SELECT vec_id // 2 AS page, y, x FROM px WHERE vec_id % 2 = 1 AND v < 100),
+s AS (SELECT a.page, (a.y - b.y + 8) % 8 AS dy, (a.x - b.x + 8) % 8 AS dx, count(*) AS hits FROM a JOIN b USING (page) GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY hits DESC, dy, dx) AS r FROM s),
+n AS (SELECT p.page, (SELECT count(*) FROM a WHERE a.page = p.page) AS na, (SELECT count(*) FROM b WHERE b.page = p.page) AS nb FROM (SELECT vec_id // 2 AS page FROM embeddings GROUP BY 1 HAVING count(*) = 2) p)"""
+
+
+@query("xcorr_shift", f"WITH {_PIXELS}, {_SHIFTS} SELECT n.page, CAST(coalesce(CASE WHEN dy > 4 THEN dy - 8 ELSE dy END, 0) AS INTEGER) AS dy, CAST(coalesce(CASE WHEN dx > 4 THEN dx - 8 ELSE dx END, 0) AS INTEGER) AS dx, round(coalesce(hits / sqrt(CAST(na AS DOUBLE) * nb), 0.0), 9) AS peak FROM n LEFT JOIN t ON t.page = n.page AND r = 1")
 def xcorr_shift(spark, d):
-    px = _pixels(spark, d).where("v < 100").withColumn("page", F.floor(F.col("vec_id") / 2))
-    return raster.best_shift(px.where("vec_id % 2 = 0"), px.where("vec_id % 2 = 1"), ["page"], 8, 2)
+    """Neighbouring pages laid on each other by correlation, which is what registration rests on."""
+    level = lambda e: F.greatest(F.lit(0), F.least(F.lit(255), 128 + F.floor(400 * e.cast("double"))))
+    px = F.unhex(F.array_join(F.transform("embedding", lambda e: F.lpad(F.hex(level(e)), 2, "0")), ""))
+    pages = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("page"), (F.col("vec_id") % 2).alias("side"), F.struct(F.lit(8).alias("h"), F.lit(8).alias("w"), px.alias("px")).alias("p"))
+    both = pages.where("side = 0").select("page", F.col("p").alias("a")).join(pages.where("side = 1").select("page", F.col("p").alias("b")), "page")
+    return both.select("page", raster.shift_of("a", "b", F.lit(100)).alias("s")).select("page", "s.dy", "s.dx", F.round("s.peak", 9).alias("peak"))
 
 
 @query("components_bbox", f"WITH RECURSIVE {_PIXELS}, dark AS (SELECT vec_id, y, x, y * 8 + x AS id FROM px WHERE v < 100), near AS (SELECT a.vec_id, a.id AS a, b.id AS b FROM dark a JOIN dark b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), reach AS (SELECT vec_id, id, id AS root FROM dark UNION SELECT r.vec_id, n.b, r.root FROM reach r JOIN near n ON n.vec_id = r.vec_id AND n.a = r.id), least AS (SELECT vec_id, id, min(root) AS root FROM reach GROUP BY vec_id, id), parts AS (SELECT vec_id, root, count(*) AS area, max(id // 8) - min(id // 8) + 1 AS h, max(id % 8) - min(id % 8) + 1 AS w FROM least GROUP BY vec_id, root HAVING count(*) >= 3), best AS (SELECT *, count(*) OVER (PARTITION BY vec_id) AS n, row_number() OVER (PARTITION BY vec_id ORDER BY area DESC, root) AS r FROM parts) SELECT e.vec_id, CAST(coalesce(n, 0) AS INTEGER) AS n, CAST(coalesce(area, 0) AS INTEGER) AS area, round(coalesce(sqrt(CAST(h * h + w * w AS DOUBLE)), 0.0), 9) AS diagonal FROM embeddings e LEFT JOIN best b ON b.vec_id = e.vec_id AND r = 1")
@@ -392,7 +354,12 @@ def components_bbox(spark, d):
 # ---- alignment ----------------------------------------------------------------------------------
 
 
-@query("align_sequences")
+_ALIGNED = """t AS (SELECT conv_id AS batch, turn, sha1(text) AS v, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS e FROM conversations),
+n AS (SELECT *, lead(v) OVER (PARTITION BY batch ORDER BY e) AS w, lead(e) OVER (PARTITION BY batch ORDER BY e) IS NULL AS last FROM t), p AS (SELECT batch, e AS p FROM t WHERE turn = batch % 4),
+f AS (SELECT n.batch, min(e) AS f FROM n JOIN p ON p.batch = n.batch AND e >= p WHERE last OR v IS DISTINCT FROM w GROUP BY n.batch)"""
+
+
+@query("align_sequences", f"WITH {_ALIGNED} SELECT t.batch, CAST(CASE WHEN f IS NULL OR e < f THEN e WHEN e = f THEN -1 ELSE e - 1 END AS INTEGER) AS observed, CAST(e AS INTEGER) AS expected FROM t LEFT JOIN f USING (batch)")
 def align_sequences(spark, d):
     """Turns of each conversation against the same turns with one taken out: the gap is found, whatever it is."""
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("batch"), "turn", F.sha1("text").alias("value"))
@@ -413,4 +380,4 @@ def neighbour_fix(spark, d):
 def step0_baseline(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", "event_type", (F.col("event_id") % 4).alias("step"), "value")
     out = align.against_baseline(rows, ["user_id", "event_type"], "step", "event_id", "value").where("step <> 0 AND baseline IS NOT NULL")
-    return out.select("event_id", F.round(F.greatest(F.lit(0.0), F.col("value") - F.col("baseline")) / 100, 5).alias("share"))
+    return out.select("event_id", raster.ink_gained(F.col("baseline"), F.col("value")).alias("share"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docugauge.plans import analytics, documents
+from docugauge.plans import analytics, documents, readings
 
-QUERIES: dict = {**analytics.QUERIES, **documents.QUERIES}
-ORACLE_SQL: dict = {**analytics.ORACLE_SQL, **documents.ORACLE_SQL}
+QUERIES: dict = {**analytics.QUERIES, **documents.QUERIES, **readings.QUERIES}
+ORACLE_SQL: dict = {**analytics.ORACLE_SQL, **documents.ORACLE_SQL, **readings.ORACLE_SQL}
