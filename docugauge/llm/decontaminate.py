@@ -4,9 +4,11 @@ Words are runs of 0-9, a-z and non-ASCII characters after lower-casing A-Z. A wi
 consecutive words of a benchmark item; an item with fewer words, but not none, is one window. Every
 document window is looked up by hash, and what is found is compared word by word before it counts.
 
-The benchmark is measured before it is broadcast. Beyond ``block_bytes`` it is dealt into blocks by
-a hash of its items, and the documents pass through one scan per block, each adding its hits to the
-row; no row is shuffled either way.
+The index is flat: the items' words in one buffer, and for each window its hash, place and item, about 30
+bytes a word of benchmark. The benchmark is measured before it is broadcast. Beyond ``block_bytes`` of text
+it is dealt into blocks by a hash of its items, and the documents pass through one scan per block, each
+adding its hits to the row and storing it, before the next block is built: neither driver nor workers hold
+more than one block, or one longer item. No row is shuffled either way.
 
 Null and empty texts have no words, no hits, and are never contaminated. Repeated rows are judged one
 by one and stay repeated. An item with a null id hits words but isn't counted or named; repeated items
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docugauge.llm import scan
-from docugauge.llm.frames import fresh
+from docugauge.llm.frames import discard, fresh, stored
 
 #: Words of a window, and benchmark text in one broadcast.
 N, BLOCK_BYTES = 13, 32 << 20
@@ -37,7 +39,7 @@ def hit_columns(docs: DataFrame, benchmark: DataFrame, *, n: int = N, text: str
     The names are changed, as by ``fresh``, only if docs has them already; read them off the last three columns.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("text <> ''").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     names = fresh(docs, *names)
@@ -46,49 +48,90 @@ def hit_columns(docs: DataFrame, benchmark: DataFrame, *, n: int = N, text: str
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         index = spark.sparkContext.broadcast(build_index(part.toArrow(), n))
-        out = out.mapInArrow(_scanner(index, docs.columns.index(text), schema.names, k > 0), schema)
+        before, out = out, out.mapInArrow(scan.tidy(_scanner(index, docs.columns.index(text), schema.names, k > 0)), schema)
+        if k + 1 < blocks:
+            out = stored(out, "hits")
+            index.destroy()
+            if k:
+                discard(before)
     return out
 
 
-def build_index(items: pa.Table, n: int) -> dict:
-    """By window length: the sorted hashes, and for each hash the windows' words with the items that hold them."""
-    found: dict[int, dict[int, dict[bytes, set]]] = {}
-    at = 0
+class Index:
+    """The windows of some items: hashes in order, and where each is in a buffer of words joined by one space.
+
+    Equal windows follow each other as one run, or more if another of their hash is between; items of run r: item[run_start[r]] .. item[run_start[r + 1]].
+    """
+
+    def __init__(self, size: int, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, buffer: np.ndarray) -> None:
+        order = np.lexsort((begin, hashes))
+        self.size, self.begin, self.end, self.item = size, begin[order], end[order], item[order]
+        hashes = hashes[order]
+        new = np.ones(len(hashes), dtype=bool)
+        for i in np.flatnonzero(hashes[1:] == hashes[:-1]).tolist():
+            a, b = slice(self.begin[i], self.end[i]), slice(self.begin[i + 1], self.end[i + 1])
+            new[i + 1] = not np.array_equal(buffer[a], buffer[b])
+        self.run_start = np.append(np.flatnonzero(new), len(hashes))
+        self.known, self.run_begin, self.run_end = hashes[self.run_start[:-1]], self.begin[self.run_start[:-1]], self.end[self.run_start[:-1]]
+        del self.begin, self.end
+        self.bits = np.zeros(1 << 20, dtype=bool)
+        self.bits[(self.known >> np.uint64(44)).astype(np.int64)] = True
+
+    def runs(self, windows: np.ndarray) -> np.ndarray:
+        """Of the windows that may be known, their places, and the first run with their hash."""
+        maybe = np.flatnonzero(self.bits[(windows >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.known, windows[maybe]), len(self.known) - 1)
+        good = self.known[at] == windows[maybe]
+        return maybe[good], at[good]
+
+
+def build_index(items: pa.Table, n: int) -> tuple[np.ndarray, list, list[Index]]:
+    """The buffer, the items' ids, and an index for each length of windows."""
+    found: dict[int, list[tuple]] = {}
+    buffers, base, first_item = [], 0, 0
     for column in items["text"].chunks:
         for part in scan.slices(column, lower=True):
             words = scan.Words(part, scan.ALNUM)
-            hashes = words.hashes()
-            for i in range(part.rows):
-                a, b = int(words.first[i]), int(words.first[i + 1])
-                item = items["item"][at + part.first + i].as_py()
-                size = min(n, b - a)
-                if size:
-                    for k, h in enumerate(scan.window_hashes(hashes[a:b], size).tolist()):
-                        held = found.setdefault(size, {}).setdefault(h, {})
-                        held.setdefault(words.bytes_of(a + k, a + k + size), set()).add(item)
-        at += len(column)
-    return {size: (np.array(sorted(by), dtype=np.uint64), by) for size, by in found.items()}
-
-
-def window_hits(words: scan.Words, hashes: np.ndarray, index: dict) -> list[tuple[int, int, set]]:
-    """(first word, words, items) of each window of the slice that the index holds, verified."""
+            data, ends = words.joined()
+            hashes, length, row = words.hashes(), words.end - words.start, words.rows()
+            place = np.arange(len(words)) - words.first[row]
+            before = np.concatenate(([0], np.cumsum(length)))
+            begin = base + ends[row] + before[:-1] - before[words.first[row]] + place
+            whole = np.flatnonzero(scan.within_rows(words.first, n))
+            for size, at in [(n, whole)] + [(m, words.first[:-1][words.count == m]) for m in range(1, n)]:
+                if len(at):
+                    last = at + size - 1
+                    found.setdefault(size, []).append((scan.window_hashes(hashes, size)[at], begin[at], begin[last] + length[last], (first_item + part.first + row[at]).astype(np.int32)))
+            buffers.append(data)
+            base += len(data)
+        first_item += len(column)
+    buffer = np.concatenate([*buffers, np.zeros(0, np.uint8)])
+    return buffer, items["item"].to_pylist(), [Index(size, *map(np.concatenate, zip(*parts)), buffer) for size, parts in found.items()]
+
+
+def window_hits(words: scan.Words, hashes: np.ndarray, built: tuple) -> list[tuple[int, int, int, int]]:
+    """(first word, words, number of the index, run) of each window of the slice that the index holds, compared byte by byte."""
+    buffer, _, indexes = built
     out = []
-    for size, (known, by) in index.items():
-        windows = scan.window_hashes(hashes, size)
-        if not len(windows) or not len(known):
-            continue
-        bits = np.zeros(1 << 20, dtype=bool)
-        bits[(known >> np.uint64(44)).astype(np.int64)] = True
-        maybe = np.flatnonzero(bits[(windows >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(known, windows[maybe]), len(known) - 1)
-        maybe = maybe[known[at] == windows[maybe]]
+    for number, index in enumerate(indexes):
+        maybe, runs = index.runs(scan.window_hashes(hashes, index.size))
         ends = words.first[np.searchsorted(words.first, maybe, side="right")]
-        for i in maybe[maybe + size <= ends].tolist():
-            if items := by[int(windows[i])].get(words.bytes_of(i, i + size)):
-                out.append((i, size, items))
+        inside = maybe + index.size <= ends
+        for i, run in zip(maybe[inside].tolist(), runs[inside].tolist()):
+            text, h = words.bytes_of(i, i + index.size), index.known[run]
+            while run < len(index.known) and index.known[run] == h:
+                if buffer[index.run_begin[run] : index.run_end[run]].tobytes() == text:
+                    out.append((i, index.size, number, run))
+                run += 1
     return out
 
 
+def _items(hits: list[tuple], built: tuple) -> set:
+    """The ids of the items that hold any of the runs; each run is looked up once."""
+    _, ids, indexes = built
+    return {ids[i] for number, run in {h[2:] for h in hits} for i in indexes[number].item[indexes[number].run_start[run] : indexes[number].run_start[run + 1]].tolist()}
+
+
 def _scanner(index, text_at: int, names: list[str], again: bool):
     width = len(names) - 3
 
@@ -98,18 +141,18 @@ def _scanner(index, text_at: int, names: list[str], again: bool):
             for part in scan.slices(batch.column(text_at), scan.SLICE // 2, lower=True):
                 words = scan.Words(part, scan.ALNUM)
                 hits: dict[int, list] = {}
-                for i, size, held in window_hits(words, words.hashes(), index.value):
-                    hits.setdefault(int(np.searchsorted(words.first, i, side="right")) - 1, []).append((i, size, held))
+                for hit in window_hits(words, words.hashes(), index.value):
+                    hits.setdefault(int(np.searchsorted(words.first, hit[0], side="right")) - 1, []).append(hit)
                 n_words += words.count.tolist()
                 for row in range(part.rows):
                     got = hits.get(row, [])
-                    found, seen = [], set().union(*(x[2] for x in got))
+                    found, seen = [], _items(got, index.value)
                     if again:
                         found = [(s["begin"], s["end"]) for s in batch.column(width + 1)[part.first + row].as_py()]
                         seen |= set(batch.column(width + 2)[part.first + row].as_py())
                     if got:
                         begin = int(words.first[row])
-                        found += [(i - begin, i - begin + size) for i, size, _ in got]
+                        found += [(i - begin, i - begin + size) for i, size, _, _ in got]
                     begins.append([{"begin": a, "end": b} for a, b in _merged(found)])
                     items.append(sorted(x for x in seen if x is not None))
             made = [pa.array(n_words, pa.int64()), pa.array(begins, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]

@@ -51,3 +51,31 @@ def test_like_brute_force_in_one_block_and_in_many(spark):
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.without_contaminated(docs, bench).count() == 1 and D.without_contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_the_index_is_flat_and_finds_a_window_of_many_items():
+    import pickle
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(600)] + [" ".join(f"same{i}" for i in range(20))] * 50
+    table = pa.table({"item": [str(i) for i in range(len(texts))], "text": texts})
+    built = D.build_index(table, 13)
+    assert len(pickle.dumps(built)) < 8 * sum(map(len, texts)) + (2 << 20)
+    part = next(D.scan.slices(pa.array(["x " + texts[-1].upper() + " y"]), lower=True))
+    found = D.scan.Words(part, D.scan.ALNUM)
+    hits = D.window_hits(found, found.hashes(), built)
+    assert [h[:2] for h in hits] == [(i, 13) for i in range(1, 9)] and D._items(hits, built) == {str(i) for i in range(600, 650)}
+
+
+def test_equal_hashes_of_different_windows(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(D.scan, "window_hashes", lambda words, n, name="word": np.zeros(max(0, len(words) - n + 1), dtype=np.uint64))
+    built = D.build_index(pa.table({"item": ["a", "b", "c"], "text": ["one two", "three four", "one two"]}), 13)
+    part = next(D.scan.slices(pa.array(["zero three four one two five"]), lower=True))
+    found = D.scan.Words(part, D.scan.ALNUM)
+    hits = D.window_hits(found, found.hashes(), built)
+    assert sorted({(i, n) for i, n, _, _ in hits}) == [(1, 2), (3, 2)] and D._items(hits, built) == {"a", "b", "c"}
