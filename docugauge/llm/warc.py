@@ -6,8 +6,11 @@ record are its separator) and read as binary files, so they live in any store th
 ``deduplicate`` reads the headers of all records, shuffles them by payload digest, and finds for each
 digest the record that stays: the one with the largest id, which every other record of that digest
 then refers to. Only headers meet by digest, and only the pre-aggregated one of each digest is joined
-back, so a digest that a third of all records share is no more work for a task than another. Then each
-record is written anew with fresh headers: responses with their payload, revisits without.
+back, so a digest that a third of all records share is no more work for a task than another. What each
+archive's revisits refer to is brought to the archive as it is, compressed; then each record is written
+anew with fresh headers: responses with their payload, revisits without. Archives are inflated in pieces,
+so a worker holds a compressed archive and its longest record, and an archive is no more than FILE_RECORDS
+records of what one task has read.
 
 Null payloads are empty. A null id sorts below all others and is written as ``null``. Repeated rows and
 ids are records of their own; of equal ones, the one that is last in the archives stays. A null address
@@ -26,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docugauge.llm.frames import row_order, stored
+from docugauge.llm import scan
+from docugauge.llm.frames import discard, row_order, stored
 
 # Fixed values of the formats.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -77,6 +81,10 @@ def _write(records: DataFrame, path: str, file_records: int) -> None:
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")
+
+
 def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """A row per record, with its payload as a string if asked for. Lengths and digests of payloads must hold; a damaged archive fails the read."""
     fields = [*_FIELDS, ("payload", pa.binary())] if payload else [*_FIELDS]
@@ -84,41 +92,97 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
-                rows, held = [], 0
-                for row in walk(name.as_py(), zlib.decompress(content.as_buffer(), 31)):
-                    rows.append(row if payload else row[:-1])
-                    held += len(row[-1] or b"")
-                    if held > 4 << 20 or len(rows) >= 2048:
-                        yield _batch(rows, fields)
-                        rows, held = [], 0
-                if rows:
-                    yield _batch(rows, fields)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    found = files.select(F.regexp_extract("path", "[^/]+$", 0), "content").mapInArrow(run, HEADERS + (", payload binary" if payload else ""))
+                yield from _batches(walk(name.as_py(), inflated(content.as_buffer())), fields)
+
+    found = _archives(spark, path).mapInArrow(scan.tidy(run), HEADERS + (", payload binary" if payload else ""))
     return found.withColumn("payload", F.col("payload").cast("string")) if payload else found
 
 
+def _batches(records: Iterator[tuple], fields: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of some MB; a record's last column is its payload."""
+    rows, held = [], 0
+    for row in records:
+        rows.append(row[: len(fields)])
+        held += len(row[-1] or b"") if len(fields) == len(row) else 0
+        if held > 4 << 20 or len(rows) >= 2048:
+            yield _batch(rows, fields)
+            rows, held = [], 0
+    if rows:
+        yield _batch(rows, fields)
+
+
 def _batch(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
 
-def walk(name: str, data: bytes) -> Iterator[tuple]:
-    """The records of one archive's bytes."""
-    at = 0
-    while at < len(data):
-        cut = data.index(END.encode(), at)
-        head = dict(x.split(": ", 1) for x in data[at:cut].decode().split("\r\n")[1:])
-        begin = cut + len(END)
-        end = begin + int(head["Content-Length"])
-        http = data.index(END.encode(), begin) + len(END)
-        size = int(data[begin:http].decode().rpartition("Content-Length: ")[2])
+def inflated(data: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a gzip file of one or more members, in pieces."""
+    data, stream, fed = memoryview(data), zlib.decompressobj(31), False
+    for at in range(0, len(data), 1 << 16):
+        part = data[at : at + (1 << 16)]
+        while len(part):
+            fed = True
+            yield stream.decompress(part, piece)
+            part = stream.unconsumed_tail
+            if stream.eof:
+                part, stream, fed = stream.unused_data, zlib.decompressobj(31), False
+    while fed and not stream.eof and (left := stream.decompress(b"", piece)):
+        yield left
+    if fed and not stream.eof:
+        raise ValueError("a gzip file that ends too early")
+
+
+class _Stream:
+    """Bytes that come in pieces, taken from the front; ``place`` is how many were taken."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.held, self.at, self.place = iter(pieces), bytearray(), 0, 0
+
+    def _more(self) -> bool:
+        for piece in self.pieces:
+            if piece:
+                del self.held[: self.at]
+                self.at = 0
+                self.held += piece
+                return True
+        return False
+
+    def ended(self) -> bool:
+        return self.at == len(self.held) and not self._more()
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) - self.at < n:
+            if not self._more():
+                raise ValueError("ends within a record")
+        out = bytes(memoryview(self.held)[self.at : self.at + n])
+        self.at += n
+        self.place += n
+        return out
+
+    def take_until(self, end: bytes) -> bytes:
+        """What comes before an end, which is taken too."""
+        seen = 0
+        while (found := self.held.find(end, self.at + seen)) < 0:
+            seen = max(0, len(self.held) - self.at - len(end))
+            if not self._more():
+                raise ValueError("ends within a header")
+        return self.take(found - self.at + len(end))[: -len(end)]
+
+
+def walk(name: str, pieces: Iterator[bytes], compare: bool = True) -> Iterator[tuple]:
+    """The records of one archive's bytes. compare: payloads with their digests."""
+    stream, end = _Stream(pieces), END.encode()
+    while not stream.ended():
+        at = stream.place
+        head = dict(x.split(": ", 1) for x in stream.take_until(end).decode().split("\r\n")[1:])
+        length, begin = int(head["Content-Length"]), stream.place
+        size = int(stream.take_until(end).decode().rpartition("Content-Length: ")[2])
         kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
-        body = data[http:end] if kind != "revisit" else None
-        if data[end : end + len(END)] != END.encode() or body is not None and (len(body) != size or base64.b32encode(hashlib.sha1(body).digest()).decode() != digest):
+        rest = stream.take(length - (stream.place - begin))
+        body = rest if kind != "revisit" else None
+        if stream.take(len(end)) != end or body is not None and (len(body) != size or compare and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest):
             raise ValueError(f"damaged record at {at} of {name}")
         yield name, at, kind, _id(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), digest, size, _id(head["WARC-Refers-To"]) if kind == "revisit" else None, body
-        at = end + len(END)
 
 
 def _id(urn: str) -> int | None:
@@ -138,6 +202,18 @@ def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def deduplicate(spark: SparkSession, source: str, target: str, *, min_bytes: int = 0, date: str = DATE, file_records: int = FILE_RECORDS) -> None:
     """Writes the archives of source anew to target, equal payloads once."""
-    fate = resolve(read(spark, source), min_bytes).select("file", "offset", F.col("record_type").alias("kind"), F.col("refers_to").alias("to"))
-    rows = read(spark, source, payload=True).join(fate, ["file", "offset"])
-    _write(rows.select(_record(F.col("kind"), F.col("page_id"), F.col("uri"), F.col("payload_digest"), F.col("payload_bytes"), F.col("payload"), F.col("to"), date)), target, file_records)
+    headers = stored(read(spark, source), "headers")
+    revisits = resolve(headers, min_bytes).where("record_type = 'revisit'").groupBy("file").agg(F.collect_list(F.struct("offset", "refers_to")).alias("revisits"))
+    fields = [*_FIELDS, ("payload", pa.binary())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content, found in zip(*batch.columns):
+                to = {r["offset"]: r["refers_to"] for r in found.as_py() or ()}
+                # digests were compared when the headers were read
+                anew = ((f, at, *(("revisit", i, u, d, n, to[at], None) if at in to else ("response", i, u, d, n, None, body))) for f, at, _, i, u, d, n, _, body in walk(name.as_py(), inflated(content.as_buffer()), compare=False))
+                yield from _batches(anew, fields)
+
+    rows = _archives(spark, source).join(revisits, "file", "left").mapInArrow(scan.tidy(run), HEADERS + ", payload binary").withColumn("payload", F.col("payload").cast("string"))
+    _write(rows.select(_record(F.col("record_type"), F.col("page_id"), F.col("uri"), F.col("payload_digest"), F.col("payload_bytes"), F.col("payload"), F.col("refers_to"), date)), target, file_records)
+    discard(headers)

@@ -39,7 +39,30 @@ def test_small_payloads_stay_and_ties_leave_one(spark, tmp_path):
 
 def test_empty_table_and_damage(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
-    good = list(warc.walk("f", b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:1>\r\nWARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"ab").digest()) + b"\r\nContent-Length: 23\r\n\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"))
-    assert good[0][-1] == b"ab" and good[0][3] == 1
-    with pytest.raises(ValueError):
-        list(warc.walk("f", b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:1>\r\nWARC-Payload-Digest: sha1:A\r\nContent-Length: 23\r\n\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"))
+    record = lambda digest: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:1>\r\nWARC-Payload-Digest: sha1:" + digest + b"\r\nContent-Length: 23\r\n\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    good = record(base64.b32encode(hashlib.sha1(b"ab").digest()))
+    for n in (1, 3, 1000):
+        found = list(warc.walk("f", [(good * 2)[i : i + n] for i in range(0, 2 * len(good), n)]))
+        assert [(r[1], r[3], r[-1]) for r in found] == [(0, 1, b"ab"), (len(good), 1, b"ab")]
+    for bad in (record(b"A"), good[:-1], good[:40]):
+        with pytest.raises(ValueError):
+            list(warc.walk("f", [bad]))
+
+
+def test_archives_in_pieces_of_any_size():
+    import gzip
+
+    data = bytes(range(256)) * 5000
+    for held in (gzip.compress(data), gzip.compress(data[:1000]) + gzip.compress(b"") + gzip.compress(data[1000:])):
+        for piece in (100, 1 << 20):
+            assert b"".join(warc.inflated(held, piece)) == data
+        with pytest.raises(ValueError):
+            b"".join(warc.inflated(held[:-20]))
+
+
+def test_a_very_long_page(spark, tmp_path):
+    long = "word <b>é</b> " * 3_000_000  # 45 MB
+    warc.write_responses(spark.createDataFrame([(1, "u", long), (2, "v", "short"), (3, "w", long)], "page_id long, url string, html string").repartition(2), f"{tmp_path}/a")
+    warc.deduplicate(spark, f"{tmp_path}/a", f"{tmp_path}/b")
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(spark, f"{tmp_path}/b").collect()}
+    assert got == {1: ("revisit", 3, len(long.encode())), 2: ("response", None, 5), 3: ("response", None, len(long.encode()))}
