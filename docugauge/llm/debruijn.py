@@ -1,22 +1,25 @@
 """Substring dedup over a De Bruijn graph of words: long repeated spans go, first occurrences stay.
 
 Words are runs without white space. Every window of ``K`` consecutive words is an edge of the graph,
-from its first K - 1 words to its last. An edge that occurs again is a repeat; of all its occurrences
-the one at the smallest document id, then the earliest start, is the source, and every word of every
-other occurrence goes.
+from the node of its first K - 1 words to that of its last. An edge that occurs again is a repeat; of all its
+occurrences the one at the smallest document id, then the earliest start, is the source, and every word of
+every other occurrence goes.
 
 1. A scan cuts each document into paths of consecutive edges with the same minimizer, the least hash
    of a shorter word run within the edge. Equal edges have equal minimizers, so a path travels to its
-   minimizer's partition as one row with a 64-bit print per edge. Edges that a task has met before in
-   the same few million words don't travel: their source there stands for them, so a passage copied
-   any number of times is no more rows at its partition than there are tasks. Edges of a minimizer
-   that a sample shows to be common (a short line of many documents) travel by place and print.
-2. Minimizers of one path alone are dropped. Of the others, edges meet by minimizer, place and print;
-   repeats that follow each other, and whose sources do, come back as one nonbranching run with its
-   source's coordinates. Runs are joined to their documents and compacted again across minimizers.
-3. Sources and copies are compared by a 128-bit digest of their words, each computed in its own
-   document. Should two different edges ever share minimizer and print, that shows which copies are
-   wrong. They and their sources alone meet again, by other hashes; all other rows stay.
+   minimizer's partition as one row with 48 bits of each of its nodes' hashes. Edges that a task has met
+   before among the CHUNK words at hand don't travel: their source there stands for them, with a mark. So a
+   passage copied any number of times is a row for each CHUNK words of a task. Edges of a minimizer that a
+   sample shows to be common (a short line of many documents) travel by place and nodes.
+2. Edges meet by minimizer, place and nodes. Repeats that follow each other, and whose sources do, come back as
+   runs; the sources of all repeats come back as fragments of the graph of repeated edges, each edge once.
+3. Nodes of fragments are grouped, and their in- and out-degrees counted. Fragments that meet end to end are
+   compacted, and joined with the nodes that branch, at which they are cut: what is left are the maximal
+   nonbranching paths, at source coordinates. Runs are compacted in their documents and cut at the same nodes.
+4. Each such span of a copy, in pieces of PIECE words at most, is compared with its source's by a 128-bit
+   digest of the words, each computed in its own document. Should two different edges ever share minimizer
+   and nodes, that shows which copies are wrong. They and their sources alone meet again, by other hashes; all
+   other rows stay.
 
 Null, empty and short texts have no edges and stay whole. A null id sorts before all others. Rows that
 repeat an id are documents with the same place in the order, so neither is a source of the other at an
@@ -30,12 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docugauge.llm import scan
-from docugauge.llm.frames import discard, fresh, row_order, stored
+from docugauge.llm.frames import discard, fresh, let, row_order, stored
 
 #: Words of an edge, words of a minimizer, words that a task compares at once, words of a compared piece.
 K, MINIMIZER, CHUNK, PIECE = 20, 6, 1 << 19, 256
@@ -44,9 +47,11 @@ HOT, SHARE = 1 << 17, 64
 _PLACE = 24  # bits of a place in a block of minimizers
 
 _ROW = [("h", pa.int64()), ("o", pa.int64()), ("seq", pa.int32()), ("start", pa.int32()), ("lead", pa.int32()), ("prints", pa.binary())]
-_RUN = [("o", pa.int64()), ("seq", pa.int32()), ("start", pa.int32()), ("edges", pa.int32()), ("so", pa.int64()), ("sseq", pa.int32()), ("sstart", pa.int32())]
+_RUN = [("o", pa.int64()), ("seq", pa.int32()), ("start", pa.int32()), ("edges", pa.int32()), ("so", pa.int64()), ("sseq", pa.int32()), ("sstart", pa.int32()), ("nodes", pa.list_(pa.int64()))]
 _ROW_SQL = "h long, o long, seq int, start int, lead int, prints binary"
 _RUN_SQL = "o long, seq int, start int, edges int, so long, sseq int, sstart int"
+_MET_SQL = f"{_RUN_SQL}, nodes array<long>"
+_DROPPED, _MARKED = np.uint64(16), 64  # bits of a node that don't travel; added to the lead of a path with marked edges
 
 
 def _batch(columns: list, fields: list[tuple]) -> pa.RecordBatch:
@@ -91,10 +96,13 @@ def _paths(seed: int, k: int, m: int):
         source[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # rows come by id, so the first is the least
         repeat = (o[row] > o[row[source]]) | (start > start[source])
         yield from _runs(o, seq, row, start, source, repeat)
+        marked = np.zeros(len(at), dtype=bool)
+        marked[source[repeat]] = True
         keep = np.flatnonzero(~repeat)
-        del order, sorted_, new, source, repeat
+        del order, sorted_, new, source, repeat, edges
         short = scan.window_hashes(words ^ np.uint64(seed), m, "word2")
-        yield from _rows(o, seq, row[keep], start[keep], at[keep], minimizers(short, k - m + 1)[at[keep]], short, edges[at[keep]])
+        nodes = scan.window_hashes(words ^ np.uint64(seed), k - 1) >> _DROPPED
+        yield from _rows(o, seq, row[keep], start[keep], at[keep], minimizers(short, k - m + 1)[at[keep]], short, nodes, marked[keep])
 
     def _runs(o, seq, row, start, source, repeat) -> Iterator[pa.RecordBatch]:
         i = np.flatnonzero(repeat)
@@ -107,14 +115,15 @@ def _paths(seed: int, k: int, m: int):
         h = scan.mix(o[r].view(np.uint64) * np.uint64(3) + start[i[a]].astype(np.uint64)).view(np.int64)
         yield _batch([h, o[r], seq[r], start[i[a]], -n, _binary(packed.view(np.uint8), np.arange(len(a) + 1) * 16)], _ROW)
 
-    def _rows(o, seq, row, start, at, place, hashes, edges) -> Iterator[pa.RecordBatch]:
+    def _rows(o, seq, row, start, at, place, hashes, nodes, marked) -> Iterator[pa.RecordBatch]:
         if not len(at):
             return
         new = np.concatenate(([True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)))
         a = np.flatnonzero(new)
-        where = np.concatenate((a, [len(at)])) * 8
-        prints = edges.astype("<u8").view(np.uint8)
-        yield _batch([hashes[place[a]].view(np.int64), o[row[a]], seq[row[a]], start[a], place[a] - at[a], _binary(prints, where)], _ROW)
+        n = np.diff(np.append(a, len(at)))
+        any_ = np.logical_or.reduceat(marked, a)
+        prints = _packed(nodes[_spread(at[a], n + 1)], marked[_spread(a, n * any_)], n, any_)
+        yield _batch([hashes[place[a]].view(np.int64), o[row[a]], seq[row[a]], start[a], place[a] - at[a] + _MARKED * any_, prints], _ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,19 +149,49 @@ def _binary(data: np.ndarray, where: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(where) - 1, [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places begin .. begin + size, one range after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _packed(nodes: np.ndarray, marks: np.ndarray, n: np.ndarray, marked: np.ndarray) -> pa.Array:
+    """For each path of n edges its n + 1 nodes in 6 bytes each, and a byte for each edge of a marked path."""
+    of_nodes = 6 * (n + 1)
+    where = np.concatenate(([0], np.cumsum(of_nodes + n * marked)))
+    out = np.empty(where[-1], dtype=np.uint8)
+    out[_spread(where[:-1], of_nodes)] = nodes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].ravel()
+    out[_spread(where[:-1] + of_nodes, n * marked)] = marks
+    return _binary(out, where)
+
+
+def _unpacked(prints: pa.Array, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of each path, all nodes, and the mark of each edge."""
+    _, where, data = prints.buffers()
+    where = np.frombuffer(where, dtype=np.int32)[prints.offset : prints.offset + len(prints) + 1].astype(np.int64)
+    data = np.frombuffer(data, dtype=np.uint8)
+    size = np.diff(where)
+    n = np.where(marked, (size - 6) // 7, size // 6 - 1)
+    held = np.zeros((int((n + 1).sum()), 8), dtype=np.uint8)
+    held[:, :6] = data[_spread(where[:-1], 6 * (n + 1))].reshape(-1, 6)
+    marks = np.zeros(int(n.sum()), dtype=bool)
+    marks[np.repeat(marked, n)] = data[_spread(where[:-1] + 6 * (n + 1), n * marked)] > 0
+    return n, held.view("<u8").ravel(), marks
+
+
 def _others(words: scan.Words, seed: int) -> np.ndarray:
     """Hashes of words that don't depend on those of the first attempt."""
     key = seed.to_bytes(8, "little")
     return np.array([int.from_bytes(hashlib.blake2b(words.bytes_of(i, i + 1), digest_size=8, key=key).digest(), "little") for i in range(len(words))], dtype=np.uint64)
 
 
-def _key(h: np.ndarray, place: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def _key(h: np.ndarray, place: np.ndarray, tail: np.ndarray, head: np.ndarray) -> np.ndarray:
     """What edges meet by."""
-    return scan.mix(scan.mix(h.view(np.uint64) + place.astype(np.uint64)) ^ (edges * np.uint64(0x9E3779B97F4A7C15)))
+    return scan.mix(scan.mix(scan.mix(h.view(np.uint64) + place.astype(np.uint64)) ^ tail) ^ (head * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _parted(paths, hot: np.ndarray):
-    """paths, with one row for each edge of a hot minimizer, by its place and print."""
+    """paths, with one row for each edge of a hot minimizer, by its place and nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in paths(batches):
@@ -163,12 +202,13 @@ def _parted(paths, hot: np.ndarray):
                 continue
             yield batch.filter(pa.array(~many))
             i = np.flatnonzero(many)
-            prints = batch.column(5).take(pa.array(i)).to_pylist()
-            size = np.array([len(x) for x in prints]) // 8
-            edges = np.frombuffer(b"".join(prints), dtype="<u8")
-            i, step = np.repeat(i, size), np.arange(len(edges)) - np.repeat(np.cumsum(size) - size, size)
-            at = _key(h[i], lead[i] - step, edges).view(np.int64)
-            yield _batch([at, o[i], seq[i], start[i] + step.astype(np.int32), np.zeros(len(i), dtype=np.int32), _binary(edges.view(np.uint8), np.arange(len(i) + 1) * 8)], _ROW)
+            n, nodes, marks = _unpacked(batch.column(5).take(pa.array(i)), lead[i] >= _MARKED)
+            i, step = np.repeat(i, n), _spread(np.zeros(len(n), dtype=np.int64), n)
+            tail = _spread(np.cumsum(n + 1) - n - 1, n)
+            at = _key(h[i], lead[i] % _MARKED - step, nodes[tail], nodes[tail + 1]).view(np.int64)
+            one = np.ones(len(i), dtype=np.int64)
+            prints = _packed(np.column_stack((nodes[tail], nodes[tail + 1])).ravel(), marks[marks], one, marks)
+            yield _batch([at, o[i], seq[i], start[i] + step.astype(np.int32), _MARKED * marks, prints], _ROW)
 
     return run
 
@@ -189,7 +229,7 @@ def joined(row: np.ndarray, start: np.ndarray, source_row: np.ndarray, source_st
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by minimizer to runs of repeats."""
+    """Rows by minimizer to runs of repeats (nodes null), and to fragments of their sources (so null)."""
 
     def meet(table: pa.Table) -> Iterator[pa.RecordBatch]:
         h, o, seq, start, lead = (table[c].to_numpy() for c in ("h", "o", "seq", "start", "lead"))
@@ -197,38 +237,45 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = np.flatnonzero(lead < 0)
         if len(done):
             packed = np.frombuffer(b"".join(prints.take(pa.array(done)).to_pylist()), dtype=[("so", "<i8"), ("sseq", "<i4"), ("sstart", "<i4")])
-            yield _batch([o[done], seq[done], start[done], -lead[done], packed["so"], packed["sseq"], packed["sstart"]], _RUN)
+            yield _batch([o[done], seq[done], start[done], -lead[done], packed["so"], packed["sseq"], packed["sstart"], pa.nulls(len(done), _RUN[-1][1])], _RUN)
         i = np.flatnonzero(lead >= 0)
         if not len(i):
             return
-        new = np.concatenate(([True], h[i][1:] != h[i][:-1]))
-        many = np.diff(np.concatenate((np.flatnonzero(new), [len(i)])))
-        i = i[np.repeat(many > 1, many)]
+        first = np.flatnonzero(np.concatenate(([True], h[i][1:] != h[i][:-1])))
+        many = np.diff(np.append(first, len(i)))
+        marked = np.logical_or.reduceat(lead[i] >= _MARKED, first)
+        i = i[np.repeat((many > 1) | marked, many)]
         if not len(i):
             return
         i = i[np.lexsort((start[i], o[i]))]
-        some = prints.take(pa.array(i))
-        size = np.diff(np.frombuffer(some.buffers()[1], dtype=np.int32)[some.offset : some.offset + len(some) + 1]) // 8
-        edges = np.frombuffer(b"".join(some.to_pylist()), dtype="<u8")
+        size, nodes, marks = _unpacked(prints.take(pa.array(i)), lead[i] >= _MARKED)
         path = np.repeat(np.arange(len(i)), size)
-        step = np.arange(len(edges)) - np.repeat(np.cumsum(size) - size, size)
-        key = _key(h[i][path], lead[i][path] - step, edges)
-        order = np.argsort(key, kind="stable")
-        first = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-        source = np.empty(len(key), dtype=np.int64)
+        step = _spread(np.zeros(len(i), dtype=np.int64), size)
+        tail = _spread(np.cumsum(size + 1) - size - 1, size)  # the place of each edge's first node
+        key = _key(h[i][path], lead[i][path] % _MARKED - step, nodes[tail], nodes[tail + 1])
         own_o, own_start = o[i][path], start[i][path] + step
         # paths are by id and start, but the edges of one path start later than those of the next may
-        number = np.cumsum(first) - 1
-        rank = np.lexsort((own_start[order], own_o[order], number))
-        order, number = order[rank], number[rank]
-        head = np.concatenate(([True], number[1:] != number[:-1]))
-        source[order] = order[np.flatnonzero(head)][number]
-        repeat = np.flatnonzero((own_o > own_o[source]) | (own_start > own_start[source]))
+        order = np.lexsort((own_start, own_o, key))
+        head = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+        source = np.empty(len(key), dtype=np.int64)
+        source[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+        again = (own_o > own_o[source]) | (own_start > own_start[source])
+        repeat = np.flatnonzero(again)
         if len(repeat):
             s = source[repeat]
             a, n = joined(path[repeat], own_start[repeat], path[s], own_start[s])
             r, s = repeat[a], s[a]
-            yield _batch([own_o[r], seq[i][path[r]], own_start[r], n, own_o[s], seq[i][path[s]], own_start[s]], _RUN)
+            yield _batch([own_o[r], seq[i][path[r]], own_start[r], n, own_o[s], seq[i][path[s]], own_start[s], pa.nulls(len(r), _RUN[-1][1])], _RUN)
+        twice = np.zeros(len(key), dtype=bool)
+        twice[source[again | marks]] = True
+        at = np.flatnonzero(twice)
+        if len(at):
+            a, n = joined(path[at], own_start[at], path[at], own_start[at])
+            r = at[a]
+            held = nodes[_spread(tail[r], n + 1)].view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n + 1))).astype(np.int32)), pa.array(held))
+            none = pa.nulls(len(r), pa.int32())
+            yield _batch([own_o[r], seq[i][path[r]], own_start[r], n, pa.nulls(len(r), pa.int64()), none, none, lists], _RUN)
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -246,40 +293,53 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from meet(pa.Table.from_batches(held))
 
 
-def _compact(marks: list[dict]) -> list[tuple]:
-    """Runs of one document, joined where copy and source both go on."""
-    out: list[list] = []
-    for m in sorted(marks, key=lambda x: (x["start"], x["so"], x["sseq"], x["sstart"])):
-        now = [m["start"], m["edges"], m["so"], m["sseq"], m["sstart"]]
-        if out and (last := out[-1])[2:4] == now[2:4] and now[0] - last[0] == now[4] - last[4] and now[0] <= last[0] + last[1]:
-            last[1] = max(last[1], now[0] - last[0] + now[1])
-        else:
-            out.append(now)
-    return [tuple(x) for x in out]
-
+def _paths_of(fragments: DataFrame) -> DataFrame:
+    """(o, seq, start, edges) of the maximal nonbranching paths of the graph of repeated edges, at their sources.
 
-def pieces(run: tuple, k: int) -> list[tuple[int, int, int]]:
-    """(first word of the copy, first and last word of the source) of a run's parts, cut where the source's place is a multiple of PIECE.
-
-    So the parts that are asked of a document are bounded by its length, however many copies it has.
+    fragments: (o, seq, start, edges, nodes), each edge of the graph in one of them.
     """
-    start, edges, _, _, sstart = run
-    end, at, out = sstart + edges + k - 1, sstart, []
-    while at < end:
-        to = min(end, (at // PIECE + 1) * PIECE)
-        out.append((start + at - sstart, at, to))
-        at = to
-    return out
-
-
-def _asked(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(r[2], r[3], a, b) for marks in batch.column(0).to_pylist() for r in _compact(marks) for _, a, b in pieces(r, k)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["o", "seq", "a", "b"])
-
-    return run
+    passes = fragments.select("o", "seq", "start", "edges", F.posexplode("nodes").alias("pos", "node"))
+    degrees = passes.groupBy("node").agg(F.count_if(F.col("pos") > 0).alias("ins"), F.count_if(F.col("pos") < F.col("edges")).alias("outs"))
+    branching = degrees.where("ins > 1 OR outs > 1").select("node")
+    cuts = passes.join(branching, "node", "left_semi").groupBy("o", "seq").agg(F.collect_set(F.col("start") + F.col("pos")).alias("cuts"))
+    # Fragments that meet end to end are one; a document's are no more than its words.
+    own = Window.partitionBy("o", "seq").orderBy("start")
+    parted = fragments.select("o", "seq", "start", (F.col("start") + F.col("edges")).alias("end")).withColumn("_new", (~F.col("start").eqNullSafe(F.lag("end").over(own))).cast("int")).withColumn("_n", F.sum("_new").over(own))
+    whole = parted.groupBy("o", "seq", "_n").agg(F.min("start").alias("a"), F.max("end").alias("b"))
+    inner = F.filter(F.coalesce("cuts", F.array().cast("array<int>")), lambda c: (c > F.col("a")) & (c < F.col("b")))
+    pieces = _between(F.concat(F.array("a"), F.array_sort(inner)), F.col("b"))
+    return whole.join(cuts, ["o", "seq"], "left").select("o", "seq", F.explode(pieces).alias("p")).select("o", "seq", F.col("p.a").alias("start"), (F.col("p.b") - F.col("p.a")).alias("edges"))
+
+
+def _between(points: Column, end: Column) -> Column:
+    """Structs (a, b) of each point and the next, the last with the end."""
+    return let(points, lambda ps: F.zip_with(ps, F.concat(F.slice(ps, F.lit(2), F.size(ps)), F.array(end)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+
+
+def _compacted(runs: DataFrame) -> DataFrame:
+    """Runs of each document, joined where copy and source both go on."""
+    own = Window.partitionBy("o", "seq").orderBy("start", "so", "sseq", "sstart")
+    shift = F.col("start") - F.col("sstart")
+    before = lambda c: F.lag(c).over(own)
+    goes_on = (before("so") == F.col("so")) & (before("sseq") == F.col("sseq")) & (before(shift) == shift) & (F.col("start") <= before(F.col("start") + F.col("edges")))
+    parted = runs.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_n", F.sum("_new").over(own))
+    out = parted.groupBy("o", "seq", "so", "sseq", "_n").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("edges")).alias("_end"), F.min("sstart").alias("sstart"))
+    return out.select("o", "seq", "start", (F.col("_end") - F.col("start")).alias("edges"), "so", "sseq", "sstart")
+
+
+def _pieces(runs: DataFrame, paths: DataFrame, k: int) -> DataFrame:
+    """(o, seq, at, so, sseq, a, b): runs cut where nonbranching paths of their source begin, and at multiples of PIECE of its words.
+
+    So what is asked of a document is bounded by its length and its paths, however many copies it has.
+    """
+    starts = paths.groupBy(F.col("o").alias("so"), F.col("seq").alias("sseq")).agg(F.collect_list("start").alias("starts"))
+    end = F.col("sstart") + F.col("edges") + (k - 1)
+    first = ((F.floor(F.col("sstart") / PIECE) + 1) * PIECE).cast("int")
+    grid = F.when(first < end, F.sequence(first, end - 1, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
+    inner = F.filter(F.coalesce("starts", F.array().cast("array<int>")), lambda c: (c > F.col("sstart")) & (c < end))
+    points = F.array_sort(F.array_distinct(F.concat(F.array("sstart"), grid, inner)))
+    cut = runs.join(starts, ["so", "sseq"], "left").select("o", "seq", "so", "sseq", "start", "sstart", F.explode(_between(points, end)).alias("p"))
+    return cut.select("o", "seq", (F.col("start") + F.col("p.a") - F.col("sstart")).alias("at"), "so", "sseq", "p.a", "p.b")
 
 
 def _digest(words: scan.Words, a: int, b: int) -> bytes:
@@ -290,7 +350,7 @@ _PROOF = T.ArrayType(T.StructType([T.StructField("o", T.LongType()), T.StructFie
 _PROOF_ARROW = pa.list_(pa.struct([("o", pa.int64()), ("seq", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("d", pa.binary()), ("own", pa.bool_())]))
 
 
-def _finish(width: int, text_at: int, names: list[str], k: int, keep_text: bool):
+def _finish(width: int, text_at: int, names: list[str], keep_text: bool):
     """Rows of (own columns, o, seq, marks, asked) to own columns, o, seq, words, removed words, SHA-256 of what is left, proofs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,10 +362,11 @@ def _finish(width: int, text_at: int, names: list[str], k: int, keep_text: bool)
                 proofs: list[list] = []
                 for row in range(part.rows):
                     base, found = int(words.first[row]), []
-                    marks = own.column(width + 2)[row].as_py()
-                    for r in _compact(marks or []):
-                        kept[base + r[0] : base + r[0] + r[1] + k - 1] = False
-                        found += [{"o": r[2], "seq": r[3], "a": a, "b": b, "d": _digest(words, base + at, base + at + b - a), "own": False} for at, a, b in pieces(r, k)]
+                    for m in own.column(width + 2)[row].as_py() or []:
+                        begin = base + m["at"]
+                        end = begin + m["b"] - m["a"]
+                        kept[begin:end] = False
+                        found.append({"o": m["so"], "seq": m["sseq"], "a": m["a"], "b": m["b"], "d": _digest(words, begin, end), "own": False})
                     o, seq = (own.column(i)[row].as_py() for i in (width, width + 1))
                     found += [{"o": o, "seq": seq, "a": x["a"], "b": x["b"], "d": _digest(words, base + x["a"], base + x["b"]), "own": True} for x in own.column(width + 3)[row].as_py() or []]
                     proofs.append(found)
@@ -341,17 +402,19 @@ def deduplicated(docs: DataFrame, *, k: int = K, minimizer: int = MINIMIZER, doc
     for attempt in range(20):
         cut = _paths(attempt * 0x9E3779B97F4A7C15 & (1 << 64) - 1, k, minimizer)
         paths = of(part).mapInArrow(scan.tidy(_parted(cut, hot) if len(hot) and not attempt else cut), _ROW_SQL)
-        runs = paths.repartition("h").sortWithinPartitions("h").mapInArrow(scan.tidy(_meet), _RUN_SQL)
-        if right is not None:
-            runs = runs.unionByName(right.select("o", "seq", F.inline("marks")))
-        held = stored(runs.groupBy("o", "seq").agg(F.collect_list(F.struct("start", "edges", "so", "sseq", "sstart")).alias("marks")), "runs")
-        wanted = held.select("marks").mapInArrow(_asked(k), "o long, seq int, a int, b int").distinct()
-        wanted = wanted.groupBy("o", "seq").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
-        both = stored(held.join(wanted, ["o", "seq"], "full").select(F.col("o").alias(o), F.col("seq").alias(seq), F.col("marks").alias(marks), F.col("asked").alias(asked)), "spans")
+        met = stored(paths.repartition("h").sortWithinPartitions("h").mapInArrow(scan.tidy(_meet), _MET_SQL), "met")
+        runs = met.where("nodes IS NULL").drop("nodes")
+        held = stored(_compacted(runs if right is None else runs.unionByName(right)), "runs")
+        graph = met.where("nodes IS NOT NULL").select("o", "seq", "start", "edges", "nodes")
+        spans = stored(_pieces(held, _paths_of(graph), k), "spans")
+        discard(met)
+        own_marks = spans.groupBy("o", "seq").agg(F.collect_list(F.struct("at", "so", "sseq", "a", "b")).alias("marks"))
+        wanted = spans.select("so", "sseq", "a", "b").distinct().groupBy(F.col("so").alias("o"), F.col("sseq").alias("seq")).agg(F.collect_list(F.struct("a", "b")).alias("asked"))
+        both = own_marks.join(wanted, ["o", "seq"], "full").select(F.col("o").alias(o), F.col("seq").alias(seq), F.col("marks").alias(marks), F.col("asked").alias(asked))
         full = part.join(both, [o, seq], "left").select(*[F.col(f"`{c}`") for c in docs.columns], o, seq, marks, asked)
-        out = full.mapInArrow(scan.tidy(_finish(len(docs.columns), docs.columns.index(text), schema.names, k, keep_text)), schema)
+        out = full.mapInArrow(scan.tidy(_finish(len(docs.columns), docs.columns.index(text), schema.names, keep_text)), schema)
         out = stored(out.select(*[F.col(f"`{c}`") for c in columns], o, seq, n_words, n_removed, left, proofs), "kept")
-        discard(both)
+        discard(spans)
         seen = out.select(F.explode(proofs).alias("p")).groupBy("p.o", "p.seq", "p.a", "p.b").agg(F.min("p.d").alias("x"), F.max("p.d").alias("y"), F.min(F.when(F.col("p.own"), F.col("p.d"))).alias("source"))
         seen = seen.where("x <> y")
         if seen.isEmpty():
@@ -372,11 +435,14 @@ def deduplicated(docs: DataFrame, *, k: int = K, minimizer: int = MINIMIZER, doc
 
 
 def _right(held: DataFrame, wrong: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The marks of some documents without those that touch a wrong piece; the edges of these have their sources in the same documents."""
-    bad = wrong.groupBy("by", "by_seq").agg(F.collect_list(F.struct("o", "seq", "a", "b")).alias("bad")).select(F.col("by").alias("o"), F.col("by_seq").alias("seq"), "bad")
-    touched = "x -> x.o = m.so AND x.seq = m.sseq AND x.a < m.sstart + m.edges + %d AND x.b > m.sstart" % (k - 1)
-    kept = F.expr(f"filter(marks, m -> bad IS NULL OR NOT exists(bad, {touched}))")
-    return stored(held.join(ids, ["o", "seq"], "left_semi").join(bad, ["o", "seq"], "left").select("o", "seq", kept.alias("marks")), "right")
+    """The runs of some documents without those that touch a wrong piece; the edges of these have their sources in the same documents."""
+    bad = wrong.select(F.col("by").alias("o"), F.col("by_seq").alias("seq"), F.col("o").alias("so"), F.col("seq").alias("sseq"), "a", "b")
+    own = held.join(ids, ["o", "seq"], "left_semi")
+    same = F.lit(True)
+    for c in ("o", "seq", "so", "sseq"):
+        same = same & (own[c] == bad[c])
+    touches = (bad["a"] < own["sstart"] + own["edges"] + (k - 1)) & (bad["b"] > own["sstart"])
+    return stored(own.join(bad, same & touches, "left_anti"), "right")
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, o: str, seq: str) -> DataFrame:

@@ -137,7 +137,7 @@ def clashing(original, chosen, again):
                     continue
                 bad = [chosen(o) and lead >= 0 for o, lead in zip(b.column(1).to_pylist(), b.column(4).to_pylist())]
                 h = [1 if x else v for x, v in zip(bad, b.column(0).to_pylist())]
-                lead = [len(p) // 8 if x else v for x, v, p in zip(bad, b.column(4).to_pylist(), b.column(5).to_pylist())]
+                lead = [len(p) // 8 + (v & 64) if x else v for x, v, p in zip(bad, b.column(4).to_pylist(), b.column(5).to_pylist())]
                 prints = [bytes(len(v)) if x else v for x, v in zip(bad, b.column(5).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *b.columns[1:4], pa.array(lead, pa.int32()), pa.array(prints, pa.binary())], names=b.schema.names)
 
@@ -159,3 +159,54 @@ def test_edges_of_hot_minimizers_part(spark, monkeypatch):
 def results(out, names):
     n, removed, digest = names
     return sorted((-(2**63) if r.doc_id is None else r.doc_id, r[n], r[removed], r[digest]) for r in out.collect())
+
+
+def test_paths_are_cut_where_the_graph_branches(spark):
+    """Two repeated paths that share nodes, one of them in the middle of a document that the other never touches."""
+    k = 4
+    words = lambda s: s.split()
+    texts = {0: "a b c d e f g", 1: "x a b c d e f g y", 2: "p q c d e r s", 3: "1 p q c d e r s 2", 4: "z z z z z z z z"}
+
+    def scan(docs):
+        cut = debruijn._paths(0, k, 2)
+        rows = docs.mapInArrow(cut, debruijn._ROW_SQL).repartition("h").sortWithinPartitions("h")
+        return rows.mapInArrow(debruijn._meet, debruijn._MET_SQL)
+
+    for parts in (1, 5):  # repeats within a task's words, and among tasks
+        docs = spark.createDataFrame([(i, 0, t) for i, t in texts.items()], "o long, seq int, text string").repartition(parts, "o")
+        met = scan(docs).cache()
+        found = debruijn._paths_of(met.where("nodes IS NOT NULL").drop("so", "sseq", "sstart"))
+        got = sorted((r.o, r.start, r.edges) for r in found.collect())
+        edges, where = {}, {}
+        for i in sorted(texts):
+            w = words(texts[i])
+            for s in range(len(w) - k + 1):
+                e = tuple(w[s : s + k])
+                edges[e] = edges.get(e, 0) + 1
+                where.setdefault(e, (i, s))
+        graph = {e for e, n in edges.items() if n > 1}
+        ins, outs = {}, {}
+        for e in graph:
+            outs.setdefault(e[:-1], set()).add(e)
+            ins.setdefault(e[1:], set()).add(e)
+        branch = {n for n in {*ins, *outs} if len(ins.get(n, ())) > 1 or len(outs.get(n, ())) > 1}
+        assert branch == {("c", "d", "e")}
+        want = []
+        for i, s in sorted(where[e] for e in graph):
+            node = tuple(words(texts[i])[s : s + k - 1])
+            if want and want[-1][0] == i and sum(want[-1][1:]) == s and node not in branch:
+                want[-1][2] += 1
+            else:
+                want.append([i, s, 1])
+        assert got == [tuple(x) for x in want] and (0, 0, 2) in got and (0, 2, 2) in got
+        pieces = debruijn._pieces(debruijn._compacted(met.where("nodes IS NULL").drop("nodes")), found, k)
+        assert sorted((r.o, r["at"], r.so, r.a, r.b) for r in pieces.where("o = 1").collect()) == [(1, 1, 0, 0, 2), (1, 3, 0, 2, 7)]
+
+
+def test_a_passage_in_a_third_of_all_documents(spark):
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) + (" " + passage if i % 3 == 0 else "")) for i in range(3000)]
+    out, names = debruijn.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), keep_text=False)
+    got = {r.doc_id: r[names[1]] for r in out.collect()}
+    assert got == {i: 60 if i % 3 == 0 and i else 0 for i in range(3000)}
