@@ -154,6 +154,13 @@ RULES = {
 }
 
 
+#: What each check reads of a reading, besides its resolution; the rest isn't copied for its settings.
+NEEDS = {
+    "required_field": ("words", "zone_words_by_field", "field_ink"), "required_checkbox": ("boxes",), "signature": ("signatures",), "expiry": ("words", "zone_words_by_field"),
+    "consistency": ("words", "zone_words_by_field"), "forbidden_value": ("words", "zone_words_by_field"), "resolution": (), "cropped_page": ("coverage",), "rotated_page": ("orientation_margin",),
+}
+
+
 def scored(readings: DataFrame, dims: Dimensions, settings: DataFrame, keys: Sequence[str], checks: Sequence[str] = CHECKS, *, clock: str = "filing", floor: float = 0.0, abstention: bool = True) -> DataFrame:
     """keys, setting_id, check, piece, target, score of every target under every setting of its check.
 
@@ -163,7 +170,8 @@ def scored(readings: DataFrame, dims: Dimensions, settings: DataFrame, keys: Seq
     out = None
     for check in checks:
         own = settings.where(F.col("check") == check).drop("check")
-        at = rows.crossJoin(F.broadcast(own))  # at most a few dozen settings
+        narrow = rows.withColumn("reading", F.struct(*[_r(name).alias(name) for name in ("source_dpi", *NEEDS[check])]))
+        at = narrow.crossJoin(F.broadcast(own))  # at most a few dozen settings
         extra = (clock,) if check == "expiry" else ()
         found = RULES[check](at, dims, [*keys, "setting_id"], floor, abstention, *extra)
         out = found if out is None else out.unionByName(found)

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docugauge.functions.stats import ratio, wilson
 from docugauge.operators import curves, measures
 from docugauge.operators.broadcasts import small
 from docugauge.operators.checks import Dimensions, scored
@@ -134,6 +135,24 @@ def step_split(scores: DataFrame, threshold: Column | float, axis: str, step: fl
     return out.withColumnRenamed("_side", "side").withColumn("recall", F.col("tp") / F.col("n"))
 
 
+def follow_up(sets: Mapping[str, DataFrame], threshold: Column | float, axis: str, step: float, combined: Sequence[str]) -> DataFrame:
+    """Recall of each set of scores, below and from a step of an axis on, with its interval; and of some sets together, as ``combined``.
+
+    One pass: a row of a combined set counts twice. Null scores take no part; a set without positives has no row.
+    """
+    out = None
+    for name, scores in sets.items():
+        names = F.array(*[F.lit(x) for x in (name, *(["combined"] if name in combined else []))])
+        rows = scores.where("positive AND score IS NOT NULL").select(F.explode(names).alias("set"), (F.col("score") > threshold).alias("_hit"), (F.col(axis) < step).alias("_below"))
+        out = rows if out is None else out.unionByName(rows)
+    counts = out.groupBy("set").agg(
+        F.count_if("_hit").alias("tp"), F.count("*").alias("n"), F.count_if(F.col("_hit") & F.col("_below")).alias("tp_below"), F.count_if("_below").alias("n_below"),
+        F.count_if(F.col("_hit") & ~F.col("_below")).alias("tp_from"), F.count_if(~F.col("_below")).alias("n_from"),
+    )
+    low, high = wilson(F.col("tp"), F.col("n"))
+    return counts.withColumns({"recall": ratio(F.col("tp"), F.col("n")), "low": low, "high": high})
+
+
 def published(results: DataFrame, evidence: Sequence[DataFrame]) -> DataFrame:
     """results by check with what other studies say about it beside it."""
     for more in evidence:

@@ -8,7 +8,7 @@ from docugauge.functions import forms
 from docugauge.functions import text as X
 from docugauge.operators import align, checks, design, predicates, raster
 from docugauge.plans import protocol
-from docugauge.plans.bindings import table
+from docugauge.plans.bindings import table, wilson
 from docugauge.schema import READING_DDL, WORD_DDL
 from docugauge.sources import declarations, manifests, readings, sinks
 
@@ -167,6 +167,31 @@ def frozen_scoring(spark, d):
     return out.select("event_id", "variant", "check", "score", "threshold", "positive", "fires", "abstained")
 
 
+@query("corner_follow_up", f"WITH l AS (SELECT *, CASE l_linestatus WHEN 'F' THEN 'original' ELSE 'corner' END AS s FROM lineitem WHERE l_returnflag <> 'A' UNION ALL SELECT *, 'control' FROM lineitem WHERE l_returnflag = 'A'), m AS (SELECT s AS \"set\", l_linenumber, l_quantity > 25 AS hit FROM l UNION ALL SELECT 'combined', l_linenumber, l_quantity > 25 FROM l WHERE s <> 'control'), g AS (SELECT \"set\", count(*) FILTER (hit) AS tp, count(*) AS n, count(*) FILTER (hit AND l_linenumber < 4) AS tp_below, count(*) FILTER (l_linenumber < 4) AS n_below, count(*) FILTER (hit AND l_linenumber >= 4) AS tp_from, count(*) FILTER (l_linenumber >= 4) AS n_from FROM m GROUP BY 1) SELECT *, CAST(tp AS DOUBLE) / n AS recall, {wilson('tp', 'n', 'low', 'high')} FROM g")
+def corner_follow_up(spark, d):
+    lines = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", F.col("l_quantity").alias("score"), F.lit(True).alias("positive"))
+    sets = {"original": lines.where("l_returnflag <> 'A' AND l_linestatus = 'F'"), "corner": lines.where("l_returnflag <> 'A' AND l_linestatus <> 'F'"), "control": lines.where("l_returnflag = 'A'")}
+    out = protocol.follow_up(sets, 25.0, "l_linenumber", 4, ["original", "corner"])
+    return out.withColumns({"low": F.round("low", 9), "high": F.round("high", 9)})
+
+
+@query("dump_summary", "SELECT count(*) AS rows, count(DISTINCT user_id) AS cells, (SELECT string_agg(event_type || ':' || k, ',' ORDER BY event_type) FROM (SELECT event_type, count(*) AS k FROM events WHERE event_type <> 'view' GROUP BY 1)) AS shapes, (SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FROM (SELECT DISTINCT event_id % 4 AS x FROM events)) AS levels, (SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FROM (SELECT DISTINCT event_id % 3 AS x FROM events)) AS seeds FROM events")
+def dump_summary(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("cell"), (F.col("event_id") % 4).alias("parasite"), (F.col("event_id") % 3).alias("seed"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("shape"))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    shapes = F.array_join(F.transform(F.map_entries("shapes"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return readings.dump_summary(rows).select("rows", "cells", shapes.alias("shapes"), listed("levels").alias("levels"), listed("seeds").alias("seeds"))
+
+
+@query("verdict_objects", f"WITH {_EVENTS} SELECT event_id, '{{\"event_id\":' || event_id || ',\"verdict\":\"' || CASE WHEN crop > 0.4 THEN 'defect' WHEN res IS NULL OR res > -150 THEN 'unreadable' ELSE 'no_finding' END || '\",\"findings\":[{{\"check\":\"cropped_page\",\"piece\":\"t0\",\"target\":\"\",\"fires\":' || (crop > 0.4) || ',\"undecidable\":false}},{{\"check\":\"resolution\",\"piece\":\"t0\",\"target\":\"\",\"fires\":' || coalesce(res > -150, false) || ',\"undecidable\":' || (res IS NULL) || '}}]}}' AS value FROM e")
+def verdict_objects(spark, d):
+    """Each page's verdict as the JSON that users get, here without the scores."""
+    rows, dims, _ = _pages(spark, d)
+    settings = checks.settings_table(spark, {"resolution": [{}], "cropped_page": [{}]})
+    found = checks.evaluate(rows, dims, settings, {"resolution": -150.0, "cropped_page": 0.4}, ["event_id"], ["resolution", "cropped_page"])
+    return sinks.verdict_json(found, ["event_id"]).select("event_id", F.regexp_replace("value", r'"score":[^,]*,', "").alias("value"))
+
+
 # ---- words on pages -----------------------------------------------------------------------------
 
 

@@ -32,6 +32,17 @@ def keys(readings: DataFrame) -> DataFrame:
     return readings.select(*KEY).distinct()
 
 
+def dump_summary(rows: DataFrame) -> DataFrame:
+    """What a dump of runs with foreign ink holds: rows, rows by shape, cells, levels and seeds. Rows without ink have no shape.
+
+    rows: cell, parasite, seed, shape.
+    """
+    shapes = rows.where("shape IS NOT NULL").groupBy("shape").agg(F.count("*").alias("k"))
+    held = shapes.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("shape", "k")))).alias("shapes"))
+    total = rows.agg(F.count("*").alias("rows"), F.countDistinct("cell").alias("cells"), F.array_sort(F.collect_set("parasite")).alias("levels"), F.array_sort(F.collect_set("seed")).alias("seeds"))
+    return total.crossJoin(held)  # a row each
+
+
 def dump_digest(spark: SparkSession, path: str) -> DataFrame:
     """The SHA-256 of each plain or gzip dump's uncompressed bytes."""
 

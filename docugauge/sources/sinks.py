@@ -74,6 +74,14 @@ def verdict_text(findings: DataFrame) -> DataFrame:
     return findings.select(order.alias("o"), F.format_string("%-10s %-18s %s %s", pile, F.col("check"), F.col("piece"), F.col("target")).alias("line")).orderBy("o", "line").select("line")
 
 
+def verdict_json(findings: DataFrame, dossier: list[str]) -> DataFrame:
+    """Per dossier its verdict and findings as one JSON object."""
+    rank = F.max(F.when(F.col("fires") & (F.col("check") != "resolution"), 2).when(F.col("score").isNull() | F.col("fires"), 1).otherwise(0))
+    one = F.struct("check", "piece", "target", "score", "fires", F.col("score").isNull().alias("undecidable"))
+    held = findings.groupBy(*dossier).agg(F.element_at(F.array(*[F.lit(x) for x in ("no_finding", "unreadable", "defect")]), rank + 1).alias("verdict"), F.array_sort(F.collect_list(one)).alias("findings"))
+    return held.select(*dossier, F.to_json(F.struct(*dossier, "verdict", "findings"), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def markdown(df: DataFrame, rows: int = 1000) -> str:
     """A small report table; only for results of bounded size."""
     held = df.limit(rows).collect()
