@@ -28,18 +28,40 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docugauge.llm import lattice, scan
 from docugauge.llm.frames import stored
 
 MODEL = "piece_bpe_32k.model"
-#: Tokens in the broadcast, words that a task counts at once, and words whose probabilities a worker remembers.
-HEAD, CHUNK, MOST_WORDS = 1_000_000, 2 << 20, 400_000
+#: Tokens in the broadcast, words that a task counts at once, and bytes of words whose probabilities a worker remembers.
+HEAD, CHUNK, MOST_BYTES = 1_000_000, 2 << 20, 64 << 20
+#: Bytes of a word that is worth remembering, and what a remembered one takes besides its own.
+LONGEST, _ENTRY = 64, 140
 _END = np.uint64(0)  # the hash of the end; no word's, as it is mixed from none
 _LN10 = math.log(10)
-_known: dict[str, dict[bytes, float]] = {}
+
+
+class _Remembered:
+    """Log probabilities of words by the lattice; words are forgotten all at once beyond MOST_BYTES, long ones with their slice."""
+
+    def __init__(self) -> None:
+        self.held: dict[bytes, float] = {}
+        self.bytes = 0
+
+    def of(self, vocabulary: lattice.Pieces, words: list[bytes]) -> np.ndarray:
+        if self.bytes > MOST_BYTES:
+            self.held, self.bytes = {}, 0
+        new = [w for w in words if w not in self.held]
+        found = dict(zip(new, vocabulary.words(new).tolist()))
+        short = {w: x for w, x in found.items() if len(w) <= LONGEST}
+        self.held.update(short)
+        self.bytes += sum(map(len, short)) + _ENTRY * len(short)
+        return np.fromiter((found[w] if w in found else self.held[w] for w in words), dtype=np.float64, count=len(words))
+
+
+_known: dict[str, _Remembered] = {}
 
 
 def held_out(doc_id: str):
@@ -68,14 +90,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scorer(path: str, head, n: int, v: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, (hashes, counts) = lattice.pieces(path), head.value
-        known = _known.setdefault(path, {})
-
-        def marginals(words: list[bytes]) -> np.ndarray:
-            if len(known) > MOST_WORDS:
-                known.clear()
-            new = [w for w in words if w not in known]
-            known.update(zip(new, vocabulary.words(new).tolist()))
-            return np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
+        known = _known.setdefault(path, _Remembered())
 
         def frequent(h: np.ndarray) -> np.ndarray:
             """Counts of those in the head, -1 of others."""
@@ -94,7 +109,7 @@ def _scorer(path: str, head, n: int, v: int):
                 first = np.zeros(different, dtype=np.int64)
                 first[index[::-1]] = np.arange(len(index) - 1, -1, -1)
                 h = words.hashes()[first]
-                logs, c = marginals(coded.dictionary.to_pylist()), frequent(h)
+                logs, c = known.of(vocabulary, coded.dictionary.to_pylist()), frequent(h)
                 seen = c >= 0
                 with np.errstate(divide="ignore"):
                     own = np.where(seen, log_probability(np.maximum(c, 0), logs, n, v), 0) / _LN10
@@ -111,13 +126,14 @@ def _scorer(path: str, head, n: int, v: int):
                     bases = bases + math.log10((c_end + 0.1) / (n + 0.1 * (v + 1)))
                 yield _rows(uid, np.ones(m, np.int32), -1 - uid, np.zeros(m), tokens, known_n, bases, scores, *(batch.column(i).slice(part.first, m) for i in (1, 3)))
                 rest = np.flatnonzero(~seen[index]) if len(index) else np.zeros(0, np.int64)
-                line, what = words.rows()[rest], index[rest]
+                pairs, times = np.unique(words.rows()[rest] * max(1, different) + index[rest], return_counts=True)  # a row for each text and token
+                line, what = np.divmod(pairs, max(1, different))
                 uids, hs, xs = uid[line], h[what].view(np.int64), logs[what]
                 if c_end < 0:
-                    uids, hs, xs = np.concatenate((uids, uid)), np.concatenate((hs, np.zeros(m, np.int64))), np.concatenate((xs, np.full(m, vocabulary.end)))
+                    uids, hs, xs, times = np.concatenate((uids, uid)), np.concatenate((hs, np.zeros(m, np.int64))), np.concatenate((xs, np.full(m, vocabulary.end))), np.concatenate((times, np.ones(m, np.int64)))
                 if len(uids):
                     none = np.zeros(len(uids), np.int64)
-                    yield _rows(uids, np.zeros(len(uids), np.int32), hs, xs, none, none, none.astype(float), none.astype(float))
+                    yield _rows(uids, np.zeros(len(uids), np.int32), hs, xs, none, times.astype(np.int64), none.astype(float), none.astype(float))
 
     return run
 
@@ -144,9 +160,10 @@ def scored(docs: DataFrame, *, model: str | None = None, doc_id: str = "doc_id",
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out(doc_id).alias("held_out"))
     lexicon = stored(own.where("NOT held_out").select("text").mapInArrow(scan.tidy(_counts), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lexicon")
     n, v = lexicon.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    sizes = lexicon.groupBy("c").count().toArrow().sort_by([("c", "descending")])
-    many = np.cumsum(sizes["count"].to_numpy()) <= head
-    least = int(sizes["c"].to_numpy()[many].min()) if many.any() else 1 << 62
+    # One row for each different count: no more than the square root of twice the tokens.
+    upto = F.sum("count").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0))
+    found = lexicon.groupBy("c").count().withColumn("upto", upto).where(F.col("upto") <= head).agg(F.min("c")).first()[0]
+    least = 1 << 62 if found is None else found
     top = lexicon.where(F.col("c") >= least).toArrow()
     order = np.argsort(top["h"].to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, np.int64)
     shared = spark.sparkContext.broadcast((top["h"].to_numpy().view(np.uint64)[order], top["c"].to_numpy()[order]) if top.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
@@ -160,5 +177,5 @@ def scored(docs: DataFrame, *, model: str | None = None, doc_id: str = "doc_id",
     new = (F.lit(math.log10(v)) if v else F.lit(float("-inf"))) + F.col("x") / _LN10
     own_score = F.when(c > 0, spread).otherwise(new) - (math.log10(n + v) if n + v else 0) if n + v else F.col("x") / _LN10
     base = F.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    sums = met.groupBy("u").agg(F.sum("tokens").alias("n_tokens"), F.sum(F.when(tail & (c > 0), 1).otherwise(F.col("known"))).alias("n_known"), F.sum(F.when(tail, base).otherwise(F.col("base"))).alias("base_score"), F.sum(F.when(tail, own_score).otherwise(F.col("score"))).alias("score"), F.max("id").alias("id"), F.max("out").alias("held_out"))
+    sums = met.groupBy("u").agg(F.sum("tokens").alias("n_tokens"), F.sum(F.when(tail & (c == 0), 0).otherwise(F.col("known"))).alias("n_known"), F.sum(F.when(tail, F.col("known") * base).otherwise(F.col("base"))).alias("base_score"), F.sum(F.when(tail, F.col("known") * own_score).otherwise(F.col("score"))).alias("score"), F.max("id").alias("id"), F.max("out").alias("held_out"))
     return sums.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

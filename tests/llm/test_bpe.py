@@ -77,3 +77,35 @@ def test_frame_of_nulls_ties_and_other_columns(spark):
     assert clash.columns[-3:] == ["_n_tokens", "ids_sha256", "decoded_sha256"] and clash.collect()[2]["_n_tokens"] == 2
     back = bpe.decoded(bpe.encoded(docs)).collect()
     assert [r.decoded for r in back] == [r.text or "" for r in back]
+
+
+def test_slices_like_the_tiktoken_library():
+    """What the queries call: texts in slices, cut into parts that are remembered."""
+    import random
+
+    import pyarrow as pa
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    from docugauge.llm import scan
+
+    path = bpe.public_tokenizers.path(bpe.RANKS)
+    library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+    rng = random.Random(11)
+    pieces = ["'s", "'LL", " ", "  ", "a", "Zebra", "9", "1234", ".", "...", "\n", "\r\n", "\t", "é", "ß", "×", "\u00a0", "\u3000", "日本語", "한국", "🙂", "<|endoftext|>", "don't", "\x85", "𝒳"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(3000)] + [None, "", " ", "日本" * 3000, "a" * 5000, " \n " * 500]
+    own = bpe.Codec(path)
+    own.by_parts.most = 30_000
+    for part in scan.slices(pa.array(texts), 20_000):
+        ids, ends = own.encode_slice(part)
+        for i, pieces_of in enumerate(own.decode_slice(ids, ends, 7)):
+            text = texts[part.first + i] or ""
+            assert ids[ends[i] : ends[i + 1]].tolist() == library.encode_ordinary(text), repr(text)
+            assert "".join(pieces_of) == text
+
+
+def test_transitions_are_cleared_within_a_match():
+    own = bpe.codec(bpe.public_tokenizers.path(bpe.RANKS)).transducer
+    small = bpe.Transducer(own.ranks, most=40)
+    text = ("lorem ipsum dolor sit amet " * 40).encode() + bytes(range(256)) * 3
+    assert list(small.stream([text[:100], text[100:]])) == own.encode(text) and len(small.moves) <= 41
