@@ -47,7 +47,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (a, b) with a > b."""
+    """The next edges, stored; edges (a, b) with a > b."""
     if large:
         ways = edges.union(edges.select("b", "a"))  # (a, b): b is a neighbour of a
         least = stored(ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "stars")
@@ -55,7 +55,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         least = stored(edges.groupBy("a").agg(F.min("b").alias("m")), "stars")
         out = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    done = stored(out.where("a <> b").distinct(), "edges")
+    discard(least)
+    return done
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -65,8 +67,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 40))))
     seen = now.agg(mark).first()[0]
     while True:
-        held = stored(_star(now, large=True), "edges")
-        new = stored(_star(held, large=False), "edges")
+        held = _star(now, large=True)
+        new = _star(held, large=False)
         was, seen = seen, new.agg(mark).first()[0]
         discard(held)
         discard(now)

@@ -393,7 +393,7 @@ def deduplicated(docs: DataFrame, *, k: int = K, minimizer: int = MINIMIZER, doc
     """
     columns = [c for c in docs.columns if keep_text or c != text]
     o, seq, marks, asked, n_words, n_removed, left, proofs = fresh(docs, "o", "seq", "marks", "asked", "n_words", "n_removed", "kept_sha256", "proofs")
-    keyed = _keyed(docs, doc_id, text, o, seq)
+    keyed, used = _keyed(docs, doc_id, text, o, seq)
     of = lambda df: df.select(F.col(o).alias("o"), F.col(seq).alias("seq"), F.col(f"`{text}`").alias("text"))
     own = docs.schema
     schema = T.StructType([*own.fields, T.StructField(o, T.LongType()), T.StructField(seq, T.IntegerType()), T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType()), T.StructField(left, T.StringType()), T.StructField(proofs, _PROOF)])
@@ -418,7 +418,8 @@ def deduplicated(docs: DataFrame, *, k: int = K, minimizer: int = MINIMIZER, doc
         seen = out.select(F.explode(proofs).alias("p")).groupBy("p.o", "p.seq", "p.a", "p.b").agg(F.min("p.d").alias("x"), F.max("p.d").alias("y"), F.min(F.when(F.col("p.own"), F.col("p.d"))).alias("source"))
         seen = seen.where("x <> y")
         if seen.isEmpty():
-            discard(held)
+            for table in (held, *used):
+                discard(table)
             whole = out
             for found in outs:
                 whole = whole.unionByName(found)
@@ -445,14 +446,14 @@ def _right(held: DataFrame, wrong: DataFrame, ids: DataFrame, k: int) -> DataFra
     return stored(own.join(bad, same & touches, "left_anti"), "right")
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str, o: str, seq: str) -> DataFrame:
-    """docs with the id as a number and, where rows repeat an id, a number for each of its texts."""
+def _keyed(docs: DataFrame, doc_id: str, text: str, o: str, seq: str) -> tuple[DataFrame, list[DataFrame]]:
+    """docs with the id as a number and, where rows repeat an id, a number for each of its texts; and the stored tables that this reads."""
     out = docs.withColumn(o, row_order(doc_id))
     again = out.groupBy(o).agg(F.count("*").alias("n")).where("n > 1").select(o)
     if again.isEmpty():
-        return out.withColumn(seq, F.lit(0))
+        return out.withColumn(seq, F.lit(0)), []
     (digest,) = fresh(out, "digest")
     out = out.withColumn(digest, F.xxhash64(F.col(f"`{text}`")))
     texts = stored(out.join(again, o, "left_semi").select(o, digest).distinct(), "texts")
     numbers = stored(texts.withColumn(seq, F.row_number().over(Window.partitionBy(o).orderBy(digest))), "numbers")
-    return out.join(numbers, [o, digest], "left").withColumn(seq, F.coalesce(F.col(seq), F.lit(0))).drop(digest)
+    return out.join(numbers, [o, digest], "left").withColumn(seq, F.coalesce(F.col(seq), F.lit(0))).drop(digest), [texts, numbers]

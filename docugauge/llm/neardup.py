@@ -91,6 +91,8 @@ def groups(docs: DataFrame, *, k: int, percent: int, lower: bool = True, doc_id:
     joined = nodes.select("d1", "d2", "o", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = stored(joined.groupBy("root").agg(F.min("o").alias("least")), "roots")
     fate = stored(joined.join(least, "root").select("d1", "d2", F.col("root").alias("g"), F.col("least").alias("root")), "fates")
+    for used in (nodes, links, roots, least):
+        discard(used)
     out = members.select("o", "th", "n", "d1", "d2").join(fate, ["d1", "d2"], "left")
     return out.select("o", "th", "n", "g", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("o")).alias("root"))
 
@@ -107,14 +109,13 @@ def _links(rows: DataFrame, nodes: DataFrame, k: int, percent: int, lower: bool)
     pairs = stored(with_hub.where(_near_in_size("n", "hub_n", percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     texts = stored(rows.join(nodes.select("o", "th", "node").join(company.select("node"), "node", "left_semi"), ["o", "th"]).dropDuplicates(["o", "th", "node"]).select("node", "text"), "texts")
     links = stored(_verified(pairs, texts, k, percent, lower), "links")
-    roots = stored(components(links, "a", "b"), "roots")
+    roots = components(links, "a", "b")
     others = stored(with_hub.where("size > 2").select("h", "node").join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("c")), "others")
     split = stored(others.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("h"), "split")
     rest = others.join(split, "h", "left_semi").select("node", "c").distinct()
     more = _prefix_pairs(texts.join(rest, "node").select("node", "c", "text"), k, percent, lower)
-    found = links.union(_verified(stored(more, "pairs"), texts, k, percent, lower))
-    out = stored(found, "links")
-    for used in (buckets, met, company, hubs, pairs, texts, links, others, split):
+    out = stored(links.union(_verified(more, texts, k, percent, lower)), "links")
+    for used in (buckets, met, company, hubs, pairs, texts, links, roots, others, split, more):
         discard(used)
     return out
 
@@ -130,7 +131,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, lower: b
 
 
 def _prefix_pairs(nodes: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
-    """Pairs (a, b) of nodes of different groups c that may be linked: every pair that is, and few others.
+    """Pairs (a, b), stored, of nodes of different groups c that may be linked: every pair that is, and few others.
 
     Linked sets of sizes x and y share at least s = percent * (x + y) / (100 + percent) shingles. In any
     one order of all shingles, the first that both hold is at places i and j with i <= x - s and j <= y - s.
@@ -146,7 +147,10 @@ def _prefix_pairs(nodes: DataFrame, k: int, percent: int, lower: bool) -> DataFr
     x, y = (placed.select("e", *[F.col(c).alias(f"{c}{s}") for c in ("node", "c", "n", "i")]) for s in "xy")
     least = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent) - 1e-9)
     fits = (F.col("nodex") < F.col("nodey")) & (F.col("cx") != F.col("cy")) & _near_in_size("nx", "ny", percent) & (F.col("ix") <= F.col("nx") - least) & (F.col("iy") <= F.col("ny") - least)
-    return x.join(y, (x.e == y.e) & fits).select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
+    found = stored(x.join(y, (x.e == y.e) & fits).select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct(), "pairs")
+    for used in (held, often, placed):
+        discard(used)
+    return found
 
 
 def unique_documents(docs: DataFrame, *, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", lower: bool = True) -> DataFrame:
