@@ -16,7 +16,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     dossier: source; replicate: seed = doc_id % 3 (2 reports, the others calibrate); factors: lang, bucket, toxic.
     """
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels")
-    odd = F.length(F.regexp_replace("text", "[0-9A-Za-z ]", ""))
+    odd = F.length(F.translate("text", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz ", ""))
     score = F.expr("odd * 1000 div size").cast("double")
     rows = docs.select("doc_id", "lang", "source", odd.cast("long").alias("odd"), F.greatest(F.length("text"), F.lit(1)).cast("long").alias("size")).join(labels, "doc_id")
     bucket = (F.regexp_extract("source", "[0-9]+", 0).cast("int") % 4).alias("bucket")
