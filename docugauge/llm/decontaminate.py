@@ -29,7 +29,7 @@ from docugauge.llm import scan
 from docugauge.llm.frames import discard, fresh, stored
 
 #: Words of a window, and benchmark text in one broadcast.
-N, BLOCK_BYTES = 13, 32 << 20
+N, BLOCK_BYTES = 13, 16 << 20
 SPAN = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -64,16 +64,14 @@ class Index:
     """
 
     def __init__(self, size: int, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, buffer: np.ndarray) -> None:
-        order = np.lexsort((begin, hashes))
-        self.size, self.begin, self.end, self.item = size, begin[order], end[order], item[order]
-        hashes = hashes[order]
+        order = np.argsort(hashes, kind="stable")  # windows come by place
+        self.size, self.item = size, item[order]
+        hashes, begin, end = hashes[order], begin[order], end[order]
         new = np.ones(len(hashes), dtype=bool)
         for i in np.flatnonzero(hashes[1:] == hashes[:-1]).tolist():
-            a, b = slice(self.begin[i], self.end[i]), slice(self.begin[i + 1], self.end[i + 1])
-            new[i + 1] = not np.array_equal(buffer[a], buffer[b])
+            new[i + 1] = not np.array_equal(buffer[begin[i] : end[i]], buffer[begin[i + 1] : end[i + 1]])
         self.run_start = np.append(np.flatnonzero(new), len(hashes))
-        self.known, self.run_begin, self.run_end = hashes[self.run_start[:-1]], self.begin[self.run_start[:-1]], self.end[self.run_start[:-1]]
-        del self.begin, self.end
+        self.known, self.run_begin, self.run_end = (x[self.run_start[:-1]] for x in (hashes, begin, end))
         self.bits = np.zeros(1 << 20, dtype=bool)
         self.bits[(self.known >> np.uint64(44)).astype(np.int64)] = True
 
@@ -90,7 +88,7 @@ def build_index(items: pa.Table, n: int) -> tuple[np.ndarray, list, list[Index]]
     found: dict[int, list[tuple]] = {}
     buffers, base, first_item = [], 0, 0
     for column in items["text"].chunks:
-        for part in scan.slices(column, lower=True):
+        for part in scan.slices(column, scan.SLICE // 8, lower=True):
             words = scan.Words(part, scan.ALNUM)
             data, ends = words.joined()
             hashes, length, row = words.hashes(), words.end - words.start, words.rows()
@@ -101,11 +99,13 @@ def build_index(items: pa.Table, n: int) -> tuple[np.ndarray, list, list[Index]]
             for size, at in [(n, whole)] + [(m, words.first[:-1][words.count == m]) for m in range(1, n)]:
                 if len(at):
                     last = at + size - 1
-                    found.setdefault(size, []).append((scan.window_hashes(hashes, size)[at], begin[at], begin[last] + length[last], (first_item + part.first + row[at]).astype(np.int32)))
+                    found.setdefault(size, []).append((scan.window_hashes(hashes, size)[at], begin[at].astype(np.uint32), (begin[last] + length[last]).astype(np.uint32), (first_item + part.first + row[at]).astype(np.int32)))
             buffers.append(data)
             base += len(data)
         first_item += len(column)
     buffer = np.concatenate([*buffers, np.zeros(0, np.uint8)])
+    if base >= 1 << 32:
+        raise ValueError("a block of the benchmark is beyond 4 GB")
     return buffer, items["item"].to_pylist(), [Index(size, *map(np.concatenate, zip(*parts)), buffer) for size, parts in found.items()]
 
 
