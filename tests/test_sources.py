@@ -100,3 +100,66 @@ def test_stream_reads_each_reading_once(spark, tmp_path):
     (source / "b.jsonl").write_text(line(seed=37))
     ingest.append(ingest.once(ingest.stream(spark, str(source))), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r.seed for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [11, 23, 37]
+
+
+def png(grey, kinds, colour=0):
+    """A PNG file of lines with differences of the given kinds."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    step = {0: 1, 2: 3, 6: 4}[colour]
+    lines, before, out = grey.reshape(len(grey), -1).astype(int), np.zeros(grey.reshape(len(grey), -1).shape[1], int), b""
+    for kind, line in zip(kinds, lines):
+        left, corner = (np.concatenate((np.zeros(step, int), x[:-step])) for x in (line, before))
+        far = np.abs(np.stack((before - corner, left - corner, left + before - 2 * corner)))
+        guess = [0, left, before, (left + before) // 2, np.choose(far.argmin(0), (left, before, corner))][kind]
+        out += bytes([kind]) + ((line - guess) & 255).astype(np.uint8).tobytes()
+        before = line
+    chunk = lambda k, c: struct.pack(">I", len(c)) + k + c + struct.pack(">I", zlib.crc32(k + c))
+    size = struct.pack(">IIBBBBB", grey.shape[1], grey.shape[0], 8, colour, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", size) + chunk(b"IDAT", zlib.compress(out)[:20]) + chunk(b"IDAT", zlib.compress(out)[20:]) + chunk(b"IEND", b"")
+
+
+def test_png_files_become_rasters(spark):
+    import numpy as np
+
+    from docugauge.sources import images
+
+    rng = np.random.default_rng(1)
+    grey = rng.integers(0, 256, (15, 11), dtype=np.uint8)
+    assert np.array_equal(images.grey_png(png(grey, [i % 5 for i in range(15)])), grey)
+    colours = rng.integers(0, 256, (10, 7, 3), dtype=np.uint8)
+    found = images.grey_png(png(colours, [4, 3, 2, 1, 0] * 2, 2))
+    assert np.abs(found.astype(float) - colours @ np.array([0.299, 0.587, 0.114])).max() <= 1
+    clear = np.dstack((colours, np.zeros((10, 7), np.uint8)))
+    assert (images.grey_png(png(clear, [1] * 10, 6)) == 255).all() and images.grey_png(b"GIF89a") is None
+    df = spark.createDataFrame([(bytearray(png(grey, [4] * 15)),), (bytearray(b"no"),), (None,)], "content binary").coalesce(1)
+    rows = [r.p for r in df.select(images.raster_of("content").alias("p")).collect()]
+    assert (rows[0].h, rows[0].w, bytes(rows[0].px)) == (15, 11, grey.tobytes()) and rows[1].px is None and rows[2].px is None
+
+
+def test_capture_times_of_files(spark):
+    import struct
+
+    from docugauge.sources import images
+
+    def tags(order, original, changed):
+        text = lambda s: s.encode().ljust(20, b"\0")
+        entry = lambda tag, kind, n, v: struct.pack(order + "HHII", tag, kind, n, v)
+        first = struct.pack(order + "H", 2) + entry(306, 2, 20, 100) + entry(34665, 4, 1, 50)
+        sub = struct.pack(order + "H", 1) + entry(36867, 2, 20, 130)
+        head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8)
+        out = bytearray(200)
+        for at, part in ((0, head), (8, first), (50, sub), (100, text(changed)), (130, text(original))):
+            out[at : at + len(part)] = part
+        return bytes(out)
+
+    little, big = tags("<", "2026:08:21 10:30:00", ""), tags(">", "2026:08:21 10:30:00", "2026:08:22 11:00:00")
+    assert images.tagged_times(little) == (None, "2026:08:21 10:30:00") and images.tagged_times(b"\xff\xd8\xff\xe1..Exif\0\0" + big)[1] == "2026:08:22 11:00:00"
+    assert images.tagged_times(b"") == images.tagged_times(b"II*\0") == images.tagged_times(b"II*\0\xff\xff\xff\xff") == (None, None)
+    rows = [b"%PDF-1.4 /CreationDate (D:20260821103000Z) x", little, b"\xff\xd8" + b"Exif\0\0" + big, b"nothing", None]
+    df = spark.createDataFrame([(i, bytearray(c) if c is not None else None) for i, c in enumerate(rows)], "i int, content binary").withColumn("modificationTime", F.lit("2020-01-01").cast("timestamp"))
+    got = {r.i: str(r.captured) for r in images.with_times(df).collect()}
+    assert got == {0: "2026-08-21 10:30:00", 1: "2026-08-21 10:30:00", 2: "2026-08-22 11:00:00", 3: "2020-01-01 00:00:00", 4: "2020-01-01 00:00:00"}
