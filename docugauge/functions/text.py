@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -42,11 +43,31 @@ def ratio_of(a: str, b: str) -> float:
 
 
 def overlap_of(a: list[str], b: list[str]) -> float:
-    """The worst of the smaller set's best similarities to the larger one's; 0 if either is empty."""
+    """The worst of the smaller set's best similarities to the larger one's; 0 if either is empty.
+
+    Lengths bound a similarity, and a member that does as well as the worst so far can't change it: most pairs need no matching.
+    """
     if not len(a) or not len(b):
         return 0.0
     few, many = (a, b) if len(a) <= len(b) else (b, a)
-    return min(max(ratio_of(x, y) for y in many) for x in few)
+    same, worst = set(many), 1.0
+    most = lambda x, y: 2.0 * min(len(x), len(y)) / (len(x) + len(y))
+    for x in few:
+        if x in same:
+            continue
+        best = 0.0
+        for y in sorted(many, key=lambda y: -most(x, y)):
+            if most(x, y) <= best or best >= worst:
+                break
+            if not set(x).isdisjoint(y):
+                best = max(best, _ratio_again(x, y))
+        worst = min(worst, best)
+    return worst
+
+
+@lru_cache(maxsize=1 << 16)
+def _ratio_again(a: str, b: str) -> float:
+    return ratio_of(a, b)
 
 
 def best_run(words: list[dict], value: str, longest: int = 4) -> float:

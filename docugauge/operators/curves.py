@@ -42,6 +42,8 @@ def curve(scores: DataFrame, by: Sequence[str] = (), *, positive: str = "positiv
     by = list(by)
     own = scores.where(F.col(score).isNotNull() & (F.col(score) > NOTHING)).select(*by, F.col(positive).alias("positive"), F.col(score).cast("double").alias("score"))
     counts = own.groupBy(*by, "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    # Always true, but so the borders need both counts as well, and all branches share one scan and shuffle.
+    counts = counts.where(F.col("p") + F.col("n") > 0)
     counts = _ranged(counts, by, ranges)
     totals = counts.groupBy(*by, "_range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"), F.max("score").alias("top"))
     above = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
