@@ -36,7 +36,7 @@ from docugauge.llm.frames import stored
 
 MODEL = "piece_bpe_32k.model"
 #: Tokens in the broadcast, words that a task counts at once, and bytes of words whose probabilities a worker remembers.
-HEAD, CHUNK, MOST_BYTES = 1_000_000, 2 << 20, 64 << 20
+HEAD, CHUNK, MOST_BYTES = 1_000_000, 2 << 20, 48 << 20
 #: Bytes of a word that is worth remembering, and what a remembered one takes besides its own.
 LONGEST, _ENTRY = 64, 140
 _END = np.uint64(0)  # the hash of the end; no word's, as it is mixed from none
@@ -101,7 +101,7 @@ def _scorer(path: str, head, n: int, v: int):
 
         c_end = int(frequent(np.array([_END]))[0])
         for batch in batches:
-            for part in scan.slices(batch.column(2), scan.SLICE // 2, lower=True):
+            for part in scan.slices(batch.column(2), scan.SLICE // 4, lower=True):
                 words = scan.Words(part, scan.WHITE)
                 coded = words.array().dictionary_encode()
                 index = coded.indices.to_numpy()
